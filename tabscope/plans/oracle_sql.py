@@ -85,3 +85,8 @@ def quality_score_select(by: Sequence[str]) -> str:
              CASE WHEN {grade} IN ('A', 'B') THEN 'Good quality data with minor outlier concerns'
                   ELSE 'Data quality is moderate and needs improvement before reliable modeling' END AS assessment
       FROM qp"""
+
+
+def r6(expr: str, k: int = 6) -> str:
+    """Rounded double, with -0.0 folded to 0.0 (matches ``rnd`` on the Spark side)."""
+    return f"CAST(round(CAST({expr} AS DOUBLE), {k}) + 0.0 AS DOUBLE)"
