@@ -27,7 +27,7 @@ def seg_join(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "i
                        *[F.col(f"`{c}`") for c in right.columns if c not in by])
     cond = [left[f"`{c}`"].eqNullSafe(renamed[f"{_K}{i}"]) for i, c in enumerate(by)]
     out = left.join(renamed, cond, how)
-    if how in ("right", "right_outer"):
+    if how in ("right", "right_outer", "full", "outer", "full_outer"):
         for i, c in enumerate(by):
             out = out.withColumn(c, F.coalesce(F.col(f"`{c}`"), F.col(f"{_K}{i}")))
     return out.drop(*[f"{_K}{i}" for i in range(len(by))])
