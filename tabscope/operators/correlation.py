@@ -57,8 +57,9 @@ def corr_long(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[
         sa, sb = F.col(f"sa{i}_{j}"), F.col(f"sb{i}_{j}")
         const = (sa <= F.lit(CONST_TOL) * F.greatest(F.lit(1.0), F.abs(F.col(f"ma{i}_{j}")))) | \
                 (sb <= F.lit(CONST_TOL) * F.greatest(F.lit(1.0), F.abs(F.col(f"mb{i}_{j}"))))
-        r = F.when(~const & (F.col(f"n{i}_{j}") > 1), F.try_divide(F.col(f"c{i}_{j}"), sa * sb))
-        r = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r))
+        raw = F.try_divide(F.col(f"c{i}_{j}"), sa * sb)
+        # clamp only defined values: greatest/least skip nulls and would turn an undefined r into -1
+        r = F.when(~const & (F.col(f"n{i}_{j}") > 1) & raw.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), raw)))
         entries.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(cols[i]).alias("feature_a"),
                                 F.lit(cols[j]).alias("feature_b"), F.col(f"n{i}_{j}").alias("n"), r.alias("r")))
     if diagonal:

@@ -156,7 +156,9 @@ def quantiles(
     v0 = allv.select(*keys, F.col("rank").alias("r0"), F.col("value").alias("v0"))
     v1 = allv.select(*keys, F.col("rank").alias("r1"), F.col("value").alias("v1"))
     out = targets.join(v0, keys + ["r0"]).join(v1, keys + ["r1"])
-    interp = F.when(F.col("frac") == 0, F.col("v0")).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac"))
+    # equal neighbours (including two equal infinities) need no interpolation
+    interp = F.when((F.col("frac") == 0) | (F.col("v0") == F.col("v1")), F.col("v0")) \
+        .otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac"))
     return out.select(*keys, "prob", interp.alias("value"), "n")
 
 
