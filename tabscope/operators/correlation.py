@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tabscope.functions.columns import analysed_columns, as_double, is_stat_numeric, seg_cols
 
 CONST_TOL = 1e-12
+BLOCKED_MIN_K = 5
 # Correlation thresholds.
 WEAK_TARGET_R = 0.15
 REDUNDANT_R = 0.85
@@ -34,6 +35,8 @@ def corr_long(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[
     cols = list(columns) if columns is not None else numeric_columns(df, by)
     k = len(cols)
     base = df.select(*[F.col(f"`{b}`") for b in by], *[as_double(df, c).alias(f"__x{i}") for i, c in enumerate(cols)])
+    if k >= BLOCKED_MIN_K:
+        return _corr_blocked(base, cols, by, diagonal)
     aggs = []
     pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
     for i, j in pairs:
@@ -136,3 +139,73 @@ def high_corr_pairs(corr: DataFrame, by: Sequence[str] = (), target: str | None
     if target is not None and not include_target:
         f = f.where((F.col("feature_a") != target) & (F.col("feature_b") != target))
     return f.select(*by, "feature_a", "feature_b", F.col("r").alias("correlation"))
+
+
+def _r_expr(n, sxy, sx_i, sx_j, sxx_i, sxx_j, sh_i, sh_j):
+    """r from shifted pairwise sums; null for n < 2 or a (near-)constant side."""
+    mi, mj = sx_i / n, sx_j / n
+    vi = F.greatest(sxx_i / n - mi * mi, F.lit(0.0))
+    vj = F.greatest(sxx_j / n - mj * mj, F.lit(0.0))
+    cov = sxy / n - mi * mj
+    sdi, sdj = F.sqrt(vi), F.sqrt(vj)
+    const = (sdi <= F.lit(CONST_TOL) * F.greatest(F.lit(1.0), F.abs(mi + sh_i))) | \
+            (sdj <= F.lit(CONST_TOL) * F.greatest(F.lit(1.0), F.abs(mj + sh_j)))
+    raw = F.try_divide(cov, sdi * sdj)
+    return F.when(~const & (n > 1) & raw.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), raw)))
+
+
+def _corr_blocked(base: DataFrame, cols: list[str], by: list[str], diagonal: bool) -> DataFrame:
+    """Pairwise-complete correlation for wide inputs.
+
+    Pass 1: per-segment column means (shift).  Pass 2: ``mapInPandas`` computes, per Arrow batch and
+    segment, with M the presence mask and X0 the shifted values (0 where missing):
+    n = M'M, Sx = X0'M, Sxx = (X0^2)'M, Sxy = X0'X0 -- emitted as one row per pair and summed by a
+    grouped aggregation (algebraic, so a hot segment is combined map-side).
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from tabscope.operators.segments import attach, seg_rows
+
+    k = len(cols)
+    shift = base.groupBy(*by).agg(*[F.coalesce(F.avg(f"__x{i}"), F.lit(0.0)).alias(f"__s{i}") for i in range(k)])
+    data = attach(base, shift, by, seg_rows(shift, by))
+    key_fields = [f for f in data.schema.fields if f.name in by]
+    names = ["n", "sxy", "sx_i", "sx_j", "sxx_i", "sxx_j"]
+    schema = T.StructType(key_fields + [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())]
+                          + [T.StructField(nm, T.DoubleType()) for nm in names])
+    ii, jj = np.triu_indices(k, 0 if diagonal else 1)
+
+    def block(it):
+        for pdf in it:
+            if pdf.empty:
+                continue
+            groups = pdf.groupby(by, dropna=False, sort=False) if by else [((), pdf)]
+            for key, g in groups:
+                x = g[[f"__x{i}" for i in range(k)]].to_numpy(float)
+                sh = g[[f"__s{i}" for i in range(k)]].to_numpy(float)
+                m = ~np.isnan(x)
+                x0 = np.where(m, x - sh, 0.0)
+                mf = m.astype(float)
+                n = mf.T @ mf
+                sx = x0.T @ mf
+                sxx = (x0 * x0).T @ mf
+                sxy = x0.T @ x0
+                out = pd.DataFrame({"i": ii.astype("int32"), "j": jj.astype("int32"), "n": n[ii, jj], "sxy": sxy[ii, jj],
+                                    "sx_i": sx[ii, jj], "sx_j": sx[jj, ii], "sxx_i": sxx[ii, jj], "sxx_j": sxx[jj, ii]})
+                kv = key if isinstance(key, tuple) else (key,)
+                for nm, val in zip(by, kv):
+                    out.insert(0, nm, val)
+                yield out[[f.name for f in schema.fields]]
+
+    sums = data.mapInPandas(block, schema).groupBy(*by, "i", "j").agg(*[F.sum(nm).alias(nm) for nm in names])
+    sums = attach(sums, shift, by, seg_rows(shift, by))
+    sh_i = F.element_at(F.array(*[F.col(f"__s{i}") for i in range(k)]), F.col("i") + 1)
+    sh_j = F.element_at(F.array(*[F.col(f"__s{i}") for i in range(k)]), F.col("j") + 1)
+    name = F.array(*[F.lit(c) for c in cols])
+    n = F.col("n")
+    r = _r_expr(n, F.col("sxy"), F.col("sx_i"), F.col("sx_j"), F.col("sxx_i"), F.col("sxx_j"), sh_i, sh_j)
+    r = F.when(F.col("i") == F.col("j"), F.when(n > 1, F.lit(1.0))).otherwise(r)
+    return sums.select(*by, "i", "j", F.element_at(name, F.col("i") + 1).alias("feature_a"),
+                       F.element_at(name, F.col("j") + 1).alias("feature_b"), n.cast("long").alias("n"), r.alias("r"))

@@ -57,7 +57,7 @@ def quantiles(
     probs: Sequence[float] = (0.25, 0.5, 0.75),
     by: Sequence[str] = (),
     drop_inf: bool = False,
-    buckets: int = 4096,
+    buckets: int = 65536,
     max_rounds: int = 12,
 ) -> DataFrame:
     """Return (by..., column, prob, value, n) with pandas/numpy 'linear' quantiles of the non-null values."""

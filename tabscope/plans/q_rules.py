@@ -43,10 +43,21 @@ def _source(spark, sf, view):
         else read_table(spark, sf, view)
 
 
+_FAMILY_MEMO: dict = {}
+
+
 def family_tables(spark, sf, fam):
-    view, g, x, y, s = FAMILIES[fam]
-    df = _source(spark, sf, view).select(g, s, x, y)
-    return EV.segment_evidence(df, y, [x], split_flag(s, method="mod"), by=[g])
+    """Per-segment tables of one family, checkpointed once per (application, sf_dir, family).
+
+    They are one row per segment (or per segment and model), so many registered questions read the
+    same small checkpointed tables instead of re-running the scans and aggregations."""
+    key = (spark.sparkContext.applicationId, sf, fam)
+    if key not in _FAMILY_MEMO:
+        view, g, x, y, s = FAMILIES[fam]
+        df = _source(spark, sf, view).select(g, s, x, y)
+        tables = EV.segment_evidence(df, y, [x], split_flag(s, method="mod"), by=[g])
+        _FAMILY_MEMO[key] = {k: t.checkpoint(eager=True) for k, t in tables.items()}
+    return _FAMILY_MEMO[key]
 
 
 def mixed_evidence(spark, sf):
