@@ -52,19 +52,20 @@ def analysed_columns(df: DataFrame, by: Sequence[str], columns: Sequence[str] |
 
 def nan_to_null(c: Column | str) -> Column:
     col = F.col(c) if isinstance(c, str) else c
-    return F.when(~F.isnan(col), col)
+    return F.nanvl(col, F.lit(None).cast("double"))
 
 
 def finite_or_null(c: Column | str) -> Column:
-    """±inf and NaN become null (a NaN compares false, so it falls through too)."""
+    """±inf and NaN become null: x + 0*x is NaN exactly when x is not finite, and nanvl maps NaN to null."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.when(F.abs(col) < F.lit(float("inf")), col)
+    return F.nanvl(col + F.lit(0.0) * col, F.lit(None).cast("double"))
 
 
 def as_double(df: DataFrame, c: str) -> Column:
-    """Column cast to double with NaN normalised to null (Spark keeps NaN apart from null)."""
-    col = F.col(f"`{c}`").cast("double")
-    return F.when(~F.isnan(col), col)
+    """Column cast to double with NaN normalised to null (Spark keeps NaN apart from null).
+
+    ``nanvl`` references its input once, so stacked cleaning steps keep generated code small."""
+    return F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
 
 
 # Lexical kinds of string cells used by the consistency check.

@@ -105,7 +105,8 @@ def linear_analysis(df: DataFrame, features: Sequence[str], target: str, test_fl
     else:
         d = df.withColumn("__test", test_flag)
         d = prepare_xy(d, feats, target, by, fill, keep=["__test"])
-    m = moments(d, feats + [target], by, part=F.col("__test"), part_name="__test")
+    # One row per (segment, split): materialise it once for the train/test pairing and the solve.
+    m = moments(d, feats + [target], by, part=F.col("__test"), part_name="__test").checkpoint(eager=True)
     tr = m.where(~F.col("__test")).select(*by, F.col("n").alias("n_tr"), F.col("mean").alias("m_tr"), F.col("cov").alias("c_tr"))
     te = m.where(F.col("__test")).select(*by, F.col("n").alias("n_te"), F.col("mean").alias("m_te"), F.col("cov").alias("c_te"))
     j = seg_join(tr, te, by, "full")

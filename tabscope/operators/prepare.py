@@ -43,6 +43,15 @@ def impute_median(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
     """
     by = seg_cols(by)
     base = inf_to_null(df, columns) if inf_as_null else df
+    # Only columns that hold a null anywhere need a median (one cheap count aggregation decides).
+    nulls = base.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"__n{i}") for i, c in enumerate(columns)]).collect()[0]
+    need = [c for i, c in enumerate(columns) if nulls[f"__n{i}"] > 0]
+    if not need:
+        return base.select(*[as_double(base, c).alias(c) if c in set(columns) else F.col(f"`{c}`") for c in base.columns])
+    if len(need) < len(columns):
+        base = base.select(*[as_double(base, c).alias(c) if c in set(columns) and c not in set(need) else F.col(f"`{c}`")
+                             for c in base.columns])
+        columns = need
     med = quantiles_wide(base, columns, [0.5], ["median"], by).drop("n")
     wide = med.groupBy(*by).agg(*[F.max(F.when(F.col("column") == c, F.col("median"))).alias(f"__m{i}") for i, c in enumerate(columns)])
     if not by:

@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabscope.functions.columns import LEXICAL_KIND_PATTERNS, analysed_columns, as_double, is_stat_numeric, lexical_kind, seg_cols
+from tabscope.functions.columns import (
+    LEXICAL_KIND_PATTERNS, analysed_columns, as_double, finite_or_null, is_stat_numeric, lexical_kind, seg_cols,
+)
 from tabscope.operators.quantiles import quantiles_wide
 from tabscope.operators.segments import attach, seg_join, seg_rows
 
@@ -85,7 +87,7 @@ def outlier_counts(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str]
         for i, c in enumerate(cols)
     ]).checkpoint(eager=True)
     data = df.select(*[F.col(f"`{b}`") for b in by], *[
-        F.when(F.abs(as_double(df, c)) < F.lit(float("inf")), as_double(df, c)).alias(f"__v{i}") for i, c in enumerate(cols)])
+        finite_or_null(as_double(df, c)).alias(f"__v{i}") for i, c in enumerate(cols)])
     j = attach(data, wide, by, seg_rows(wide, by))
     outl = sum((F.when((F.col(f"__v{i}") < F.col(f"__f{i}.lo")) | (F.col(f"__v{i}") > F.col(f"__f{i}.hi")), 1).otherwise(0)
                 for i in range(len(cols))), F.lit(0))

@@ -30,7 +30,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabscope.functions.columns import as_double, seg_cols
+from tabscope.functions.columns import as_double, finite_or_null, seg_cols
 from tabscope.session import ensure_checkpoint_dir
 
 BROADCAST_ROWS = 200_000
@@ -44,7 +44,7 @@ def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), d
     for c in columns:
         v = as_double(df, c)
         if drop_inf:
-            v = F.when(F.abs(v) < F.lit(INF), v)
+            v = finite_or_null(v)
         vals.append(v.alias(c))
     wide = df.select(*[F.col(f"`{b}`") for b in by], *vals)
     long = wide.unpivot(by, list(columns), "column", "value")
@@ -99,7 +99,7 @@ def quantiles(
     ).checkpoint(eager=True)
 
     resolved = [ranks.where(F.col("value").isNotNull()).select(*keys, "rank", "value")]
-    open_ = ranks.where(F.col("value").isNull()).drop("value").checkpoint(eager=True)
+    open_ = ranks.where(F.col("value").isNull()).drop("value")  # a filter over checkpointed rows
     values_f = long.where(finite)
 
     n_open = open_.count()
@@ -134,7 +134,7 @@ def quantiles(
         )
         located = located.withColumn("value", value).checkpoint(eager=True)
         resolved.append(located.where(F.col("value").isNotNull()).select(*keys, "rank", "value"))
-        open_ = located.where(F.col("value").isNull()).drop("value", "c").checkpoint(eager=True)
+        open_ = located.where(F.col("value").isNull()).drop("value", "c")
         n_open = open_.count()
 
     if n_open > 0:
