@@ -36,12 +36,14 @@ def moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), part:
     if part is not None:
         keys.append(part.alias(part_name))
     base = df.select(*keys, *[as_double(df, c).alias(f"__x{i}") for i, c in enumerate(cols)])
-    base = base.dropna(subset=[f"__x{i}" for i in range(k)])
     gkeys = by + ([part_name] if part is not None else [])
     if wide is None:
         wide = k > WIDE_K
     if wide:
+        # Incomplete rows are dropped inside the kernel: a k-way not-null filter over k aliases feeding a
+        # join makes the optimizer's constraint inference blow up for wide k.
         return _moments_blocked(base, k, gkeys)
+    base = base.dropna(subset=[f"__x{i}" for i in range(k)])
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.avg(f"__x{i}").alias(f"__m{i}") for i in range(k)]
     for i in range(k):
@@ -53,8 +55,9 @@ def moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), part:
 
 
 def _moments_blocked(base: DataFrame, k: int, gkeys: list[str]) -> DataFrame:
-    # Shift by per-group means from a cheap first pass so the summed cross products stay well-conditioned.
-    shift = base.groupBy(*gkeys).agg(*[F.avg(f"__x{i}").alias(f"__s{i}") for i in range(k)])
+    # Shift by per-group means from a cheap first pass so the summed cross products stay well-conditioned
+    # (means over all present values; any shift works, a close one keeps the sums small).
+    shift = base.groupBy(*gkeys).agg(*[F.coalesce(F.avg(f"__x{i}"), F.lit(0.0)).alias(f"__s{i}") for i in range(k)])
     data = attach(base, shift, gkeys, seg_rows(shift, gkeys))
     key_fields = [f for f in data.schema.fields if f.name in gkeys]
     out_schema = T.StructType(key_fields + [
@@ -67,12 +70,15 @@ def _moments_blocked(base: DataFrame, k: int, gkeys: list[str]) -> DataFrame:
             groups = pdf.groupby(gkeys, dropna=False, sort=False) if gkeys else [((), pdf)]
             for key, g in groups:
                 x = g[[f"__x{i}" for i in range(k)]].to_numpy(float) - g[[f"__s{i}" for i in range(k)]].to_numpy(float)
+                x = x[~np.isnan(x).any(axis=1)]  # complete rows only
+                if len(x) == 0:
+                    continue
                 xtx = x.T @ x
                 sx = x.sum(axis=0)
                 ii, jj = np.triu_indices(k)
                 rows = {"i": np.concatenate([ii, np.arange(k), [-1]]).astype("int32"),
                         "j": np.concatenate([jj, np.full(k, -1), [-1]]).astype("int32"),
-                        "v": np.concatenate([xtx[ii, jj], sx, [float(len(g))]])}
+                        "v": np.concatenate([xtx[ii, jj], sx, [float(len(x))]])}
                 out = pd.DataFrame(rows)
                 kv = key if isinstance(key, tuple) else (key,)
                 for name, val in zip(gkeys, kv):
@@ -80,16 +86,35 @@ def _moments_blocked(base: DataFrame, k: int, gkeys: list[str]) -> DataFrame:
                 yield out[[f.name for f in out_schema.fields]]
 
     sums = data.mapInPandas(block, out_schema).groupBy(*gkeys, "i", "j").agg(F.sum("v").alias("v"))
-    # Assemble one row per group: n, means and covariance from the shifted sums.
-    packed = sums.groupBy(*gkeys).agg(F.map_from_entries(F.collect_list(F.struct(
-        (F.col("i") * (k + 1) + F.col("j")).alias("ij"), F.col("v")))).alias("m"))
-    packed = attach(packed, shift, gkeys, seg_rows(shift, gkeys))
-    n = F.col("m")[F.lit(-1 * (k + 1) - 1)]
-    mean_sh = [F.col("m")[F.lit(i * (k + 1) - 1)] / n for i in range(k)]
-    mean = [F.col(f"__s{i}") + mean_sh[i] for i in range(k)]
-    cov = []
-    for i in range(k):
-        for j in range(k):
-            a, b = min(i, j), max(i, j)
-            cov.append(F.col("m")[F.lit(a * (k + 1) + b)] / n - mean_sh[a] * mean_sh[b])
-    return packed.select(*gkeys, n.cast("long").alias("n"), F.array(*mean).alias("mean"), F.array(*cov).alias("cov"))
+    # Assemble one row per group from its summed cells: at most k(k+1)/2 + k + 1 rows per group, however
+    # many data rows the group has, so a hot segment costs the same as any other here.
+    shift_arr = shift.select(*gkeys, F.array(*[F.col(f"__s{i}") for i in range(k)]).alias("__shift"))
+    cells = attach(sums, shift_arr, gkeys, seg_rows(shift_arr, gkeys))
+    if not gkeys:
+        cells = cells.withColumn("__g", F.lit(0))
+    keys = gkeys or ["__g"]
+    res_schema = T.StructType([f for f in cells.schema.fields if f.name in keys] + [
+        T.StructField("n", T.LongType()), T.StructField("mean", T.ArrayType(T.DoubleType())),
+        T.StructField("cov", T.ArrayType(T.DoubleType()))])
+
+    def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
+        i = pdf["i"].to_numpy()
+        j = pdf["j"].to_numpy()
+        v = pdf["v"].to_numpy(float)
+        shift_v = np.asarray(pdf["__shift"].iloc[0], float)
+        n = float(v[(i == -1) & (j == -1)][0])
+        sx = np.zeros(k)
+        sel = (i >= 0) & (j == -1)
+        sx[i[sel]] = v[sel]
+        xtx = np.zeros((k, k))
+        sel = (i >= 0) & (j >= 0)
+        xtx[i[sel], j[sel]] = v[sel]
+        xtx = np.triu(xtx) + np.triu(xtx, 1).T
+        msh = sx / n
+        cov = xtx / n - np.outer(msh, msh)
+        row = {c: pdf[c].iloc[0] for c in keys}
+        row.update({"n": int(n), "mean": (shift_v + msh).tolist(), "cov": cov.reshape(-1).tolist()})
+        return pd.DataFrame([row], columns=[f.name for f in res_schema.fields])
+
+    out = cells.groupBy(*keys).applyInPandas(assemble, res_schema)
+    return out.drop("__g") if not gkeys else out

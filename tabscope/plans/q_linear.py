@@ -256,3 +256,31 @@ def q_ols_cv(spark, sf):
 def q_pca_two(spark, sf):
     p = L.pca(fixtures.v_sales(spark, sf), ["net", "gross"])
     return rnd(p.select("n_components", "explained", F.col("eigenvalues")[0].alias("ev_0"), F.col("eigenvalues")[1].alias("ev_1")))
+
+
+# --- wide inputs: the 64-dimension embeddings table (blocked kernels) ---------------------------------
+
+def _embedding_columns(spark, sf):
+    from tabscope.sources.tables import read_table
+    emb = read_table(spark, sf, "embeddings")
+    k = emb.agg(F.max(F.size("embedding")).alias("k")).collect()[0]["k"]  # vector width, one number
+    cols = [f"e{i}" for i in range(k)]
+    return emb.select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)]), cols
+
+
+@register("embedding_corr", f"""
+  WITH u AS (SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS d, unnest(embedding) AS v FROM embeddings)
+  SELECT a.d AS i, b.d AS j, 'e' || a.d AS feature_a, 'e' || b.d AS feature_b, CAST(count(*) AS BIGINT) AS n,
+         CASE WHEN isnan(corr(a.v, b.v)) THEN NULL ELSE {r6('corr(a.v, b.v)')} END AS r
+  FROM u a JOIN u b ON a.vec_id = b.vec_id AND a.d < b.d GROUP BY a.d, b.d""")
+def q_embedding_corr(spark, sf):
+    """COR1 on 64 columns: every pair from one blocked pass (per-batch X'X with presence masks)."""
+    emb, cols = _embedding_columns(spark, sf)
+    return rnd(C.corr_long(emb, cols))
+
+
+@register("embedding_vif")
+def q_embedding_vif(spark, sf):
+    """VIF2 on 64 columns from the blocked moments kernel (rows-only: a 64 x 64 inverse has no SQL form)."""
+    emb, cols = _embedding_columns(spark, sf)
+    return rnd(L.vif(emb, cols, basis="std"))

@@ -259,3 +259,50 @@ def q_standardized_moments(spark, sf):
     long = agg.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}.mean_z").alias("mean_z"),
                                                    F.col(f"{c}.ss_z").alias("ss_z")) for c in _STD])).alias("s")).select("s.*")
     return long.select("column", (F.round("mean_z", 6) + 0.0).alias("mean_z"), (F.round("ss_z", 3) + 0.0).alias("ss_z"))
+
+
+@register("numeric_projection", _V("v_defect") + f"""
+  SELECT l_orderkey, l_linenumber, {r6('qty')} AS qty, {r6('price')} AS price, {r6('discount')} AS discount FROM v_defect""")
+def q_numeric_projection(spark, sf):
+    """PRJ2: statistics-numeric columns only (strings dropped by schema, no job)."""
+    return rnd(profile.numeric_projection(fixtures.v_defect(spark, sf)))
+
+
+@register("fill_zero", _V("v_defect") + f"""
+  SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (WHERE coalesce(qty, 0) = 0) AS BIGINT) AS n_zero,
+         {r6('sum(coalesce(qty, 0))', 4)} AS sum_qty FROM v_defect""")
+def q_fill_zero(spark, sf):
+    """CLN2: feature nulls -> 0."""
+    z = prepare.fill_zero(fixtures.v_defect(spark, sf), ["qty"])
+    return rnd(z.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("qty") == 0).alias("n_zero"),
+                     F.sum("qty").alias("sum_qty")), 4)
+
+
+_SALES = ["l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "net", "gross"]
+
+
+def _signals_sql():
+    feats = [c for c in _SALES if c != "gross"]
+    pairs = []
+    for i in range(len(_SALES)):
+        for j in range(i + 1, len(_SALES)):
+            a, b = _SALES[i], _SALES[j]
+            pairs.append(f"SELECT '{a}' AS fa, '{b}' AS fb, CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE corr({a}, {b}) END AS r FROM v_sales")
+    return (_V("v_sales") + "," + O.quality_parts_ctes("v_sales", _SALES, _SALES, [], []) + f""",
+      pr AS ({' UNION ALL '.join(pairs)})
+      SELECT CAST(count(*) AS BIGINT) AS n_rows, {len(feats)} AS n_features, {r6('1.0')} AS numeric_ratio,
+             CASE WHEN count(*) = 0 THEN 'unknown'
+                  WHEN count(DISTINCT gross) <= 20 OR count(DISTINCT gross) * 1.0 / greatest(count(*), 1) <= 0.05 THEN 'classification'
+                  ELSE 'regression' END AS target_type,
+             (SELECT {r6('round(coalesce(avg(abs(r)), 0), 3)')} FROM pr WHERE fa = 'gross' OR fb = 'gross') AS avg_correlation,
+             (SELECT {r6('round(coalesce(max(abs(r)), 0), 3)')} FROM pr WHERE fa <> 'gross' AND fb <> 'gross') AS max_correlation,
+             (SELECT {r6('round(round(' + O.OVERALL + ', 1), 1)')} FROM qp) AS data_quality_score,
+             {r6('0.0')} AS missing_percentage
+      FROM v_sales""")
+
+
+@register("table_signals", _signals_sql())
+def q_table_signals(spark, sf):
+    """AGG15: table signals of the collinear view with target gross."""
+    from tabscope.plans.evidence import signals
+    return rnd(signals(fixtures.v_sales(spark, sf), "gross"))
