@@ -95,3 +95,20 @@ def test_exact_cv_matches_refits(spark):
         pred = beta[0] + te[["x1", "x2"]].to_numpy() @ beta[1:]
         scores.append(1 - ((te.y - pred) ** 2).sum() / ((te.y - te.y.mean()) ** 2).sum())
     assert abs(got["cv_r2_mean"] - np.mean(scores)) < 1e-9 and abs(got["cv_r2_std"] - np.std(scores)) < 1e-9
+
+
+def test_blocked_moments_match_aggregate_kernel(spark):
+    from tabscope.operators.moments import moments
+    rng = np.random.default_rng(12)
+    n = 900
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, n), **{f"c{i}": rng.normal(loc=1e4, size=n) for i in range(6)}})
+    pdf.loc[::17, "c2"] = np.nan
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None),
+                               "g long, " + ", ".join(f"c{i} double" for i in range(6)))
+    cols = [f"c{i}" for i in range(6)]
+    a = {r["g"]: r for r in moments(df, cols, ["g"], wide=False).collect()}
+    b = {r["g"]: r for r in moments(df, cols, ["g"], wide=True).collect()}
+    for g in a:
+        assert a[g]["n"] == b[g]["n"]
+        assert np.allclose(a[g]["mean"], b[g]["mean"], rtol=1e-12)
+        assert np.allclose(a[g]["cov"], b[g]["cov"], rtol=1e-9, atol=1e-9)
