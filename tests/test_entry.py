@@ -33,3 +33,16 @@ def test_selected_queries_match_duckdb_at_sf0001(spark):
                         for r in res.fetchall())
         assert sorted(sdf.columns) == sorted(cols), name
         assert s_rows == o_rows, name
+
+
+def test_diagnose_end_to_end(spark):
+    from tabscope.plans.diagnose import diagnose
+    from tabscope.sources import fixtures
+    v = fixtures.v_nonlin(spark, SF_SMALL).select("l_suppkey", "l_orderkey", "l_quantity", "y")
+    out = diagnose(v, "y", ["l_quantity"], split_key="l_orderkey")
+    dec = out["decision"].collect()
+    assert len(dec) == 1 and dec[0]["decision"] == "NON_LINEARITY"
+    assert out["top_actions"].count() >= 1 and out["risk_items"].count() == 4
+    assert out["financial"].collect()[0]["implementation_cost"] == 23000.0
+    seg = diagnose(v, "y", ["l_quantity"], by=["l_suppkey"], split_key="l_orderkey")
+    assert seg["decision"].count() == v.select("l_suppkey").distinct().count()
