@@ -169,7 +169,8 @@ def _corr_blocked(base: DataFrame, cols: list[str], by: list[str], diagonal: boo
     from tabscope.operators.segments import attach, seg_rows
 
     k = len(cols)
-    shift = base.groupBy(*by).agg(*[F.coalesce(F.avg(f"__x{i}"), F.lit(0.0)).alias(f"__s{i}") for i in range(k)])
+    # one row per segment, used twice (shift the data, then restore means): materialise it once
+    shift = base.groupBy(*by).agg(*[F.coalesce(F.avg(f"__x{i}"), F.lit(0.0)).alias(f"__s{i}") for i in range(k)]).checkpoint(eager=True)
     data = attach(base, shift, by, seg_rows(shift, by))
     key_fields = [f for f in data.schema.fields if f.name in by]
     names = ["n", "sxy", "sx_i", "sx_j", "sxx_i", "sxx_j"]

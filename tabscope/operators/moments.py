@@ -57,7 +57,7 @@ def moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), part:
 def _moments_blocked(base: DataFrame, k: int, gkeys: list[str]) -> DataFrame:
     # Shift by per-group means from a cheap first pass so the summed cross products stay well-conditioned
     # (means over all present values; any shift works, a close one keeps the sums small).
-    shift = base.groupBy(*gkeys).agg(*[F.coalesce(F.avg(f"__x{i}"), F.lit(0.0)).alias(f"__s{i}") for i in range(k)])
+    shift = base.groupBy(*gkeys).agg(*[F.coalesce(F.avg(f"__x{i}"), F.lit(0.0)).alias(f"__s{i}") for i in range(k)]).checkpoint(eager=True)
     data = attach(base, shift, gkeys, seg_rows(shift, gkeys))
     key_fields = [f for f in data.schema.fields if f.name in gkeys]
     out_schema = T.StructType(key_fields + [

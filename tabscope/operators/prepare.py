@@ -144,7 +144,7 @@ def standardize(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
     by = seg_cols(by)
     stats = df.groupBy(*by).agg(*[
         F.struct(F.avg(as_double(df, c)).alias("m"), F.stddev_pop(as_double(df, c)).alias("s")).alias(f"__s{i}")
-        for i, c in enumerate(columns)])
+        for i, c in enumerate(columns)]).checkpoint(eager=True)
     j = attach(df, stats, by, seg_rows(stats, by))
     for i, c in enumerate(columns):
         s = F.col(f"__s{i}.s")

@@ -237,7 +237,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30, by: Sequence[str] = ()
     by = seg_cols(by)
     v = as_double(df, column)
     base = df.select(*[F.col(f"`{b}`") for b in by], v.alias("v")).where(F.col("v").isNotNull())
-    rng = base.groupBy(*by).agg(F.min("v").alias("vmin"), F.max("v").alias("vmax"))
+    rng = base.groupBy(*by).agg(F.min("v").alias("vmin"), F.max("v").alias("vmax")).checkpoint(eager=True)
     width = (F.col("vmax") - F.col("vmin")) / bins
     b = F.when(F.col("vmax") == F.col("vmin"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("v") - F.col("vmin")) / (F.col("vmax") - F.col("vmin")) * bins), F.lit(bins - 1))).cast("int")
@@ -257,7 +257,8 @@ def pair_bins(df: DataFrame, x: str, y: str, bins: int = 10, by: Sequence[str] =
     """AGG17: 2-D equal-width bin counts of rows where both columns are present (non-empty cells only)."""
     by = seg_cols(by)
     base = df.select(*[F.col(f"`{b}`") for b in by], as_double(df, x).alias("x"), as_double(df, y).alias("y")).dropna(subset=["x", "y"])
-    rng = base.groupBy(*by).agg(F.min("x").alias("xmin"), F.max("x").alias("xmax"), F.min("y").alias("ymin"), F.max("y").alias("ymax"))
+    rng = base.groupBy(*by).agg(F.min("x").alias("xmin"), F.max("x").alias("xmax"), F.min("y").alias("ymin"),
+                                F.max("y").alias("ymax")).checkpoint(eager=True)
 
     def _bin(v, lo, hi):
         return F.when(F.col(hi) == F.col(lo), F.lit(0)).otherwise(
