@@ -96,7 +96,7 @@ def quantiles(
     ranks = ranks.select(
         *keys, "rank", fr.alias("fr"), F.col("fmin").alias("lo"), F.col("fmax").alias("hi"),
         F.lit(0).cast("long").alias("below"), direct.alias("value"),
-    ).checkpoint(eager=True)
+    )  # derived from the checkpointed targets by a projection: cheap to re-read
 
     resolved = [ranks.where(F.col("value").isNotNull()).select(*keys, "rank", "value")]
     open_ = ranks.where(F.col("value").isNull()).drop("value")  # a filter over checkpointed rows

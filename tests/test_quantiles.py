@@ -54,3 +54,16 @@ def test_hot_value_resolves_without_spread(spark):
     df = spark.createDataFrame(pd.DataFrame({"x": v}))
     r = quantiles_wide(df, ["x"], [0.5], ["m"]).collect()[0]
     assert abs(r["m"] - _np_q(v, 0.5)) < 1e-12
+
+
+def test_hot_segment_matches_each_segment(spark):
+    # segment 0 holds a third of all rows; results per segment equal numpy on that segment alone
+    rng = np.random.default_rng(9)
+    n = 3000
+    g = np.where(np.arange(n) < n // 3, 0, rng.integers(1, 40, n))
+    x = rng.gamma(2.0, 10.0, n)
+    pdf = pd.DataFrame({"g": g, "x": x})
+    out = {r["g"]: r for r in quantiles_wide(spark.createDataFrame(pdf), ["x"], [0.1, 0.5, 0.9], ["a", "b", "c"], by=["g"]).collect()}
+    for key, part in pdf.groupby("g"):
+        for p, nm in ((0.1, "a"), (0.5, "b"), (0.9, "c")):
+            assert abs(out[key][nm] - _np_q(part["x"].to_numpy(), p)) < 1e-9
