@@ -45,14 +45,14 @@ def diagnose(df: DataFrame, target: str, features: Sequence[str] | None = None,
     if features is None:
         skip = set(by) | {target} | ({split_key} if split_key else set())
         features = [f.name for f in df.schema.fields if f.name not in skip and is_stat_numeric(f.dataType)]
-    t = EV.segment_evidence(df, target, list(features), test_flag, by)
+    t = EV.segment_evidence(df, target, list(features), test_flag, by, materialize=materialize and not (mllib_models and not by))
     if mllib_models and not by:
         from tabscope.operators.models import compare_models
         models = EV.rank_models(compare_models(df, list(features), target, test_flag))
         sig, fa, ana = t["signals"], t["feature_analysis"], t["analysis"]
         t["models"] = models
         t["evidence"] = EV.evidence(sig, fa, ana.select(*by, "r2"), models, by)
-    if materialize:
+    if materialize and mllib_models and not by:
         t = {k: v.checkpoint(eager=True) for k, v in t.items()}
     ev = t["evidence"]
     dec = RU.decision_table(ev, by)

@@ -172,7 +172,7 @@ def evidence(sig: DataFrame, fa: DataFrame, r2: DataFrame, models: DataFrame | N
 
 
 def segment_evidence(df: DataFrame, target: str, features: Sequence[str], test_flag: Column, by: Sequence[str] = (),
-                     include_target_pairs: bool = True) -> dict[str, DataFrame]:
+                     include_target_pairs: bool = True, materialize: bool = False) -> dict[str, DataFrame]:
     """Evidence for every segment of ``df`` (columns analysed: features + target).
 
     Returns the intermediate tables too: signals, feature_analysis, analysis (OLS), models, evidence.
@@ -188,5 +188,11 @@ def segment_evidence(df: DataFrame, target: str, features: Sequence[str], test_f
     num_feats = [c for c in features if c in numeric]
     ana = L.linear_analysis(work, num_feats, target, F.col("__test"), by)
     models = rank_models(closed_form_models(work, num_feats, target, F.col("__test"), by), by)
+    if materialize:
+        # each is one row per segment (or per segment and model); checkpoint them before the evidence
+        # join so the evidence reads them instead of recomputing their scans
+        sig, fa, ana, models = (t.checkpoint(eager=True) for t in (sig, fa, ana, models))
     ev = evidence(sig, fa, ana.select(*by, "r2"), models, by)
+    if materialize:
+        ev = ev.checkpoint(eager=True)
     return {"signals": sig, "feature_analysis": fa, "analysis": ana, "models": models, "evidence": ev}

@@ -55,8 +55,7 @@ def family_tables(spark, sf, fam):
     if key not in _FAMILY_MEMO:
         view, g, x, y, s = FAMILIES[fam]
         df = _source(spark, sf, view).select(g, s, x, y)
-        tables = EV.segment_evidence(df, y, [x], split_flag(s, method="mod"), by=[g])
-        _FAMILY_MEMO[key] = {k: t.checkpoint(eager=True) for k, t in tables.items()}
+        _FAMILY_MEMO[key] = EV.segment_evidence(df, y, [x], split_flag(s, method="mod"), by=[g], materialize=True)
     return _FAMILY_MEMO[key]
 
 
