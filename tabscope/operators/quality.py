@@ -22,7 +22,7 @@ from tabscope.functions.columns import (
     LEXICAL_KIND_PATTERNS, analysed_columns, as_double, finite_or_null, is_stat_numeric, lexical_kind, seg_cols,
 )
 from tabscope.operators.quantiles import quantiles_wide
-from tabscope.operators.segments import attach, seg_join, seg_rows
+from tabscope.operators.segments import BROADCAST_ROWS, attach, seg_join, seg_rows
 
 # Weights, thresholds and labels of the quality score.
 WEIGHTS = {"completeness": 0.25, "uniqueness": 0.20, "consistency": 0.20, "plausibility": 0.20, "feature_richness": 0.15}
@@ -119,17 +119,36 @@ def quality_parts(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str]
     any_null = F.lit(False)
     for c in cols:
         any_null = any_null | _null(df, c)
-    a = df.groupBy(*by).agg(
+    # One aggregation per segment for rows, complete rows, kind bitmasks and outliers: the data is
+    # left-joined to the segment's fences (a small checkpointed table) so no second scan is needed.
+    data = df.select(*[F.col(f"`{b}`") for b in by], any_null.alias("__anynull"),
+                     *[_kind_bit(c).alias(f"__kb{i}") for i, c in enumerate(strings)],
+                     *[finite_or_null(as_double(df, c)).alias(f"__v{i}") for i, c in enumerate(numeric)])
+    outl = vals = F.lit(0)
+    if numeric:
+        f = fences(df, by, numeric).where("usable")
+        wide = f.groupBy(*by).agg(*[
+            F.struct(F.max(F.when(F.col("column") == c, F.col("fence_lo"))).alias("lo"),
+                     F.max(F.when(F.col("column") == c, F.col("fence_hi"))).alias("hi")).alias(f"__f{i}")
+            for i, c in enumerate(numeric)]).checkpoint(eager=True)
+        small = seg_rows(wide, by)
+        data = seg_join(data, wide, by, "left", broadcast_right=small <= BROADCAST_ROWS)
+        outl = sum((F.when((F.col(f"__v{i}") < F.col(f"__f{i}.lo")) | (F.col(f"__v{i}") > F.col(f"__f{i}.hi")), 1).otherwise(0)
+                    for i in range(len(numeric))), F.lit(0))
+        vals = sum((F.when(F.col(f"__v{i}").isNotNull() & F.col(f"__f{i}.lo").isNotNull(), 1).otherwise(0)
+                    for i in range(len(numeric))), F.lit(0))
+    a = data.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(~any_null).alias("n_complete"),
-        *[F.bit_or(_kind_bit(c)).alias(f"__k{i}") for i, c in enumerate(strings)],
+        F.count_if(~F.col("__anynull")).alias("n_complete"),
+        *[F.bit_or(f"__kb{i}").alias(f"__k{i}") for i in range(len(strings))],
+        F.sum(outl).cast("long").alias("outlier_total"),
+        F.sum(vals).cast("long").alias("value_total"),
     )
     issues = sum((F.when(F.bit_count(F.coalesce(F.col(f"__k{i}"), F.lit(0))) > TYPE_DIVERSITY_THRESHOLD, 1).otherwise(0)
                   for i in range(len(strings))), F.lit(0))
-    a = a.select(*by, "n_rows", "n_complete", issues.alias("consistency_issues"))
-    o = outlier_counts(df, by, cols)
+    a = a.select(*by, "n_rows", "n_complete", issues.alias("consistency_issues"), "outlier_total", "value_total")
     d = duplicate_counts(df, by, cols).drop("n_rows")
-    j = seg_join(seg_join(a, o, by), d, by)
+    j = seg_join(a, d, by)
     rows = F.greatest(F.col("n_rows"), F.lit(1))
     return j.select(
         *by,
