@@ -1,10 +1,12 @@
 """Five-part data-quality score per segment (AGG5-AGG10).
 
 Passes over the data:
-  A. one aggregation: rows, complete rows, lexical-kind bitmask per string column;
-  B. exact quartiles of the numeric columns (``quantiles``), then one
-     aggregation counting values outside the Tukey fences, with the fences
-     attached per segment (broadcast only under a checked row count);
+  A. exact quartiles of the numeric columns (``quantiles``: a stats pass and
+     one or two histogram rounds), giving Tukey fences per segment and column;
+  B. one aggregation over the data left-joined to the fences (a checkpointed
+     one-row-per-segment table, broadcast only under a checked row count):
+     rows, complete rows, lexical-kind bitmask per string column, values
+     outside the fences and values counted;
   C. duplicate rows: group by segment + every column (partial aggregation
      collapses a hot duplicated row map-side), then count groups.
 The per-segment results are joined on the segment keys.

@@ -1,8 +1,9 @@
 """Domain inference from column names (DOM1, DOM2).
 
 The column catalog is one row per (dataset, column) taken from table
-schemas; it is joined to a small keyword table on substring containment
-(broadcast: the keyword table has a fixed size) and scored per dataset.
+schemas.  Each row is matched against the fixed keyword lists with an array
+expression (substring containment, no join), and the distinct keywords found
+are scored per dataset.
 """
 
 from __future__ import annotations
