@@ -179,26 +179,40 @@ def _corr_blocked(base: DataFrame, cols: list[str], by: list[str], diagonal: boo
     ii, jj = np.triu_indices(k, 0 if diagonal else 1)
 
     def block(it):
+        xc = [f"__x{i}" for i in range(k)]
+        sc = [f"__s{i}" for i in range(k)]
+        p = len(ii)
         for pdf in it:
             if pdf.empty:
                 continue
-            groups = pdf.groupby(by, dropna=False, sort=False) if by else [((), pdf)]
-            for key, g in groups:
-                x = g[[f"__x{i}" for i in range(k)]].to_numpy(float)
-                sh = g[[f"__s{i}" for i in range(k)]].to_numpy(float)
+            x_all = pdf[xc].to_numpy(float)
+            sh_all = pdf[sc].to_numpy(float)
+            # segments of this batch as contiguous slices of one sort (no per-segment DataFrames)
+            codes = pdf.groupby(by, dropna=False, sort=False).ngroup().to_numpy() if by else np.zeros(len(pdf), int)
+            order = np.argsort(codes, kind="stable")
+            cs = codes[order]
+            starts = np.r_[0, np.flatnonzero(np.diff(cs)) + 1]
+            ends = np.r_[starts[1:], len(cs)]
+            blocks, first = [], []
+            for s0, e0 in zip(starts, ends):
+                idx = order[s0:e0]
+                x = x_all[idx]
                 m = ~np.isnan(x)
-                x0 = np.where(m, x - sh, 0.0)
+                x0 = np.where(m, x - sh_all[idx], 0.0)
                 mf = m.astype(float)
                 n = mf.T @ mf
                 sx = x0.T @ mf
                 sxx = (x0 * x0).T @ mf
                 sxy = x0.T @ x0
-                out = pd.DataFrame({"i": ii.astype("int32"), "j": jj.astype("int32"), "n": n[ii, jj], "sxy": sxy[ii, jj],
-                                    "sx_i": sx[ii, jj], "sx_j": sx[jj, ii], "sxx_i": sxx[ii, jj], "sxx_j": sxx[jj, ii]})
-                kv = key if isinstance(key, tuple) else (key,)
-                for nm, val in zip(by, kv):
-                    out.insert(0, nm, val)
-                yield out[[f.name for f in schema.fields]]
+                blocks.append(np.column_stack([n[ii, jj], sxy[ii, jj], sx[ii, jj], sx[jj, ii], sxx[ii, jj], sxx[jj, ii]]))
+                first.append(idx[0])
+            out = pd.DataFrame(np.vstack(blocks), columns=names)
+            g = len(blocks)
+            out["i"] = np.tile(ii, g).astype("int32")
+            out["j"] = np.tile(jj, g).astype("int32")
+            for nm in by:
+                out[nm] = np.repeat(pdf[nm].to_numpy()[first], p)
+            yield out[[f.name for f in schema.fields]]
 
     sums = data.mapInPandas(block, schema).groupBy(*by, "i", "j").agg(*[F.sum(nm).alias(nm) for nm in names])
     sums = attach(sums, shift, by, seg_rows(shift, by))

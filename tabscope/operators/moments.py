@@ -64,26 +64,38 @@ def _moments_blocked(base: DataFrame, k: int, gkeys: list[str]) -> DataFrame:
         T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("v", T.DoubleType())])
 
     def block(it):
+        xc = [f"__x{i}" for i in range(k)]
+        sc = [f"__s{i}" for i in range(k)]
+        ii, jj = np.triu_indices(k)
+        ci = np.concatenate([ii, np.arange(k), [-1]]).astype("int32")
+        cj = np.concatenate([jj, np.full(k, -1), [-1]]).astype("int32")
         for pdf in it:
             if pdf.empty:
                 continue
-            groups = pdf.groupby(gkeys, dropna=False, sort=False) if gkeys else [((), pdf)]
-            for key, g in groups:
-                x = g[[f"__x{i}" for i in range(k)]].to_numpy(float) - g[[f"__s{i}" for i in range(k)]].to_numpy(float)
+            x_all = pdf[xc].to_numpy(float) - pdf[sc].to_numpy(float)
+            # segments of this batch as contiguous slices of one sort (no per-segment DataFrames)
+            codes = pdf.groupby(gkeys, dropna=False, sort=False).ngroup().to_numpy() if gkeys else np.zeros(len(pdf), int)
+            order = np.argsort(codes, kind="stable")
+            cs = codes[order]
+            starts = np.r_[0, np.flatnonzero(np.diff(cs)) + 1]
+            ends = np.r_[starts[1:], len(cs)]
+            vals, first = [], []
+            for s0, e0 in zip(starts, ends):
+                idx = order[s0:e0]
+                x = x_all[idx]
                 x = x[~np.isnan(x).any(axis=1)]  # complete rows only
                 if len(x) == 0:
                     continue
                 xtx = x.T @ x
-                sx = x.sum(axis=0)
-                ii, jj = np.triu_indices(k)
-                rows = {"i": np.concatenate([ii, np.arange(k), [-1]]).astype("int32"),
-                        "j": np.concatenate([jj, np.full(k, -1), [-1]]).astype("int32"),
-                        "v": np.concatenate([xtx[ii, jj], sx, [float(len(x))]])}
-                out = pd.DataFrame(rows)
-                kv = key if isinstance(key, tuple) else (key,)
-                for name, val in zip(gkeys, kv):
-                    out.insert(0, name, val)
-                yield out[[f.name for f in out_schema.fields]]
+                vals.append(np.concatenate([xtx[ii, jj], x.sum(axis=0), [float(len(x))]]))
+                first.append(idx[0])
+            if not vals:
+                continue
+            g = len(vals)
+            out = pd.DataFrame({"i": np.tile(ci, g), "j": np.tile(cj, g), "v": np.concatenate(vals)})
+            for name in gkeys:
+                out[name] = np.repeat(pdf[name].to_numpy()[first], len(ci))
+            yield out[[f.name for f in out_schema.fields]]
 
     sums = data.mapInPandas(block, out_schema).groupBy(*gkeys, "i", "j").agg(F.sum("v").alias("v"))
     # Assemble one row per group from its summed cells: at most k(k+1)/2 + k + 1 rows per group, however
