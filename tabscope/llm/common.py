@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabscope.session import ensure_checkpoint_dir
 
@@ -37,6 +38,16 @@ def drop_scratch(spark: SparkSession) -> None:
     root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
 
 
+BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """Mark a written table of fixed-width columns for broadcast if a count shows at most ``BROADCAST_ROWS``
+    rows (a few MB); beyond that it is returned as it is, and the join shuffles."""
+    fixed = all(f.dataType.simpleString() in ("bigint", "int", "boolean", "double") for f in df.schema)
+    return F.broadcast(df) if fixed and df.count() <= BROADCAST_ROWS else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

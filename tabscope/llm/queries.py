@@ -25,3 +25,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = simhash_near_duplicates(read_table(spark, sf_dir, "documents"), radius=2, shingle=3)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of 10 words found in all documents."""
+    from tabscope.llm.decontam import contamination
+
+    out = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                      F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                      (F.col("n_hit") > 0).alias("contaminated"))
