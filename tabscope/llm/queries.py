@@ -57,3 +57,19 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
 FROM f
 """
+
+
+def word_tokenizer() -> str:
+    """File of the public word tokenizer; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents tokenised and packed into sequences of 4096 tokens."""
+    from tabscope.llm.packing import pack_documents
+
+    out = pack_documents(read_table(spark, sf_dir, "documents"), word_tokenizer(), capacity=4096, end_id=1)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
