@@ -73,3 +73,15 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = pack_documents(read_table(spark, sf_dir, "documents"), word_tokenizer(), capacity=4096, end_id=1)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op1_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the labels of two thirds of them."""
+    from tabscope.llm.lang_id import identify, train
+
+    docs = read_table(spark, sf_dir, "documents")
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    net = train(docs.where(F.coalesce(third != 1, F.lit(True))))
+    out = identify(docs.select("doc_id", F.coalesce(third == 1, F.lit(False)).alias("held_out"), "text"), net)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
