@@ -85,3 +85,14 @@ def op1_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = train(docs.where(F.coalesce(third != 1, F.lit(True))))
     out = identify(docs.select("doc_id", F.coalesce(third == 1, F.lit(False)).alias("held_out"), "text"), net)
     return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets and linked credential parts in all documents."""
+    from tabscope.llm.secret_scan import BASE, scan, told
+
+    out = scan(read_table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("bigint").alias(f"n_{k}") for i, k in enumerate(BASE)]
+    return out.select("carry.doc_id", *counts, F.sha2(told(F.col("base")).cast("binary"), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
