@@ -96,3 +96,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("bigint").alias(f"n_{k}") for i, k in enumerate(BASE)]
     return out.select("carry.doc_id", *counts, F.sha2(told(F.col("base")).cast("binary"), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
+@query
+def op5_hamming_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of all embeddings to every hundredth of them."""
+    from tabscope.llm.hamming_ann import nearest_neighbours
+
+    return nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
