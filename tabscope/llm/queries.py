@@ -104,3 +104,25 @@ def op5_hamming_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabscope.llm.hamming_ann import nearest_neighbours
 
     return nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query
+def op9_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations less those that are prefixes of longer ones, rendered."""
+    from tabscope.llm.chat_collapse import collapse_and_render
+
+    return collapse_and_render(read_table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op9_chat_collapse"] = """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations),
+p AS (SELECT *, sha256(string_agg(length(role)::VARCHAR || ':' || role || length(text)::VARCHAR || ':' || text, '')
+    OVER (PARTITION BY conv_id ORDER BY place)) AS h, count(*) OVER (PARTITION BY conv_id) AS n FROM t),
+w AS (SELECT h, n, min(conv_id) AS conv_id, count(*) AS n_equal FROM p WHERE place = n GROUP BY h, n),
+m AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.place < p.n AND p.place = w.n AND p.h = w.h))
+SELECT m.conv_id, max(m.n)::BIGINT AS n_turns, max(m.n_equal)::BIGINT AS n_equal,
+  string_agg('<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10), '' ORDER BY t.place) AS rendered
+FROM m JOIN t ON t.conv_id IS NOT DISTINCT FROM m.conv_id GROUP BY m.conv_id
+"""
