@@ -126,3 +126,25 @@ SELECT m.conv_id, max(m.n)::BIGINT AS n_turns, max(m.n_equal)::BIGINT AS n_equal
   string_agg('<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10), '' ORDER BY t.place) AS rendered
 FROM m JOIN t ON t.conv_id IS NOT DISTINCT FROM m.conv_id GROUP BY m.conv_id
 """
+
+
+@query
+def op2_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that repeat across all documents, one row for each place where one stands."""
+    from tabscope.llm.paragraph_dedup import repeated_passages
+
+    return repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents by source, language and tokenizer version, loaded in one batch that is committed
+    twice."""
+    from tabscope.llm.common import scratch_path
+    from tabscope.llm.token_rollup import BLANK_WORDS, TokenRollup, inserts
+
+    rollup = TokenRollup(spark, scratch_path(spark, "token-rollup"), {"word_bpe_49k": word_tokenizer(), BLANK_WORDS: None})
+    events = inserts(read_table(spark, sf_dir, "documents"))
+    rollup.commit("load", events)
+    rollup.commit("load", events)
+    return rollup.totals()
