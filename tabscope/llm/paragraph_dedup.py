@@ -1,8 +1,11 @@
 """Repeated passages found by MinHash banding of paragraphs.
 
 Paragraphs.  A passage that was pasted into other text shares no line ends with it, so the unit of comparison is a
-stretch between sentence ends (``.``, ``!``, ``?`` or a line end) of at least ``min_words`` words; words are runs of
-letters and digits, A-Z lowered.  Paragraphs of equal words are one content from here on, with a count.
+sentence (it ends at ``.``, ``!``, ``?`` or a line end) of at least ``min_words`` words; words are runs of letters and
+digits, A-Z lowered.  Shorter sentences of a line that follow one another are taken together up to one whose last
+word's hash says so, once there are ``min_words`` of them; that end depends on the words alone, so it falls on the
+same place wherever the passage stands.  Stretches of fewer than ``MIN_DISTINCT`` different words are no paragraphs.
+Paragraphs of equal words are one content from here on, with a count.
 
 Banding.  ``tune_bands`` picks rows and bands so that two contents with Jaccard similarity ``threshold`` on
 ``shingle``-word shingles share a band with probability ``recall`` or more.  Only bands that hold two contents or
@@ -39,10 +42,10 @@ from tabscope.llm.common import ALNUM_FOLD, scratch_table, span_hashes
 from tabscope.llm.components import connected_components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99
-MIN_WORDS, MIN_PASSAGE, GAP = 8, 25, 24
+MIN_WORDS, MIN_DISTINCT, MIN_PASSAGE, GAP = 8, 5, 25, 12
 SMALL, BLOCK = 32, 1024
 MAX_BANDS = 5
-FOLD = bytes(1 if c in b".!?\n" else ALNUM_FOLD[c] for c in range(256))
+FOLD = bytes(2 if c == 10 else 1 if c in b".!?" else ALNUM_FOLD[c] for c in range(256))
 
 
 def tune_bands(threshold: float = THRESHOLD, recall: float = RECALL, max_bands: int = MAX_BANDS) -> tuple[int, int]:
@@ -55,6 +58,25 @@ def tune_bands(threshold: float = THRESHOLD, recall: float = RECALL, max_bands:
     return best
 
 
+def cut_text(text: bytes, min_words: int = MIN_WORDS):
+    """(unit, start, words) of each paragraph of a UTF-8 text; unit counts stretches, start counts words."""
+    at = unit = 0
+    for line in text.translate(FOLD).split(b"\2"):
+        short: list[bytes] = []
+        for words in [*map(bytes.split, line.split(b"\1")), None]:
+            long = words is not None and len(words) >= min_words
+            if short and (words is None or long or (len(short) >= min_words and xxhash.xxh32_intdigest(short[-1]) % 4 == 0)):
+                if len(short) >= min_words and len(set(short)) >= MIN_DISTINCT:
+                    yield unit, at, short
+                at, unit, short = at + len(short), unit + 1, []
+            if long:
+                if len(set(words)) >= MIN_DISTINCT:
+                    yield unit, at, words
+                at, unit = at + len(words), unit + 1
+            elif words:
+                short = short + words
+
+
 def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(row, doc_id, unit, start, n, key, text) of every paragraph; start and n count words, key is the XXH64 of
     the words."""
@@ -65,15 +87,11 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for batch in batches:
             source, columns = [], [[] for _ in range(5)]
             for i, text in enumerate(batch.column(2).cast(pa.binary())):
-                start, unit = 0, 0
-                for sentence in (text.as_py() or b"").translate(FOLD).split(b"\1"):
-                    words = sentence.split()
-                    if len(words) >= min_words:
-                        joined = b" ".join(words)
-                        source.append(i)
-                        for c, v in zip(columns, (unit, start, len(words), xxhash.xxh64_intdigest(joined), joined.decode())):
-                            c.append(v)
-                    start, unit = start + len(words), unit + bool(words)
+                for unit, start, words in cut_text(text.as_py() or b"", min_words):
+                    joined = b" ".join(words)
+                    source.append(i)
+                    for c, v in zip(columns, (unit, start, len(words), xxhash.xxh64_intdigest(joined), joined.decode())):
+                        c.append(v)
             at = pa.array(source, pa.int32())
             unit, start, n, key, joined = columns
             yield pa.RecordBatch.from_arrays(
@@ -198,15 +216,17 @@ def similar_links(contents: DataFrame, threshold: float = THRESHOLD, recall: flo
 
 def repeated_paragraphs(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, shingle: int = SHINGLE,
                         min_words: int = MIN_WORDS) -> DataFrame:
-    """(row, doc_id, unit, start, n, cluster, first_doc_id, removed) of every paragraph that another one repeats."""
+    """(row, doc_id, unit, start, n, cluster, first_doc_id, removed) of every paragraph that another document
+    repeats."""
     units = paragraphs(docs, min_words)
     labels = connected_components(similar_links(units.select("key", "text"), threshold, recall, shingle)).withColumnRenamed("node", "key")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "row", "unit")
-    contents = scratch_table(units.groupBy("key").agg(F.count("*").alias("copies"), F.min(place).alias("first")), "paragraph-contents")
-    named = contents.join(labels, "key", "left").where("copies > 1 or label is not null").select("key", "copies", "first", F.coalesce("label", "key").alias("cluster"))
+    contents = scratch_table(units.groupBy("key").agg(F.count("*").alias("copies"), F.min(place).alias("first"),
+                                                      F.min("row").alias("low"), F.max("row").alias("high")), "paragraph-contents")
+    named = contents.join(labels, "key", "left").where("copies > 1 or label is not null").select("key", "first", "low", "high", F.coalesce("label", "key").alias("cluster"))
     named = scratch_table(named, "paragraph-named")
-    heads = named.groupBy("cluster").agg(F.min("first").alias("head"))
-    named = scratch_table(named.join(heads, "cluster").select("key", "cluster", "head"), "paragraph-clusters")
+    heads = named.groupBy("cluster").agg(F.min("first").alias("head"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
+    named = scratch_table(named.select("key", "cluster").join(heads.select("cluster", "head"), "cluster"), "paragraph-clusters")
     found = units.select("row", "doc_id", "unit", "start", "n", "key").join(named, "key")
     kept = (F.col("row") == F.col("head.row")) & (F.col("unit") == F.col("head.unit"))
     return found.select("row", "doc_id", "unit", "start", "n", "cluster", F.col("head.doc_id").alias("first_doc_id"), (~kept).alias("removed"))
