@@ -123,4 +123,5 @@ def keep_one_of_each(docs: DataFrame, radius: int = 2, shingle: int = 3) -> Data
     marked = simhash_components(held.select("doc_id", F.col(fp).alias("fp"), F.col(row).alias("row")), radius)
     kept = marked.groupBy("component_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     kept = scratch_table(kept.select(F.col("first.row").alias(row)), "simhash-kept")
-    return held.join(kept, row, "left_semi").select(*names)
+    # kept grows with the input, so the join is a shuffle at every size
+    return held.join(kept.hint("merge"), row, "left_semi").select(*names)
