@@ -2,8 +2,11 @@
 
 Per pair (a, b), over rows where both are present: covar_pop(a, b) and the
 population variances of a and b restricted to those rows; r = cov / (sd_a * sd_b)
-through ``try_divide`` so constant columns give null instead of an ANSI error.
-All pairs come from one aggregation (partial aggregation, skew-safe).
+through ``try_divide`` so constant columns give null instead of an ANSI error; a
+pair with +/-inf in either column has no r (null).
+Up to ``BLOCKED_MIN_K - 1`` columns all pairs come from one JVM aggregation; from
+there on the number of aggregates would grow with k squared, and a blocked kernel
+sums the same quantities per partition and segment.  Both give the same rows.
 """
 
 from __future__ import annotations
@@ -61,8 +64,7 @@ def corr_long(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[
         const = (sa <= F.lit(CONST_TOL) * F.greatest(F.lit(1.0), F.abs(F.col(f"ma{i}_{j}")))) | \
                 (sb <= F.lit(CONST_TOL) * F.greatest(F.lit(1.0), F.abs(F.col(f"mb{i}_{j}"))))
         raw = F.try_divide(F.col(f"c{i}_{j}"), sa * sb)
-        # clamp only defined values: greatest/least skip nulls and would turn an undefined r into -1
-        r = F.when(~const & (F.col(f"n{i}_{j}") > 1) & raw.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), raw)))
+        r = F.when(~const & (F.col(f"n{i}_{j}") > 1), _clamped(raw))
         entries.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(cols[i]).alias("feature_a"),
                                 F.lit(cols[j]).alias("feature_b"), F.col(f"n{i}_{j}").alias("n"), r.alias("r")))
     if diagonal:
@@ -77,6 +79,12 @@ def corr_long(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[
     return g.select(*by, F.explode(F.array(*entries)).alias("e")).select(*by, "e.*")
 
 
+def _clamped(raw):
+    """r within [-1, 1]; null where it is undefined or not finite (a column holds +/-inf).  greatest and least
+    skip nulls and put NaN above 1, so only finite values may reach them."""
+    return F.when(F.abs(raw) < F.lit(float("inf")), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), raw)))
+
+
 def target_correlations(corr: DataFrame, target: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., feature, r) of every other column with the target."""
     by = seg_cols(by)
@@ -116,9 +124,9 @@ def weak_features(corr: DataFrame, target: str, by: Sequence[str] = (), threshol
 
 def redundant_pairs(corr: DataFrame, by: Sequence[str] = (), target: str | None = None, include_target: bool = False,
                     threshold: float = REDUNDANT_R, cap: int | None = REDUNDANT_CAP) -> DataFrame:
-    """COR5: pairs with |r| > threshold in column order (i, then j); the first ``cap`` per segment.
+    """COR5: pairs with |r| > threshold in column order (i, then j); the first ``cap`` per segment, all if None.
 
-    The cap is the reference's reporting rule (first ten pairs), not a cost limit.
+    The cap is a rule for a printed listing (first ten pairs); counts and maxima take all pairs.
     """
     by = seg_cols(by)
     f = corr.where((F.col("i") < F.col("j")) & (F.abs("r") > threshold))
@@ -143,6 +151,7 @@ def high_corr_pairs(corr: DataFrame, by: Sequence[str] = (), target: str | None
 
 def _r_expr(n, sxy, sx_i, sx_j, sxx_i, sxx_j, sh_i, sh_j):
     """r from shifted pairwise sums; null for n < 2 or a (near-)constant side."""
+    n = F.when(n > 0, n)  # no common row: everything below is null
     mi, mj = sx_i / n, sx_j / n
     vi = F.greatest(sxx_i / n - mi * mi, F.lit(0.0))
     vj = F.greatest(sxx_j / n - mj * mj, F.lit(0.0))
@@ -150,8 +159,7 @@ def _r_expr(n, sxy, sx_i, sx_j, sxx_i, sxx_j, sh_i, sh_j):
     sdi, sdj = F.sqrt(vi), F.sqrt(vj)
     const = (sdi <= F.lit(CONST_TOL) * F.greatest(F.lit(1.0), F.abs(mi + sh_i))) | \
             (sdj <= F.lit(CONST_TOL) * F.greatest(F.lit(1.0), F.abs(mj + sh_j)))
-    raw = F.try_divide(cov, sdi * sdj)
-    return F.when(~const & (n > 1) & raw.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), raw)))
+    return F.when(~const & (n > 1), _clamped(F.try_divide(cov, sdi * sdj)))
 
 
 def _corr_blocked(base: DataFrame, cols: list[str], by: list[str], diagonal: bool) -> DataFrame:
@@ -166,12 +174,12 @@ def _corr_blocked(base: DataFrame, cols: list[str], by: list[str], diagonal: boo
     import pandas as pd
     from pyspark.sql import types as T
 
-    from tabscope.operators.segments import attach, seg_rows
+    from tabscope.operators.segments import attach, seg_bytes
 
     k = len(cols)
     # one row per segment, used twice (shift the data, then restore means): materialise it once
     shift = base.groupBy(*by).agg(*[F.coalesce(F.avg(f"__x{i}"), F.lit(0.0)).alias(f"__s{i}") for i in range(k)]).checkpoint(eager=True)
-    data = attach(base, shift, by, seg_rows(shift, by))
+    data = attach(base, shift, by, seg_bytes(shift, by))
     key_fields = [f for f in data.schema.fields if f.name in by]
     names = ["n", "sxy", "sx_i", "sx_j", "sxx_i", "sxx_j"]
     schema = T.StructType(key_fields + [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())]
@@ -215,7 +223,7 @@ def _corr_blocked(base: DataFrame, cols: list[str], by: list[str], diagonal: boo
             yield out[[f.name for f in schema.fields]]
 
     sums = data.mapInPandas(block, schema).groupBy(*by, "i", "j").agg(*[F.sum(nm).alias(nm) for nm in names])
-    sums = attach(sums, shift, by, seg_rows(shift, by))
+    sums = attach(sums, shift, by, seg_bytes(shift, by))
     sh_i = F.element_at(F.array(*[F.col(f"__s{i}") for i in range(k)]), F.col("i") + 1)
     sh_j = F.element_at(F.array(*[F.col(f"__s{i}") for i in range(k)]), F.col("j") + 1)
     name = F.array(*[F.lit(c) for c in cols])

@@ -25,10 +25,10 @@ from tabscope.functions import linalg
 from tabscope.operators import linear as L
 from tabscope.operators.moments import moments
 from tabscope.operators.prepare import fold_of, n_folds, one_hot, square_interaction
-from tabscope.operators.segments import seg_rows  # noqa: F401  (kept for API symmetry)
 
 VIF_THRESHOLD = 5.0
 PCA_RATIO = 0.95
+MIN_ROWS = 5
 METHODS = ("baseline", "remove_vif", "pca", "feature_engineering")
 
 
@@ -103,15 +103,19 @@ def run_experiments(df: DataFrame, features: Sequence[str], target: str, test_fl
     """EXP2-EXP5: (method, r2, cv_r2_mean, cv_r2_std, n_features, detail, error), one row per variant.
 
     ``fold_key`` feeds the deterministic fold assignment of training rows.  A variant that fails is
-    reported with r2 = -inf and its error text, as the pipeline does.
+    reported with r2 = -inf and its error text, as the pipeline does.  Fewer than ``MIN_ROWS`` prepared rows
+    are an error.
     """
     spark: SparkSession = df.sparkSession
     base = df.withColumn("__test", test_flag).withColumn("__fkey", fold_key)
     d, feats = prepare_inputs(base, features, target, keep=["__test", "__fkey"])
-    n_train = d.where(~F.col("__test")).count()
+    sizes = d.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("__test")).alias("n_train")).first()
+    if sizes["n"] < MIN_ROWS:
+        raise ValueError(f"experiments need at least {MIN_ROWS} rows with a target; got {sizes['n']}")
+    n_train = sizes["n_train"]
     k = n_folds(n_train)
     d = d.withColumn("__fold", fold_of(F.col("__fkey"), k))
-    rf = {"numTrees": 100, "maxDepth": 12, "featureSubsetStrategy": "all", "seed": 42, **(rf_params or {})}
+    rf = {"numTrees": 100, "maxDepth": 30, "featureSubsetStrategy": "all", "seed": 42, **(rf_params or {})}
 
     def score(frame: DataFrame, cols: list[str]) -> dict:
         if scorer == "linear":
@@ -124,9 +128,10 @@ def run_experiments(df: DataFrame, features: Sequence[str], target: str, test_fl
         try:
             res = fn()
         except Exception as exc:  # reported per variant, as the pipeline does
-            res = {"r2": float("-inf"), "cv_r2_mean": None, "cv_r2_std": None, "error": str(exc)[:500]}
+            res = {"r2": float("-inf"), "cv_r2_mean": None, "cv_r2_std": None, "error": str(exc)}
         def f(v):
             return None if v is None else float(v)
+        cols, detail = res.get("cols", cols), res.get("detail", detail)
         rows.append((method, f(res["r2"]), f(res["cv_r2_mean"]), f(res["cv_r2_std"]), len(cols), detail, res["error"]))
 
     record("baseline", feats, "", lambda: score(d, feats))
@@ -140,11 +145,14 @@ def run_experiments(df: DataFrame, features: Sequence[str], target: str, test_fl
     record("remove_vif", keep, "removed=" + ",".join(removed), lambda: score(d, keep))
 
     # pca: components from the standardized training rows, applied to all rows
-    model = L.pca(train, feats, ratio=PCA_RATIO)
-    proj = L.pca_project(d, feats, model)
-    mrow = model.select("n_components", "explained").collect()[0]
-    pcs = [f"pc_{i}" for i in range(int(mrow["n_components"]))]
-    record("pca", pcs, f"n_components={mrow['n_components']};explained={mrow['explained']:.6f}", lambda: score(proj, pcs))
+    def pca_variant() -> dict:
+        model = L.pca(train, feats, ratio=PCA_RATIO).checkpoint(eager=True)  # one row
+        proj = L.pca_project(d, feats, model)
+        mrow = model.select("n_components", "explained").first()
+        pcs = [f"pc_{i}" for i in range(int(mrow["n_components"]))]
+        return score(proj, pcs) | {"cols": pcs, "detail": f"n_components={mrow['n_components']};explained={mrow['explained']:.6f}"}
+
+    record("pca", feats, "", pca_variant)
 
     # feature_engineering: square of the first feature and product of the first two
     eng, added = square_interaction(d, feats)

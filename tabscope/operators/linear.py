@@ -43,8 +43,8 @@ def prepare_xy(df: DataFrame, features: Sequence[str], target: str, by: Sequence
 
 
 def r2_band(r2: Column) -> Column:
-    """REG4: critical below 0.2, warning below 0.5, else ok."""
-    return F.when(r2 < R2_CRITICAL, F.lit("critical")).when(r2 < R2_WARNING, F.lit("warning")).otherwise(F.lit("ok"))
+    """REG4: critical below 0.2, warning below 0.5, else ok; not_scored without an R^2 (no test rows)."""
+    return F.when(r2.isNull() | F.isnan(r2), F.lit("not_scored")).when(r2 < R2_CRITICAL, F.lit("critical")).when(r2 < R2_WARNING, F.lit("warning")).otherwise(F.lit("ok"))
 
 
 _HOLDOUT_SCHEMA = T.StructType([
@@ -187,13 +187,15 @@ def _vif_udf(k: int, centered: bool):
 
 
 def vif(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), basis: str = "std") -> DataFrame:
-    """VIF1 (``raw``: uncentered, no intercept, raw values) or VIF2 (``std``: standardized) on complete rows.
+    """VIF1 (``raw``: uncentered, no intercept, raw values) or VIF2 (``std``: standardized) on complete rows;
+    +/-inf counts as missing.
 
     (by..., feature, basis, vif); NaN for an all-zero/constant column, inf for a perfect fit.
     """
     by = seg_cols(by)
     cols = list(columns)
-    m = moments(df, cols, by)
+    finite = df.select(*[F.col(f"`{b}`") for b in by], *[finite_or_null(as_double(df, c)).alias(c) for c in cols])
+    m = moments(finite, cols, by)
     solve = _vif_udf(len(cols), centered=(basis == "std"))
     res = m.select(*by, solve("n", "mean", "cov").alias("v"))
     z = res.select(*by, F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in cols]).alias("feature"), F.col("v").alias("vif"))).alias("z"))
@@ -245,9 +247,9 @@ def pca_project(df: DataFrame, columns: Sequence[str], model: DataFrame, by: Seq
     """Append pc_0..pc_{k-1} (null beyond n_components) computed from standardized columns and the segment's loadings."""
     by = seg_cols(by)
     k = len(columns)
-    from tabscope.operators.segments import attach, seg_rows
+    from tabscope.operators.segments import attach, seg_bytes
     small = model.select(*by, "n_components", "mean", "cov", "loadings")
-    j = attach(df, small, by, seg_rows(small, by))
+    j = attach(df, small, by, seg_bytes(small, by))
     z = []
     for i, c in enumerate(columns):
         sd = F.sqrt(F.col("cov")[i * k + i])
@@ -294,6 +296,5 @@ def ols_cv(df: DataFrame, features: Sequence[str], target: str, fold: Column, by
         d = prepare_xy(d, feats, target, by, keep=["__fold"])
     m = moments(d, feats + [target], by, part=F.col("__fold"), part_name="__fold")
     # The per-segment fold list is bounded by the number of folds.
-    g = m.groupBy(*by).agg(F.collect_list("__fold").alias("f"), F.collect_list("n").alias("n"),
-                           F.collect_list("mean").alias("m"), F.collect_list("cov").alias("c"))
-    return g.select(*by, _cv_udf(len(feats))("f", "n", "m", "c").alias("s")).select(*by, "s.*")
+    g = m.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col("__fold").alias("f"), "n", F.col("mean").alias("m"), F.col("cov").alias("c")))).alias("p"))
+    return g.select(*by, _cv_udf(len(feats))("p.f", "p.n", "p.m", "p.c").alias("s")).select(*by, "s.*")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscope.functions.columns import as_double, seg_cols
-from tabscope.operators.segments import attach, seg_rows
+from tabscope.operators.segments import attach, seg_bytes
 
 WIDE_K = 24
 
@@ -58,7 +58,7 @@ def _moments_blocked(base: DataFrame, k: int, gkeys: list[str]) -> DataFrame:
     # Shift by per-group means from a cheap first pass so the summed cross products stay well-conditioned
     # (means over all present values; any shift works, a close one keeps the sums small).
     shift = base.groupBy(*gkeys).agg(*[F.coalesce(F.avg(f"__x{i}"), F.lit(0.0)).alias(f"__s{i}") for i in range(k)]).checkpoint(eager=True)
-    data = attach(base, shift, gkeys, seg_rows(shift, gkeys))
+    data = attach(base, shift, gkeys, seg_bytes(shift, gkeys))
     key_fields = [f for f in data.schema.fields if f.name in gkeys]
     out_schema = T.StructType(key_fields + [
         T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("v", T.DoubleType())])
@@ -101,7 +101,7 @@ def _moments_blocked(base: DataFrame, k: int, gkeys: list[str]) -> DataFrame:
     # Assemble one row per group from its summed cells: at most k(k+1)/2 + k + 1 rows per group, however
     # many data rows the group has, so a hot segment costs the same as any other here.
     shift_arr = shift.select(*gkeys, F.array(*[F.col(f"__s{i}") for i in range(k)]).alias("__shift"))
-    cells = attach(sums, shift_arr, gkeys, seg_rows(shift_arr, gkeys))
+    cells = attach(sums, shift_arr, gkeys, seg_bytes(shift_arr, gkeys))
     if not gkeys:
         cells = cells.withColumn("__g", F.lit(0))
     keys = gkeys or ["__g"]
@@ -129,4 +129,11 @@ def _moments_blocked(base: DataFrame, k: int, gkeys: list[str]) -> DataFrame:
         return pd.DataFrame([row], columns=[f.name for f in res_schema.fields])
 
     out = cells.groupBy(*keys).applyInPandas(assemble, res_schema)
-    return out.drop("__g") if not gkeys else out
+    if gkeys:
+        return out
+    # without keys there is one row, as from an aggregation: n = 0 if no row is complete
+    none = F.array_repeat(F.lit(None).cast("double"), F.lit(k))
+    one = base.sparkSession.range(1).select(F.lit(0).alias("__g"))
+    return one.join(out, "__g", "left").select(
+        F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("mean", none).alias("mean"),
+        F.coalesce("cov", F.array_repeat(F.lit(None).cast("double"), F.lit(k * k))).alias("cov"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tabscope.functions.columns import as_double, finite_or_null, seg_cols
 from tabscope.operators.quantiles import quantiles_wide
-from tabscope.operators.segments import attach, seg_rows
+from tabscope.operators.segments import attach, seg_bytes
 
 
 def drop_null_target(df: DataFrame, target: str, inf_as_null: bool = False) -> DataFrame:
@@ -62,7 +62,7 @@ def impute_median(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
             out = out.withColumn(c, F.coalesce(as_double(base, c), F.lit(m if m is not None else 0.0).cast("double")))
         return out
     wide = wide.checkpoint(eager=True)
-    j = attach(base, wide, by, seg_rows(wide, by))
+    j = attach(base, wide, by, seg_bytes(wide, by))
     for i, c in enumerate(columns):
         j = j.withColumn(c, F.coalesce(as_double(j, c), F.col(f"__m{i}"), F.lit(0.0)))
     return j.drop(*[f"__m{i}" for i in range(len(columns))]).select(*df.columns)
@@ -145,7 +145,7 @@ def standardize(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
     stats = df.groupBy(*by).agg(*[
         F.struct(F.avg(as_double(df, c)).alias("m"), F.stddev_pop(as_double(df, c)).alias("s")).alias(f"__s{i}")
         for i, c in enumerate(columns)]).checkpoint(eager=True)
-    j = attach(df, stats, by, seg_rows(stats, by))
+    j = attach(df, stats, by, seg_bytes(stats, by))
     for i, c in enumerate(columns):
         s = F.col(f"__s{i}.s")
         scale = F.when((s.isNull()) | (s == 0), F.lit(1.0)).otherwise(s)

@@ -167,7 +167,7 @@ def target_kind(df: DataFrame, target: str, by: Sequence[str] = ()) -> DataFrame
     """AGG12: (by..., n_rows, n_distinct, target_type)."""
     by = seg_cols(by)
     numeric = is_overview_numeric(df.schema[target].dataType)
-    t = F.col(f"`{target}`")
+    t = as_double(df, target) if isinstance(df.schema[target].dataType, (T.FloatType, T.DoubleType)) else F.col(f"`{target}`")
     agg = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(t).alias("n_distinct"))
     return agg.withColumn("target_type", target_kind_expr(F.col("n_rows"), F.col("n_distinct"), numeric))
 
@@ -191,7 +191,7 @@ def choose_target(df: DataFrame, requested: str | None = None, by: Sequence[str]
     if not numeric:
         return df.groupBy(*by).agg(F.lit(None).cast("string").alias("target"))
     agg = df.groupBy(*by).agg(*[
-        F.struct(F.count_distinct(F.col(f"`{c}`")).alias("nd"), F.var_samp(as_double(df, c)).alias("var")).alias(c)
+        F.struct(F.count_distinct(as_double(df, c)).alias("nd"), F.var_samp(as_double(df, c)).alias("var")).alias(c)
         for c in numeric
     ])
     stack = F.explode(F.array(*[
@@ -241,8 +241,8 @@ def histogram(df: DataFrame, column: str, bins: int = 30, by: Sequence[str] = ()
     width = (F.col("vmax") - F.col("vmin")) / bins
     b = F.when(F.col("vmax") == F.col("vmin"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("v") - F.col("vmin")) / (F.col("vmax") - F.col("vmin")) * bins), F.lit(bins - 1))).cast("int")
-    from tabscope.operators.segments import attach, seg_rows
-    counts = attach(base, rng, by, seg_rows(rng, by)).groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    from tabscope.operators.segments import attach, seg_bytes
+    counts = attach(base, rng, by, seg_bytes(rng, by)).groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = rng.select(*by, "vmin", "vmax", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     out = seg_join(grid, counts, by + ["bin"], "left")
     return out.select(
@@ -264,7 +264,7 @@ def pair_bins(df: DataFrame, x: str, y: str, bins: int = 10, by: Sequence[str] =
         return F.when(F.col(hi) == F.col(lo), F.lit(0)).otherwise(
             F.least(F.floor((F.col(v) - F.col(lo)) / (F.col(hi) - F.col(lo)) * bins), F.lit(bins - 1))).cast("int")
 
-    from tabscope.operators.segments import attach, seg_rows
-    j = attach(base, rng, by, seg_rows(rng, by))
+    from tabscope.operators.segments import attach, seg_bytes
+    j = attach(base, rng, by, seg_bytes(rng, by))
     return j.groupBy(*by, _bin("x", "xmin", "xmax").alias("x_bin"), _bin("y", "ymin", "ymax").alias("y_bin")).agg(
         F.count(F.lit(1)).alias("count"))

@@ -4,11 +4,11 @@ Passes over the data:
   A. exact quartiles of the numeric columns (``quantiles``: a stats pass and
      one or two histogram rounds), giving Tukey fences per segment and column;
   B. one aggregation over the data left-joined to the fences (a checkpointed
-     one-row-per-segment table, broadcast only under a checked row count):
+     one-row-per-segment table, broadcast only under a checked size):
      rows, complete rows, lexical-kind bitmask per string column, values
      outside the fences and values counted;
-  C. duplicate rows: group by segment + every column (partial aggregation
-     collapses a hot duplicated row map-side), then count groups.
+  C. duplicate rows: count by segment and a 128-bit row hash (a hot duplicated
+     row collapses map-side), then compare whole rows of repeated hashes only.
 The per-segment results are joined on the segment keys.
 """
 
@@ -24,7 +24,7 @@ from tabscope.functions.columns import (
     LEXICAL_KIND_PATTERNS, analysed_columns, as_double, finite_or_null, is_stat_numeric, lexical_kind, seg_cols,
 )
 from tabscope.operators.quantiles import quantiles_wide
-from tabscope.operators.segments import BROADCAST_ROWS, attach, seg_join, seg_rows
+from tabscope.operators.segments import BROADCAST_BYTES, seg_bytes, seg_join
 
 # Weights, thresholds and labels of the quality score.
 WEIGHTS = {"completeness": 0.25, "uniqueness": 0.20, "consistency": 0.20, "plausibility": 0.20, "feature_richness": 0.15}
@@ -75,40 +75,38 @@ def fences(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str] | None
     )
 
 
-def outlier_counts(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
-    """(by..., outlier_total, value_total) pooled over columns whose fences are usable."""
-    by = seg_cols(by)
-    cols = [c for c in analysed_columns(df, by, columns) if is_stat_numeric(df.schema[c].dataType)]
-    if not cols:
-        return df.groupBy(*by).agg(F.lit(0).cast("long").alias("outlier_total"), F.lit(0).cast("long").alias("value_total"))
-    f = fences(df, by, cols).where("usable")
-    # One row per segment carrying each column's fences (missing -> column skipped).
-    wide = f.groupBy(*by).agg(*[
-        F.struct(F.max(F.when(F.col("column") == c, F.col("fence_lo"))).alias("lo"),
-                 F.max(F.when(F.col("column") == c, F.col("fence_hi"))).alias("hi")).alias(f"__f{i}")
-        for i, c in enumerate(cols)
-    ]).checkpoint(eager=True)
-    data = df.select(*[F.col(f"`{b}`") for b in by], *[
-        finite_or_null(as_double(df, c)).alias(f"__v{i}") for i, c in enumerate(cols)])
-    j = attach(data, wide, by, seg_rows(wide, by))
-    outl = sum((F.when((F.col(f"__v{i}") < F.col(f"__f{i}.lo")) | (F.col(f"__v{i}") > F.col(f"__f{i}.hi")), 1).otherwise(0)
-                for i in range(len(cols))), F.lit(0))
-    vals = sum((F.when(F.col(f"__v{i}").isNotNull() & F.col(f"__f{i}.lo").isNotNull(), 1).otherwise(0)
-                for i in range(len(cols))), F.lit(0))
-    counted = j.groupBy(*by).agg(F.sum(outl).cast("long").alias("outlier_total"), F.sum(vals).cast("long").alias("value_total"))
-    segs = df.groupBy(*by).agg(F.lit(1).alias("__one"))
-    out = seg_join(segs, counted, by, "left")
-    return out.select(*by, F.coalesce("outlier_total", F.lit(0)).cast("long").alias("outlier_total"),
-                      F.coalesce("value_total", F.lit(0)).cast("long").alias("value_total"))
-
-
 def duplicate_counts(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
-    """(by..., n_rows, n_distinct_rows, n_duplicates); nulls (and NaN) compare equal, as whole-row dedup does."""
+    """(by..., n_rows, n_distinct_rows, n_duplicates); null and NaN are one value, as in whole-row dedup.
+
+    Rows are first counted by two 64-bit hashes, so 16 bytes of a row go through the shuffle; only rows whose
+    hashes occur more than once are compared as a whole.
+    """
     by = seg_cols(by)
     cols = analysed_columns(df, by, columns)
-    g = df.groupBy(*[F.col(f"`{c}`") for c in by + cols]).agg(F.count(F.lit(1)).alias("__c"))
-    agg = g.groupBy(*by).agg(F.sum("__c").cast("long").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct_rows"))
-    return agg.withColumn("n_duplicates", F.col("n_rows") - F.col("n_distinct_rows"))
+    same = [F.struct(_comparable(df, c).isNull(), _comparable(df, c)).alias(f"__d{i}") for i, c in enumerate(cols)]
+    row = F.struct(*same) if same else F.lit(0)
+    hashed = df.select(*[F.col(f"`{b}`") for b in by], row.alias("__row")).withColumns(
+        {"__h1": F.xxhash64("__row"), "__h2": F.xxhash64(F.lit(1), "__row")})
+    g = hashed.groupBy(*[F.col(f"`{b}`") for b in by], "__h1", "__h2").agg(F.count(F.lit(1)).alias("__c")).checkpoint(eager=True)
+    often = g.where("__c > 1")
+    counts = g.groupBy(*by).agg(F.coalesce(F.sum("__c"), F.lit(0)).cast("long").alias("n_rows"),
+                                F.count_if(F.col("__c") == 1).alias("__once"))
+    if often.isEmpty():
+        return counts.select(*by, "n_rows", F.col("__once").alias("n_distinct_rows"), (F.col("n_rows") - F.col("__once")).alias("n_duplicates"))
+    keys = by + ["__h1", "__h2"]
+    small = seg_bytes(often, keys) <= BROADCAST_BYTES
+    repeated = seg_join(hashed, often.select(*keys, "__c"), keys, "left_semi", broadcast_right=small)
+    distinct = repeated.groupBy(*[F.col(f"`{b}`") for b in by], "__row").agg(F.count(F.lit(1)).alias("__n"))
+    agg = seg_join(counts, distinct.groupBy(*by).agg(F.count(F.lit(1)).alias("__more")), by, "left")
+    n = (F.col("__once") + F.coalesce("__more", F.lit(0))).cast("long")
+    return agg.select(*by, "n_rows", n.alias("n_distinct_rows"), (F.col("n_rows") - n).alias("n_duplicates"))
+
+
+def _comparable(df: DataFrame, c: str):
+    """The column with NaN as null, so that both count as one value."""
+    if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
+        return as_double(df, c)
+    return F.col(f"`{c}`")
 
 
 def quality_parts(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
@@ -133,8 +131,8 @@ def quality_parts(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str]
             F.struct(F.max(F.when(F.col("column") == c, F.col("fence_lo"))).alias("lo"),
                      F.max(F.when(F.col("column") == c, F.col("fence_hi"))).alias("hi")).alias(f"__f{i}")
             for i, c in enumerate(numeric)]).checkpoint(eager=True)
-        small = seg_rows(wide, by)
-        data = seg_join(data, wide, by, "left", broadcast_right=small <= BROADCAST_ROWS)
+        small = seg_bytes(wide, by)
+        data = seg_join(data, wide, by, "left", broadcast_right=small <= BROADCAST_BYTES)
         outl = sum((F.when((F.col(f"__v{i}") < F.col(f"__f{i}.lo")) | (F.col(f"__v{i}") > F.col(f"__f{i}.hi")), 1).otherwise(0)
                     for i in range(len(numeric))), F.lit(0))
         vals = sum((F.when(F.col(f"__v{i}").isNotNull() & F.col(f"__f{i}.lo").isNotNull(), 1).otherwise(0)
@@ -143,15 +141,15 @@ def quality_parts(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str]
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(~F.col("__anynull")).alias("n_complete"),
         *[F.bit_or(f"__kb{i}").alias(f"__k{i}") for i in range(len(strings))],
-        F.sum(outl).cast("long").alias("outlier_total"),
-        F.sum(vals).cast("long").alias("value_total"),
+        F.coalesce(F.sum(outl), F.lit(0)).cast("long").alias("outlier_total"),
+        F.coalesce(F.sum(vals), F.lit(0)).cast("long").alias("value_total"),
     )
     issues = sum((F.when(F.bit_count(F.coalesce(F.col(f"__k{i}"), F.lit(0))) > TYPE_DIVERSITY_THRESHOLD, 1).otherwise(0)
                   for i in range(len(strings))), F.lit(0))
     a = a.select(*by, "n_rows", "n_complete", issues.alias("consistency_issues"), "outlier_total", "value_total")
     d = duplicate_counts(df, by, cols).drop("n_rows")
     j = seg_join(a, d, by)
-    rows = F.greatest(F.col("n_rows"), F.lit(1))
+    rows = F.greatest(F.col("n_rows"), F.lit(1))  # an empty table: nothing complete, nothing duplicated
     return j.select(
         *by,
         "n_rows",

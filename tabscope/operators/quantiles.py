@@ -18,9 +18,9 @@ a given rank is found by histogram refinement instead:
 
 Each round's state is a small table that is checkpointed, so lineage stays
 short and an executor loss only repeats the current round.  Rounds are few
-(a bin shrinks the interval ``buckets``-fold); after ``max_rounds`` any rank
-still open is taken from its remaining candidates with a window, which is
-bounded by the candidate count.
+(a bin shrinks the interval ``buckets``-fold) and always end: the two ends of
+an open interval fall into different bins, so each round leaves fewer values.
+Segment keys may be null: all joins on them are null-safe.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscope.functions.columns import as_double, finite_or_null, seg_cols
+from tabscope.operators.segments import BROADCAST_BYTES, seg_bytes, seg_join
 from tabscope.session import ensure_checkpoint_dir
 
-BROADCAST_ROWS = 200_000
 INF = float("inf")
 
 
@@ -58,7 +58,6 @@ def quantiles(
     by: Sequence[str] = (),
     drop_inf: bool = False,
     buckets: int = 65536,
-    max_rounds: int = 12,
 ) -> DataFrame:
     """Return (by..., column, prob, value, n) with pandas/numpy 'linear' quantiles of the non-null values."""
     by = seg_cols(by)
@@ -103,16 +102,13 @@ def quantiles(
     values_f = long.where(finite)
 
     n_open = open_.count()
-    rounds = 0
-    while n_open > 0 and rounds < max_rounds:
-        rounds += 1
+    while n_open > 0:
         intervals = open_.select(*keys, "lo", "hi", "below").distinct()
-        if n_open <= BROADCAST_ROWS:
-            intervals = F.broadcast(intervals)
-        width = F.col("hi") - F.col("lo")
-        bucket = F.least(F.floor((F.col("value") - F.col("lo")) / width * buckets), F.lit(buckets - 1)).cast("int")
+        # halves, so that the width of the widest interval is finite
+        width = F.col("hi") / 2 - F.col("lo") / 2
+        bucket = F.least(F.floor((F.col("value") / 2 - F.col("lo") / 2) / width * buckets), F.lit(buckets - 1)).cast("int")
         hist = (
-            values_f.join(intervals, keys)
+            seg_join(values_f, intervals, keys, broadcast_right=seg_bytes(open_, keys) <= BROADCAST_BYTES)
             .where(F.col("value").between(F.col("lo"), F.col("hi")))
             .groupBy(*keys, "lo", "hi", "below", bucket.alias("bucket"))
             .agg(F.count(F.lit(1)).alias("c"), F.min("value").alias("bmin"), F.max("value").alias("bmax"))
@@ -121,7 +117,7 @@ def quantiles(
         hist = hist.withColumn("cum", F.sum("c").over(w))
         start = F.col("below") + F.col("cum") - F.col("c")
         located = (
-            open_.join(hist, keys + ["lo", "hi", "below"])
+            seg_join(open_, hist, keys + ["lo", "hi", "below"])
             .where((F.col("fr") >= start) & (F.col("fr") < F.col("below") + F.col("cum")))
             .select(
                 *keys, "rank", "fr", F.col("bmin").alias("lo"), F.col("bmax").alias("hi"),
@@ -137,25 +133,12 @@ def quantiles(
         open_ = located.where(F.col("value").isNull()).drop("value", "c")
         n_open = open_.count()
 
-    if n_open > 0:
-        # Pathological spreads only: take the rank from the remaining candidates of each interval.
-        cand = (
-            values_f.join(F.broadcast(open_) if n_open <= BROADCAST_ROWS else open_, keys)
-            .where(F.col("value").between(F.col("lo"), F.col("hi")))
-        )
-        w = Window.partitionBy(*keys, "rank").orderBy("value")
-        resolved.append(
-            cand.withColumn("i", F.row_number().over(w) - 1 + F.col("below"))
-            .where(F.col("i") == F.col("fr"))
-            .select(*keys, "rank", "value")
-        )
-
     allv = resolved[0]
     for r in resolved[1:]:
         allv = allv.unionByName(r)
     v0 = allv.select(*keys, F.col("rank").alias("r0"), F.col("value").alias("v0"))
     v1 = allv.select(*keys, F.col("rank").alias("r1"), F.col("value").alias("v1"))
-    out = targets.join(v0, keys + ["r0"]).join(v1, keys + ["r1"])
+    out = seg_join(seg_join(targets, v0, keys + ["r0"]), v1, keys + ["r1"])
     # equal neighbours (including two equal infinities) need no interpolation
     interp = F.when((F.col("frac") == 0) | (F.col("v0") == F.col("v1")), F.col("v0")) \
         .otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac"))

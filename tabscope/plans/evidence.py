@@ -82,7 +82,7 @@ def feature_analysis(df: DataFrame, target: str, by: Sequence[str] = (), columns
                            F.lit(0).cast("long").alias("redundant_pairs_count"), F.lit(0.0).alias("max_redundancy_correlation"))
     corr = corr if corr is not None else C.corr_long(df.select(*[F.col(f"`{c}`") for c in by + numeric]), numeric, by)
     weak = C.weak_features(corr, target, by).select(*by, "weak_features")
-    red = C.redundant_pairs(corr, by, target, include_target=include_target).groupBy(*by).agg(
+    red = C.redundant_pairs(corr, by, target, include_target=include_target, cap=None).groupBy(*by).agg(
         F.count(F.lit(1)).alias("redundant_pairs_count"), F.max("correlation").alias("max_redundancy_correlation"))
     out = seg_join(seg_join(segs, weak, by, "left"), red, by, "left")
     return out.select(

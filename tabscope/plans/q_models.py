@@ -15,6 +15,7 @@ from tabscope.plans.registry import register
 from tabscope.sources import fixtures
 from tabscope.sources.csv import read_csv
 from tabscope.sources.sink import write_tables
+from tabscope.sources.tables import read_table
 from tabscope.streaming.profile import null_count_stream, run_to_table, scratch_path
 
 NONLIN_FEATS = ["l_quantity", "l_extendedprice"]
@@ -71,9 +72,33 @@ def q_csv_roundtrip(spark, sf):
     return rnd(read_csv(spark, path))
 
 
-@register("export_tables")
+_SPELLINGS = {
+    "yn": "CASE WHEN l_orderkey % 2 = 0 THEN 'Y' ELSE 'N' END",
+    "tf": "CASE WHEN l_orderkey % 2 = 0 THEN 'T' ELSE 'F' END",
+    "yesno": "CASE WHEN l_orderkey % 3 = 0 THEN 'yes' ELSE 'no' END",
+    "truth": "CASE WHEN l_orderkey % 3 = 0 THEN 'true' WHEN l_orderkey % 3 = 1 THEN 'False' ELSE 'NA' END",
+    "suffixed": "concat(CAST(l_linenumber AS VARCHAR(9)), CASE WHEN l_orderkey % 2 = 0 THEN 'd' ELSE 'f' END)",
+    "empty": "CASE WHEN l_orderkey % 2 = 0 THEN 'N/A' ELSE 'nan' END",
+    "whole": "CAST(l_linenumber AS VARCHAR(9))",
+    "fraction": "CASE WHEN l_orderkey % 7 = 0 THEN '1e3' ELSE '.5' END",
+}
+
+
+@register("csv_spellings", "SELECT l_orderkey, l_linenumber, " + ", ".join(f"{_SPELLINGS[c]} AS {c}" for c in ("yn", "tf", "yesno", "suffixed")) + """,
+  CASE WHEN l_orderkey % 3 = 0 THEN true WHEN l_orderkey % 3 = 1 THEN false END AS truth, CAST(NULL AS DOUBLE) AS empty,
+  CAST(l_linenumber AS BIGINT) AS whole, CASE WHEN l_orderkey % 7 = 0 THEN 1000.0 ELSE 0.5 END::DOUBLE AS fraction FROM lineitem""")
+def q_csv_spellings(spark, sf):
+    """SRC1: spellings that must not be taken for booleans or numbers, and a column without any value."""
+    path = scratch_path(spark, "csv")
+    rows = read_table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", *[f"{x} AS {c}" for c, x in _SPELLINGS.items()])
+    rows.write.option("header", True).csv(path)
+    return read_csv(spark, path)
+
+
+@register("export_tables", O.with_views("v_defect") + """ SELECT 'quality' AS "table", CAST(count(DISTINCT flag) AS BIGINT) AS n_rows FROM v_defect
+  UNION ALL SELECT 'defect_columns', CAST(count(*) AS BIGINT) FROM v_defect""")
 def q_export_tables(spark, sf):
-    """SNK1: write result tables as parquet and list what was written (rows-only)."""
+    """SNK1: write result tables as parquet and count what was written."""
     v = fixtures.v_defect(spark, sf)
     out = scratch_path(spark, "export")
     paths = write_tables({"quality": quality_score(v, ["flag"]), "defect_columns": v.select("flag", "qty")}, out)

@@ -162,7 +162,7 @@ def mixed_recs(spark, sf):
 
 @register("recommendations", REC_SQL + " SELECT family, segment, decision, CAST(seq AS INTEGER) AS seq, priority, action, impact, effort FROM recs")
 def q_recommendations(spark, sf):
-    return mixed_recs(spark, sf)[1].drop("reason")
+    return mixed_recs(spark, sf)[1].drop("reason", "evidence")
 
 
 @register("recommend_legacy", MIXED + """,
@@ -178,7 +178,7 @@ def q_recommendations(spark, sf):
            CASE priority WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, seq) AS INTEGER) AS position
   FROM c""")
 def q_recommend_legacy(spark, sf):
-    return RC.legacy_recommendations(mixed_evidence(spark, sf), KEYS)
+    return RC.legacy_recommendations(mixed_evidence(spark, sf), KEYS).drop("reason", "evidence")
 
 
 def _lint_sql_ctes():

@@ -63,7 +63,10 @@ def rules_table(spark: SparkSession) -> DataFrame:
 
 def recommendations(dec: DataFrame, by: Sequence[str] = (), domain: Column | None = None,
                     root_cause: Column | None = None) -> DataFrame:
-    """REC1: (by..., decision, seq, priority, action, reason, impact, effort) -- 2 or 3 rows per decision."""
+    """REC1: (by..., decision, seq, priority, action, reason, impact, effort, evidence) -- 2 or 3 rows per decision.
+
+    ``evidence`` is the payload of a row: the signals of the decision and, as far as ``dec`` carries them,
+    r2_percentage, weak_feature_pct and (first row of DATA_ISSUE) missing_percentage; 0 where not given."""
     by = seg_cols(by)
     spark = dec.sparkSession
     d = dec.withColumn("__rule", F.when(F.col("decision").isin(*RULE_DECISIONS), F.col("decision")).otherwise(F.lit("*")))
@@ -73,24 +76,47 @@ def recommendations(dec: DataFrame, by: Sequence[str] = (), domain: Column | Non
     prio = F.when(F.col("priority") == SEV, F.coalesce(F.col("severity"), F.lit("MEDIUM"))).otherwise(F.col("priority"))
     reason = F.when(F.col("reason") == "<trigger>", F.concat(F.col("__root"), F.lit(" Trigger: "), F.col("dominant_signal"))) \
         .otherwise(F.replace(F.col("reason"), F.lit("<domain>"), F.col("__domain")))
-    return j.select(*by, "decision", "seq", prio.alias("priority"), "action", reason.alias("reason"), "impact", "effort")
+    given = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in dec.columns else F.lit(0.0)
+    payload = F.struct(F.col("dominant_signal"), F.col("secondary_signals"), given("r2_percentage").alias("r2_percentage"),
+                       given("weak_feature_pct").alias("weak_feature_pct"),
+                       F.when((F.col("__rule") == "DATA_ISSUE") & (F.col("seq") == 0), given("missing_percentage")).alias("missing_percentage"))
+    return j.select(*by, "decision", "seq", prio.alias("priority"), "action", reason.alias("reason"), "impact", "effort", payload.alias("evidence"))
 
 
-def _rec(seq, priority, action, impact, effort):
-    return F.struct(F.lit(seq).alias("seq"), F.lit(priority).alias("priority"), F.lit(action).alias("action"),
-                    F.lit(impact).alias("impact"), F.lit(effort).alias("effort"))
+def _rec(seq, priority, action, reason, impact, effort, **evidence):
+    """One row; ``evidence``: the two figures that the rule looked at, by name."""
+    shown = [x for k, v in evidence.items() for x in (F.lit(k), v.cast("double"))]
+    return F.struct(F.lit(seq).alias("seq"), F.lit(priority).alias("priority"), F.lit(action).alias("action"), reason.alias("reason"),
+                    F.lit(impact).alias("impact"), F.lit(effort).alias("effort"),
+                    (F.create_map(*shown) if shown else F.create_map().cast("map<string,double>")).alias("evidence"))
 
 
 def legacy_recommendations(ev: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """REC2: up to four threshold rules, ordered CRITICAL > HIGH > MEDIUM > LOW (stable)."""
+    """REC2: up to four threshold rules, ordered CRITICAL > HIGH > MEDIUM > LOW (stable), with the reason and the
+    figures behind each; a row without any evidence gets one row that asks for it."""
     by = seg_cols(by)
+    fields = ["weak_feature_pct", "strongest_correlation", "weak_features", "redundant_pairs_count", "max_redundancy_correlation", "r2_score",
+              "r2_percentage", "data_quality_score", "missing_percentage"]
+    absent = F.coalesce(*[F.col(c).cast("string") for c in fields]).isNull()
+    ev = ev.select(*by, absent.alias("__absent"), *[F.coalesce(F.col(c), F.lit(0).cast(ev.schema[c].dataType)).alias(c) for c in fields])
     weak, red, r2, dq = F.col("weak_feature_pct"), F.col("redundant_pairs_count"), F.col("r2_score"), F.col("data_quality_score")
+    strong, maxr, r2p, miss = (F.col(c) for c in ("strongest_correlation", "max_redundancy_correlation", "r2_percentage", "missing_percentage"))
+    have = ~F.col("__absent")
     cands = F.array(
-        F.when(weak > 50, F.struct(F.lit(0).alias("seq"), F.lit("CRITICAL").alias("priority"),
-                                   F.lit("Add domain-specific features").alias("action"), F.lit("HIGH").alias("impact"), F.lit("HIGH").alias("effort"))),
-        F.when(red > 2, _rec(1, "HIGH", "Remove multicollinear features", "HIGH", "LOW")),
-        F.when((r2 < 0.3) & (weak <= 50), _rec(2, "HIGH", "Try non-linear models (Random Forest, Gradient Boosting)", "MEDIUM", "MEDIUM")),
-        F.when(dq < 70, _rec(3, "CRITICAL", "Improve data quality - handle missing values", "HIGH", "HIGH")),
+        F.when(~have, _rec(0, "LOW", "Collect required evidence signals",
+                           F.lit("Evidence was unavailable, so targeted recommendations could not be generated reliably."), "MEDIUM", "LOW")),
+        F.when(have & (weak > 50), _rec(0, "CRITICAL", "Add domain-specific features", F.format_string(
+            "%d%% of features are weak (correlation < 0.15). Strongest predictor is only %.2f. Insufficient signal in current feature set.", weak, strong),
+            "HIGH", "HIGH", weak_features=F.col("weak_features"), strongest_correlation=strong)),
+        F.when(have & (red > 2), _rec(1, "HIGH", "Remove multicollinear features", F.format_string(
+            "%d pairs of features show high correlation (max: %.2f). Redundant features distort model coefficients.", red, maxr),
+            "HIGH", "LOW", redundant_pairs=red, max_correlation=maxr)),
+        F.when(have & (r2 < 0.3) & (weak <= 50), _rec(2, "HIGH", "Try non-linear models (Random Forest, Gradient Boosting)", F.format_string(
+            "Model R² = %.1f%% is poor despite reasonable features. Linear relationships may not capture data patterns.", r2p),
+            "MEDIUM", "MEDIUM", r2_score=r2, r2_percentage=r2p)),
+        F.when(have & (dq < 70), _rec(3, "CRITICAL", "Improve data quality - handle missing values", F.format_string(
+            "Data quality score is only %s/100 with %.1f%% missing values. Poor data quality undermines all analysis.", dq.cast("string"), miss),
+            "HIGH", "HIGH", quality_score=dq, missing_percentage=miss)),
     )
     x = ev.select(*by, F.explode(F.filter(cands, lambda s: s.isNotNull())).alias("r")).select(*by, "r.*")
     rank = F.when(F.col("priority") == "CRITICAL", 0).when(F.col("priority") == "HIGH", 1).when(F.col("priority") == "MEDIUM", 2).otherwise(3)
@@ -131,7 +157,7 @@ def lint(dec: DataFrame, recs: DataFrame, by: Sequence[str] = ()) -> tuple[DataF
         "impact", "effort", F.lit(False).alias("fallback"))
     has = kept.select(*by).distinct()
     need = dec.where(F.col("decision") != "UNKNOWN")
-    need = need.join(has, by, "left_anti") if by else (need if has.limit(1).count() == 0 else need.limit(0))
+    need = seg_join(need, has.withColumn("__has", F.lit(1)), by, "left_anti") if by else (need if has.isEmpty() else need.limit(0))
     fb = need.select(*by, F.lit(0).alias("seq"), F.col("severity").alias("priority"),
                      F.concat(F.lit("Execute primary remediation for "), F.col("decision")).alias("action"),
                      F.concat(F.lit("No aligned recommendations remained after validation. Triggered by: "),

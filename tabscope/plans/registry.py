@@ -26,4 +26,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     # Importing the modules fills the registry.
-    from tabscope.plans import q_profile, q_linear, q_rules, q_models  # noqa: F401
+    from tabscope.plans import q_profile, q_linear, q_rules, q_models, q_robust  # noqa: F401

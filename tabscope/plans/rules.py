@@ -30,6 +30,11 @@ def _c(name: str) -> Column:
     return F.col(name)
 
 
+EVIDENCE_FIELDS = ("data_quality_score", "missing_percentage", "redundant_pairs_count", "max_redundancy_correlation", "r2_score",
+                   "weak_feature_pct", "strongest_correlation", "total_features", "nonlinear_gain", "best_improvement",
+                   "best_model_r2", "poor_model_fit")
+
+
 def _clip2(x: Column) -> Column:
     return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)), 2)
 
@@ -40,8 +45,14 @@ def _fmt(pattern: str, *cols: Column) -> Column:
 
 def decision_table(ev: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """DEC1 + DEC2 + DEC3: decision, severity, confidence, dominant_signal, secondary_signals, the four bands
-    and the verdict flags, per evidence row (first matching rule wins)."""
+    and the verdict flags, per evidence row (first matching rule wins).
+
+    A row without any evidence (all fields null) is UNKNOWN; a single missing field counts as 0."""
     by = seg_cols(by)
+    absent = F.coalesce(*[F.col(c).cast("string") for c in EVIDENCE_FIELDS]).isNull()
+    ev = ev.withColumn("__absent", absent).withColumns(
+        {c: F.coalesce(F.col(c), F.lit(0).cast(ev.schema[c].dataType)) for c in EVIDENCE_FIELDS if c not in ("best_model_r2", "poor_model_fit")}
+        | {"poor_model_fit": F.coalesce("poor_model_fit", F.lit(False))})
     dq, miss = _c("data_quality_score"), _c("missing_percentage")
     red, maxr = _c("redundant_pairs_count"), _c("max_redundancy_correlation")
     r2, weak = _c("r2_score"), _c("weak_feature_pct")
@@ -51,6 +62,7 @@ def decision_table(ev: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     poor = _c("poor_model_fit")
 
     conds = [
+        F.col("__absent"),
         (dq < DQ_ISSUE) | (miss >= MISS_ISSUE),
         r2 < R2_WEAK_SIGNAL,
         red >= RED_PAIRS,
@@ -61,6 +73,7 @@ def decision_table(ev: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     ]
     weak_conf = BASE_WEAK + F.least(weak, F.lit(WEAK_CAP)) / WEAK_DEN
     outcomes = [
+        ("UNKNOWN", F.lit("LOW"), F.lit(0.35), F.lit("No evidence was provided"), F.array(F.lit("Run evidence builder before decisioning"))),
         ("DATA_ISSUE", F.when((dq < DQ_CRITICAL) | (miss >= MISS_CRITICAL), F.lit("CRITICAL")).otherwise(F.lit("HIGH")),
          BASE_DATA_ISSUE + F.when(dq < DQ_CRITICAL, F.lit(DATA_ISSUE_BOOST)).otherwise(F.lit(0.0)),
          _fmt("Data quality score %.1f/100; missing %.1f%%", dq, miss),

@@ -16,14 +16,19 @@ from pyspark.sql import SparkSession
 
 
 def get_spark(master: str | None = None, app: str = "tabscope", shuffle_partitions: int | None = None) -> SparkSession:
-    master = master or f"local[{os.environ.get('BENCH_CPUS', '8')}]"
-    parts = shuffle_partitions or int(os.environ.get("TABSCOPE_SHUFFLE_PARTITIONS", "8"))
+    """A session with adaptive execution on.  Master and shuffle partitions are set only where given (by argument
+    or TABSCOPE_MASTER, TABSCOPE_SHUFFLE_PARTITIONS); otherwise spark-submit's settings hold."""
+    master = master or os.environ.get("TABSCOPE_MASTER")
+    parts = shuffle_partitions or os.environ.get("TABSCOPE_SHUFFLE_PARTITIONS")
+    builder = SparkSession.builder.appName(app)
+    if master:
+        builder = builder.master(master)
+    if parts:
+        builder = builder.config("spark.sql.shuffle.partitions", str(parts))
     builder = (
-        SparkSession.builder.master(master)
-        .appName(app)
+        builder
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")

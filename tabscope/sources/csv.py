@@ -2,9 +2,11 @@
 
 Spark's ``nullValue`` option accepts one token, so the file is read as
 strings, every token in ``null_tokens`` becomes null, and each column is
-cast with ``try_cast`` to the narrowest type that holds all its non-null
-values (long, then double, then boolean, else string).  Type inference is
-one aggregation over the file, not a driver-side scan.
+cast to the narrowest type whose spelling all its non-null values have (long,
+then double, then boolean, else string): digits only for numbers, true and
+false only for booleans, so Y/N, yes/no or ``1d`` stay text.  A column
+without any value is double.  Type inference is one aggregation over the
+file, not a driver-side scan.
 """
 
 from __future__ import annotations
@@ -21,7 +23,12 @@ DEFAULT_NULL_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-_TYPE_ORDER = ("bigint", "double", "boolean")
+#: Spelling of the values of each inferred type, tried in this order.
+_TYPE_PATTERNS = {
+    "bigint": r"[+-]?[0-9]+",
+    "double": r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[+-]?(?i:inf|infinity)",
+    "boolean": r"(?i:true|false)",
+}
 
 
 def read_csv(
@@ -48,17 +55,16 @@ def read_csv(
     # One pass: for every column and candidate type, does any non-null value fail the cast?
     checks = []
     for c in cols:
-        for t in _TYPE_ORDER:
-            fails = F.expr(f"`{c}` IS NOT NULL AND try_cast(trim(`{c}`) AS {t}) IS NULL")
+        checks.append(F.count(F.col(f"`{c}`")).alias(f"{c}\u0001n"))
+        for t, pattern in _TYPE_PATTERNS.items():
+            value = F.trim(F.col(f"`{c}`"))
+            fails = F.col(f"`{c}`").isNotNull() & (~value.rlike(f"^({pattern})$") | value.try_cast(t).isNull())
             checks.append(F.max(fails.cast("int")).alias(f"{c}\u0001{t}"))
-    row = cleaned.agg(*checks).collect()[0].asDict()  # one row of k x 3 flags
+    row = cleaned.agg(*checks).collect()[0].asDict()  # one row of k x 4 figures
     out = []
     for c in cols:
-        chosen = "string"
-        for t in _TYPE_ORDER:
-            if not row[f"{c}\u0001{t}"]:
-                chosen = t
-                break
+        fitting = [t for t in _TYPE_PATTERNS if not row[f"{c}\u0001{t}"]]
+        chosen = "double" if not row[f"{c}\u0001n"] else fitting[0] if fitting else "string"
         if chosen == "boolean":
             out.append(F.expr(f"try_cast(trim(`{c}`) AS boolean)").alias(c))
         elif chosen == "string":
