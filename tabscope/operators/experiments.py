@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tabscope.functions import linalg
 from tabscope.operators import linear as L
 from tabscope.operators.moments import moments
-from tabscope.operators.prepare import fold_of, n_folds, one_hot, square_interaction
+from tabscope.operators.prepare import MAX_CATEGORIES, fold_of, n_folds, one_hot, square_interaction
 
 VIF_THRESHOLD = 5.0
 PCA_RATIO = 0.95
@@ -33,7 +33,7 @@ METHODS = ("baseline", "remove_vif", "pca", "feature_engineering")
 
 
 def prepare_inputs(df: DataFrame, features: Sequence[str], target: str, keep: Sequence[str] = (),
-                   encode: bool = True, max_categories: int | None = None) -> tuple[DataFrame, list[str]]:
+                   encode: bool = True, max_categories: int = MAX_CATEGORIES) -> tuple[DataFrame, list[str]]:
     """EXP1: one-hot string features (first category dropped), +/-inf -> null, median imputation
     (0 for all-null columns), rows with a null target dropped.  Returns (frame, feature names)."""
     from pyspark.sql import types as T

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tabscope.functions import linalg
 from tabscope.functions.columns import as_double, finite_or_null, seg_cols
 from tabscope.operators.moments import moments
-from tabscope.operators.prepare import drop_null_target, impute_median
+from tabscope.operators.prepare import drop_null_target, encode_features, impute_median
 from tabscope.operators.segments import seg_join
 
 MIN_ROWS = 20
@@ -95,9 +95,11 @@ def linear_analysis(df: DataFrame, features: Sequence[str], target: str, test_fl
     standardized importance (all rows), expected permutation importance (test rows), standardized VIF (all rows).
 
     ``test_flag`` must be computable on ``df`` (typically ``split_flag(key)``); the key column is kept through
-    preparation and not used as a feature.
+    preparation and not used as a feature.  String and boolean features are one-hot encoded.
     """
     by = seg_cols(by)
+    if not prepared:
+        df, features = encode_features(df, features)
     feats = list(features)
     k = len(feats)
     if prepared:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscope.operators.linear import prepare_xy
+from tabscope.operators.prepare import encode_features
 
 MIN_ROWS = 20
 
@@ -44,12 +45,13 @@ def compare_models(df: DataFrame, features: Sequence[str], target: str, test_fla
                    rf_params: dict | None = None, gbt_params: dict | None = None) -> DataFrame:
     """MOD1: (name, model_order, r2, rmse, training_time, interpretability) for the three models.
 
+    String and boolean features are one-hot encoded.
     Returns an empty table when fewer than 20 rows remain after dropping null targets.
     """
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
     spark: SparkSession = df.sparkSession
-    feats = list(features)
+    df, feats = encode_features(df, features)
     d = prepare_xy(df.withColumn("__test", test_flag), feats, target, fill="median", keep=["__test"])
     d = _assemble(d, feats).select("__features", target, "__test").persist()
     schema = "name string, model_order int, r2 double, rmse double, training_time double, interpretability string"

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabscope.functions.columns import as_double, finite_or_null, seg_cols
 from tabscope.operators.quantiles import quantiles_wide
@@ -68,26 +69,46 @@ def impute_median(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
     return j.drop(*[f"__m{i}" for i in range(len(columns))]).select(*df.columns)
 
 
-def one_hot(df: DataFrame, columns: Sequence[str], max_categories: int | None = None) -> DataFrame:
+#: Categories of a column that one-hot encoding takes; their names come to the driver, and each is a column.
+MAX_CATEGORIES = 1000
+
+
+def categories(df: DataFrame, columns: Sequence[str], max_categories: int = MAX_CATEGORIES) -> dict[str, list[str]]:
+    """The sorted non-null values of each column, from one job; an error if a column has more than ``max_categories``."""
+    columns = list(columns)
+    if not columns:
+        return {}
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("v"))
+                                           for i, c in enumerate(columns)])).alias("x")).select("x.*").where("v is not null")
+    found = values.distinct().limit(len(columns) * max_categories + 1).collect()  # bounded by the limit on categories
+    cats = {c: sorted(r["v"] for r in found if r["i"] == i) for i, c in enumerate(columns)}
+    if len(found) > len(columns) * max_categories or any(len(v) > max_categories for v in cats.values()):
+        raise ValueError(f"one of {columns} has more than {max_categories} categories; encode it another way")
+    return cats
+
+
+def _indicators(cats: dict[str, list[str]]) -> list[Column]:
+    return [F.when(F.col(f"`{c}`").cast("string") == v, F.lit(1)).otherwise(F.lit(0)).alias(f"{c}_{v}") for c, vs in cats.items() for v in vs[1:]]
+
+
+def one_hot(df: DataFrame, columns: Sequence[str], max_categories: int = MAX_CATEGORIES) -> DataFrame:
     """ENC1: one 0/1 column per category except the first (sorted); null -> all zeros.
 
-    Category lists come from one distinct aggregation; if a column has more
-    than ``max_categories`` categories the call fails rather than dropping any.
+    All columns are added in one projection; beyond ``max_categories`` the call fails rather than dropping any.
     """
-    cats = {}
-    for c in columns:
-        d = df.select(F.col(f"`{c}`").cast("string").alias("v")).where(F.col("v").isNotNull()).distinct()
-        if max_categories is not None:
-            n = d.count()
-            if n > max_categories:
-                raise ValueError(f"column {c!r} has {n} categories (> {max_categories}); encode it another way")
-        cats[c] = sorted(r["v"] for r in d.collect())  # category names of one column
-    out = df
-    for c in columns:
-        for v in cats[c][1:]:
-            out = out.withColumn(f"{c}_{v}", F.when(F.col(f"`{c}`").cast("string") == v, F.lit(1)).otherwise(F.lit(0)))
-        out = out.drop(c)
-    return out
+    cats = categories(df, columns, max_categories)
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in cats], *_indicators(cats))
+
+
+def encode_features(df: DataFrame, features: Sequence[str], max_categories: int = MAX_CATEGORIES) -> tuple[DataFrame, list[str]]:
+    """df with 0/1 columns added for its string and boolean features, and the numeric feature names to use: each
+    such feature's indicators stand where it stood."""
+    text = [f for f in features if isinstance(df.schema[f].dataType, (T.StringType, T.BooleanType))]
+    if not text:
+        return df, list(features)
+    cats = categories(df, text, max_categories)
+    names = [n for f in features for n in ([f"{f}_{v}" for v in cats[f][1:]] if f in cats else [f])]
+    return df.select("*", *_indicators(cats)), names
 
 
 def square_interaction(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:

@@ -19,6 +19,7 @@ from tabscope.plans import rules as RU
 from tabscope.plans.common import rnd
 from tabscope.plans.oracle_sql import r6
 from tabscope.plans.registry import register
+from tabscope.sources import fixtures
 from tabscope.sources.tables import read_table
 
 HARD = {
@@ -87,6 +88,17 @@ def q_hard_vif(spark, sf):
     return rnd(L.vif(v_hard(spark, sf), ["b", "d"]))
 
 
+@register("ols_encoded", O.with_views("v_defect") + f""", t AS (SELECT flag, avg(discount) AS m FROM v_defect WHERE l_orderkey % 5 <> 0 GROUP BY flag),
+  s AS (SELECT v.discount AS y, t.m AS p, avg(v.discount) OVER () AS my FROM v_defect v JOIN t ON v.flag = t.flag WHERE l_orderkey % 5 = 0),
+  r AS (SELECT 1 - sum((y - p) * (y - p)) / sum((y - my) * (y - my)) AS r2, sqrt(avg((y - p) * (y - p))) AS rmse FROM s)
+  SELECT (SELECT count(*) FROM v_defect WHERE l_orderkey % 5 <> 0) AS n_train, (SELECT count(*) FROM s) AS n_test, {r6('r2')} AS r2, {r6('rmse')} AS rmse,
+    CASE WHEN r2 < 0.2 THEN 'critical' WHEN r2 < 0.5 THEN 'warning' ELSE 'ok' END AS severity FROM r""")
+def q_ols_encoded(spark, sf):
+    """REG1 on a string feature: least squares on indicators predicts the training mean of each category."""
+    ana = L.linear_analysis(fixtures.v_defect(spark, sf), ["flag"], "discount", prepare.split_flag("l_orderkey", method="mod"))
+    return rnd(L.ols_holdout(ana))
+
+
 _X = "c_custkey"
 RULE_FIELDS = {
     "data_quality_score": f"CAST(CASE {_X} % 8 WHEN 0 THEN 55.5 WHEN 1 THEN 65.5 ELSE 90.5 END AS DOUBLE)",

@@ -35,12 +35,23 @@ def null_count_stream(stream: DataFrame, columns: Sequence[str], by: Sequence[st
 
 
 def run_to_table(agg: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    """Run a streaming aggregation over everything available, then return its final state as a batch table."""
-    qname = f"tabscope_{name}_{uuid.uuid4().hex[:8]}"
-    q = (agg.writeStream.outputMode("complete").format("memory").queryName(qname)
+    """Run a streaming aggregation over everything available, then return its final state as a batch table.
+
+    Each micro-batch writes the complete state to a folder of its own below the checkpoint directory (a batch that
+    is retried overwrites its folder); the last one is read back, so no state passes through the driver."""
+    out = scratch_path(spark, f"state-{name}")
+    done: list[int] = []
+
+    def keep(state: DataFrame, batch_id: int) -> None:
+        state.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        done.append(batch_id)
+
+    q = (agg.writeStream.outputMode("complete").foreachBatch(keep)
          .option("checkpointLocation", scratch_path(spark, f"stream-{name}")).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(qname)
+    if not done:
+        return spark.createDataFrame([], agg.schema)
+    return spark.read.schema(agg.schema).parquet(f"{out}/batch={max(done)}")
 
 
 def foreach_batch_quality(stream: DataFrame, out_path: str, checkpoint: str, by: Sequence[str] = ()):
