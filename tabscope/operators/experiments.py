@@ -99,10 +99,12 @@ def _score_forest(d: DataFrame, cols: list[str], target: str, k: int, rf_params:
 
 
 def run_experiments(df: DataFrame, features: Sequence[str], target: str, test_flag: Column, fold_key: Column,
-                    scorer: str = "linear", rf_params: dict | None = None) -> DataFrame:
+                    scorer: str = "linear", rf_params: dict | None = None, methods: Sequence[str] = METHODS,
+                    fold_method: str = "hash", fold_stride: int = 1) -> DataFrame:
     """EXP2-EXP5: (method, r2, cv_r2_mean, cv_r2_std, n_features, detail, error), one row per variant.
 
-    ``fold_key`` feeds the deterministic fold assignment of training rows.  A variant that fails is
+    ``fold_key`` feeds the deterministic fold assignment of training rows (``fold_method``, ``fold_stride`` as in
+    ``fold_of``); ``methods`` names the variants to run.  A variant that fails is
     reported with r2 = -inf and its error text, as the pipeline does.  Fewer than ``MIN_ROWS`` prepared rows
     are an error.
     """
@@ -114,7 +116,7 @@ def run_experiments(df: DataFrame, features: Sequence[str], target: str, test_fl
         raise ValueError(f"experiments need at least {MIN_ROWS} rows with a target; got {sizes['n']}")
     n_train = sizes["n_train"]
     k = n_folds(n_train)
-    d = d.withColumn("__fold", fold_of(F.col("__fkey"), k))
+    d = d.withColumn("__fold", fold_of(F.col("__fkey"), k, method=fold_method, stride=fold_stride))
     rf = {"numTrees": 100, "maxDepth": 30, "featureSubsetStrategy": "all", "seed": 42, **(rf_params or {})}
 
     def score(frame: DataFrame, cols: list[str]) -> dict:
@@ -125,6 +127,8 @@ def run_experiments(df: DataFrame, features: Sequence[str], target: str, test_fl
     rows = []
 
     def record(method, cols, detail, fn):
+        if method not in methods:
+            return
         try:
             res = fn()
         except Exception as exc:  # reported per variant, as the pipeline does
