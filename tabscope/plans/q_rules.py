@@ -46,17 +46,25 @@ def _source(spark, sf, view):
 _FAMILY_MEMO: dict = {}
 
 
-def family_tables(spark, sf, fam):
-    """Per-segment tables of one family, checkpointed once per (application, sf_dir, family).
+def _version(spark, sf, view) -> str:
+    """Size and modification time of the file behind a family's view."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf.rstrip('/')}/{'lineitem' if view.startswith('v_') else view}.parquet")
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    return f"{status.getLen()}:{status.getModificationTime()}"
+
 
-    They are one row per segment (or per segment and model), so many registered questions read the
-    same small checkpointed tables instead of re-running the scans and aggregations."""
-    key = (spark.sparkContext.applicationId, sf, fam)
-    if key not in _FAMILY_MEMO:
-        view, g, x, y, s = FAMILIES[fam]
+def family_tables(spark, sf, fam):
+    """Per-segment tables of one family, checkpointed, and kept for the next question on the same data.
+
+    They are one row per segment (or per segment and model), so many registered questions read the same small
+    checkpointed tables instead of re-running the scans.  Tables of another application, folder or version of the
+    file are let go as soon as they are asked for anew (Spark's cleaner then removes their checkpoints)."""
+    view, g, x, y, s = FAMILIES[fam]
+    key = (spark.sparkContext.applicationId, sf, _version(spark, sf, view))
+    if _FAMILY_MEMO.get(fam, (None,))[0] != key:
         df = _source(spark, sf, view).select(g, s, x, y)
-        _FAMILY_MEMO[key] = EV.segment_evidence(df, y, [x], split_flag(s, method="mod"), by=[g], materialize=True)
-    return _FAMILY_MEMO[key]
+        _FAMILY_MEMO[fam] = (key, EV.segment_evidence(df, y, [x], split_flag(s, method="mod"), by=[g], materialize=True))
+    return _FAMILY_MEMO[fam][1]
 
 
 def mixed_evidence(spark, sf):
