@@ -79,9 +79,12 @@ def infer_domain(catalog: DataFrame, target_types: DataFrame | None = None) -> D
     return best.select("dataset", dom.alias("domain"), "score", F.round(conf, 2).alias("confidence"), reasons.alias("n_reasons"))
 
 
-def infer_context(catalog: DataFrame, high_corr_counts: DataFrame | None = None) -> DataFrame:
-    """DOM2: (dataset, domain, score, confidence, context, likely_features); real estate scores +1 when the
-    dataset has high-correlation pairs; HIGH >= 4, MEDIUM >= 2, else LOW."""
+def infer_context(catalog: DataFrame, high_corr_counts: DataFrame | None = None, target_types: DataFrame | None = None) -> DataFrame:
+    """DOM2: (dataset, domain, score, confidence, context, likely_features, problem_type); real estate scores +1
+    when the dataset has high-correlation pairs; HIGH >= 4, MEDIUM >= 2, else LOW.
+
+    ``target_types``: (dataset, target_type) as from ``profile.target_kind``; a dataset without one, or with an
+    unknown one, counts as regression."""
     spark = catalog.sparkSession
     s = _scores(catalog, CONTEXT_KEYWORDS)
     w = Window.partitionBy("dataset").orderBy(F.col("score").desc(), "domain_order")
@@ -96,5 +99,10 @@ def infer_context(catalog: DataFrame, high_corr_counts: DataFrame | None = None)
                                 "d string, context string, likely_features array<string>")
     b = best.select("dataset", dom.alias("d"), score.alias("score"))
     out = b.join(F.broadcast(ctx), "d")
+    if target_types is not None:
+        out = out.join(target_types.select("dataset", "target_type"), "dataset", "left")
+    else:
+        out = out.withColumn("target_type", F.lit(None).cast("string"))
+    problem = F.when(F.col("target_type") == "classification", "classification").otherwise("regression")
     conf = F.when(F.col("score") >= 4, "HIGH").when(F.col("score") >= 2, "MEDIUM").otherwise("LOW")
-    return out.select("dataset", F.col("d").alias("domain"), "score", conf.alias("confidence"), "context", "likely_features")
+    return out.select("dataset", F.col("d").alias("domain"), "score", conf.alias("confidence"), "context", "likely_features", problem.alias("problem_type"))

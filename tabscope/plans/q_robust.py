@@ -16,6 +16,7 @@ from tabscope.operators import prepare, profile, quality
 from tabscope.plans import oracle_sql as O
 from tabscope.plans import recommend as RC
 from tabscope.plans import rules as RU
+from tabscope.plans.catalog import column_catalog, infer_context, infer_domain
 from tabscope.plans.common import rnd
 from tabscope.plans.oracle_sql import r6
 from tabscope.plans.registry import register
@@ -99,6 +100,42 @@ def q_ols_encoded(spark, sf):
     return rnd(L.ols_holdout(ana))
 
 
+def _catalog_inputs(spark, sf):
+    """Three datasets with a target each: their columns, kinds of target, and numbers of high-correlation pairs."""
+    sales = fixtures.v_sales(spark, sf)
+    part, orders = read_table(spark, sf, "part"), read_table(spark, sf, "orders")
+    parts = [("sales", sales, "l_extendedprice", ["l_quantity", "l_extendedprice", "net", "gross"]), ("part", part, "p_size", ["p_size", "p_retailprice"]),
+             ("orders", orders, "o_totalprice", ["o_orderkey", "o_totalprice"])]
+    kinds = pairs = None
+    for name, df, target, numeric in parts:
+        kind = profile.target_kind(df, target).select(F.lit(name).alias("dataset"), "target_type")
+        high = C.high_corr_pairs(C.corr_long(df, numeric)).agg(F.count(F.lit(1)).alias("n_high_pairs")).select(F.lit(name).alias("dataset"), "n_high_pairs")
+        kinds, pairs = (kind, high) if kinds is None else (kinds.unionByName(kind), pairs.unionByName(high))
+    return column_catalog(spark, {n: df for n, df, _, _ in parts}), kinds, pairs
+
+
+_KINDS_SQL = "WITH k AS (" + " UNION ALL ".join(
+    f"""SELECT '{n}' AS dataset, CASE WHEN count(DISTINCT {t}) <= 20 OR count(DISTINCT {t}) * 1.0 / count(*) <= 0.05 THEN 'classification' ELSE 'regression' END AS kind
+    FROM {tbl}""" for n, t, tbl in (("sales", "l_extendedprice", "lineitem"), ("part", "p_size", "part"), ("orders", "o_totalprice", "orders"))) + ")"
+
+
+@register("domain_from_data", _KINDS_SQL + f""" SELECT dataset, 'real_estate' AS domain, 1 AS score,
+  {r6("CASE kind WHEN 'regression' THEN 0.5 ELSE 0.4 END")} AS confidence, CASE kind WHEN 'regression' THEN 2 ELSE 1 END AS n_reasons FROM k""")
+def q_domain_from_data(spark, sf):
+    """DOM1 with the kinds of the targets, read from the tables."""
+    catalog, kinds, _ = _catalog_inputs(spark, sf)
+    return rnd(infer_domain(catalog, kinds))
+
+
+@register("context_from_data", _KINDS_SQL + """, h AS (SELECT corr(l_extendedprice, l_extendedprice * (1 - l_discount)) > 0.75 AS high FROM lineitem)
+  SELECT dataset, 'real_estate' AS domain, CAST(1 + CASE WHEN dataset = 'sales' AND high THEN 1 ELSE 0 END AS INTEGER) AS score,
+    CASE WHEN dataset = 'sales' AND high THEN 'MEDIUM' ELSE 'LOW' END AS confidence, 'Housing price prediction dataset' AS context, kind AS problem_type FROM k, h""")
+def q_context_from_data(spark, sf):
+    """DOM2 with the kinds of the targets and the high-correlation pairs, read from the tables."""
+    catalog, kinds, pairs = _catalog_inputs(spark, sf)
+    return infer_context(catalog, pairs, kinds).drop("likely_features")
+
+
 _X = "c_custkey"
 RULE_FIELDS = {
     "data_quality_score": f"CAST(CASE {_X} % 8 WHEN 0 THEN 55.5 WHEN 1 THEN 65.5 ELSE 90.5 END AS DOUBLE)",

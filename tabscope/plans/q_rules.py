@@ -479,4 +479,4 @@ def q_domain_catalog(spark, sf):
               WHEN domain = 'healthcare' THEN 'Healthcare outcomes analysis dataset' ELSE 'Business performance analytics dataset' END AS context
   FROM best WHERE r = 1""")
 def q_context_catalog(spark, sf):
-    return infer_context(_catalog(spark, sf)).drop("likely_features")
+    return infer_context(_catalog(spark, sf)).drop("likely_features", "problem_type")
