@@ -90,12 +90,14 @@ def _holdout_udf(k: int, min_rows: int):
 
 
 def linear_analysis(df: DataFrame, features: Sequence[str], target: str, test_flag: Column, by: Sequence[str] = (),
-                    fill: str = "zero", min_rows: int = MIN_ROWS, prepared: bool = False) -> DataFrame:
+                    fill: str = "zero", min_rows: int = MIN_ROWS, prepared: bool = False,
+                    split_moments: DataFrame | None = None) -> DataFrame:
     """One row per segment: holdout fit (train rows where ``test_flag`` is false), test R^2/RMSE, coefficients,
     standardized importance (all rows), expected permutation importance (test rows), standardized VIF (all rows).
 
     ``test_flag`` must be computable on ``df`` (typically ``split_flag(key)``); the key column is kept through
-    preparation and not used as a feature.  String and boolean features are one-hot encoded.
+    preparation and not used as a feature.  String and boolean features are one-hot encoded.  ``split_moments``: the moments of
+    features and target by segment and ``__test``, if they are at hand.
     """
     by = seg_cols(by)
     if not prepared:
@@ -108,7 +110,7 @@ def linear_analysis(df: DataFrame, features: Sequence[str], target: str, test_fl
         d = df.withColumn("__test", test_flag)
         d = prepare_xy(d, feats, target, by, fill, keep=["__test"])
     # One row per (segment, split): materialise it once for the train/test pairing and the solve.
-    m = moments(d, feats + [target], by, part=F.col("__test"), part_name="__test").checkpoint(eager=True)
+    m = split_moments if split_moments is not None else moments(d, feats + [target], by, part=F.col("__test"), part_name="__test").checkpoint(eager=True)
     tr = m.where(~F.col("__test")).select(*by, F.col("n").alias("n_tr"), F.col("mean").alias("m_tr"), F.col("cov").alias("c_tr"))
     te = m.where(F.col("__test")).select(*by, F.col("n").alias("n_te"), F.col("mean").alias("m_te"), F.col("cov").alias("c_te"))
     j = seg_join(tr, te, by, "full")

@@ -54,6 +54,12 @@ def moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), part:
     return g.select(*gkeys, "n", F.array(*[F.col(f"__m{i}") for i in range(k)]).alias("mean"), F.array(*cov).alias("cov"))
 
 
+def sub_moments(m: DataFrame, k: int, keep: Sequence[int]) -> DataFrame:
+    """The moments of a choice of columns, by their places, from a table of moments of k columns."""
+    cov = [F.col("cov")[i * k + j] for i in keep for j in keep]
+    return m.withColumns({"mean": F.array(*[F.col("mean")[i] for i in keep]), "cov": F.array(*cov)})
+
+
 def _moments_blocked(base: DataFrame, k: int, gkeys: list[str]) -> DataFrame:
     # Shift by per-group means from a cheap first pass so the summed cross products stay well-conditioned
     # (means over all present values; any shift works, a close one keeps the sums small).

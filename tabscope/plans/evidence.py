@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tabscope.functions.columns import analysed_columns, is_stat_numeric, seg_cols
 from tabscope.operators import correlation as C
 from tabscope.operators import linear as L
+from tabscope.operators.moments import moments, sub_moments
 from tabscope.operators.profile import missing_total, target_kind
 from tabscope.operators.quality import quality_score
 from tabscope.operators.segments import seg_join
@@ -116,8 +117,11 @@ def closed_form_models(df: DataFrame, features: Sequence[str], target: str, test
     sq = [f"{f}__sq" for f in feats]
     for f, s in zip(feats, sq):
         d = d.withColumn(s, F.col(f"`{f}`") * F.col(f"`{f}`"))
-    lin = L.linear_analysis(d, feats, target, F.col("__test"), by, prepared=True)
-    poly = L.linear_analysis(d, feats + sq, target, F.col("__test"), by, prepared=True)
+    # one Gram pass over features, squares and target; the linear model reads its part of it
+    k = 2 * len(feats) + 1
+    m = moments(d, feats + sq + [target], by, part=F.col("__test"), part_name="__test").checkpoint(eager=True)
+    lin = L.linear_analysis(d, feats, target, F.col("__test"), by, prepared=True, split_moments=sub_moments(m, k, [*range(len(feats)), k - 1]))
+    poly = L.linear_analysis(d, feats + sq, target, F.col("__test"), by, prepared=True, split_moments=m)
     a = lin.select(*by, F.lit("Linear Regression").alias("name"), F.lit(0).alias("model_order"), "r2", "rmse", "fitted")
     b = poly.select(*by, F.lit("Polynomial Regression").alias("name"), F.lit(1).alias("model_order"), "r2", "rmse", "fitted")
     return a.unionByName(b).where("fitted").select(
