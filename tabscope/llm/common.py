@@ -41,11 +41,16 @@ def drop_scratch(spark: SparkSession) -> None:
 BROADCAST_ROWS = 100_000
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """Mark a written table of fixed-width columns for broadcast if a count shows at most ``BROADCAST_ROWS``
-    rows (a few MB); beyond that it is returned as it is, and the join shuffles."""
+def is_small(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether a written table has fixed-width columns only and, by a count, at most ``rows`` rows
+    (``BROADCAST_ROWS`` if not given: a few MB)."""
     fixed = all(f.dataType.simpleString() in ("bigint", "int", "boolean", "double") for f in df.schema)
-    return F.broadcast(df) if fixed and df.count() <= BROADCAST_ROWS else df
+    return fixed and df.count() <= (BROADCAST_ROWS if rows is None else rows)
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """Mark a table for broadcast if it ``is_small``; beyond that it is returned as it is, and the join shuffles."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabscope.llm.common import ALNUM_FOLD, scratch_table, span_hashes
+from tabscope.llm.common import ALNUM_FOLD, is_small, scratch_table, span_hashes
 from tabscope.llm.components import connected_components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99
@@ -46,6 +46,7 @@ MIN_WORDS, MIN_DISTINCT, MIN_PASSAGE, GAP = 8, 5, 25, 12
 SMALL, BLOCK = 32, 1024
 MAX_BANDS = 5
 SALT = 16
+BROADCAST_KEYS = 1_000_000
 FOLD = bytes(2 if c == 10 else 1 if c in b".!?" else ALNUM_FOLD[c] for c in range(256))
 
 
@@ -186,10 +187,14 @@ def connecting_links(keys: list[int], texts: list[str], threshold: float, shingl
     return out
 
 
-def _salted_join(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is in ``keys`` (distinct).  Each key stands once for every salt and the rows carry any
-    one salt, so that the copies of a content that very many documents hold meet their key in ``SALT`` tasks; the
-    aggregation that follows collapses them there before it brings a key together."""
+def _rows_of(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in ``keys`` (written, distinct, one number each).
+
+    Up to ``BROADCAST_KEYS`` of them, by count, go to all tasks (some 24 MB).  Beyond that each key stands once for
+    every salt and the rows carry any one salt, so that the copies of a content that very many documents hold meet
+    their key in ``SALT`` tasks; the aggregation that follows collapses them before it brings a key together."""
+    if is_small(keys, BROADCAST_KEYS):
+        return rows.join(F.broadcast(keys), key, "left_semi")
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int")
     spread = keys.select(key, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__salt"))
     return rows.withColumn("__salt", salt).join(spread, [key, "__salt"]).drop("__salt")
@@ -202,10 +207,10 @@ def similar_links(contents: DataFrame, threshold: float = THRESHOLD, recall: flo
     signed = scratch_table(contents.select("key", band_column(F.col("text"), bands, rows, shingle).alias("bands")), "paragraph-bands")
     each = signed.select("key", F.explode("bands").alias("band"))
     shared = scratch_table(each.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("band"), "paragraph-shared")
-    members = scratch_table(_salted_join(each, shared, "band").distinct(), "paragraph-members")
+    members = scratch_table(_rows_of(each, shared, "band").distinct(), "paragraph-members")
     sizes = scratch_table(members.groupBy("band").count().withColumnRenamed("count", "size"), "paragraph-sizes")
     wanted = scratch_table(members.select("key").distinct(), "paragraph-wanted")
-    texts = scratch_table(_salted_join(contents, wanted, "key").groupBy("key").agg(F.first("text").alias("text")), "paragraph-texts")
+    texts = scratch_table(_rows_of(contents, wanted, "key").groupBy("key").agg(F.first("text").alias("text")), "paragraph-texts")
 
     small = members.join(sizes.where(F.col("size") <= SMALL), "band").select("band", "key")
     pairs = small.join(small.withColumnRenamed("key", "other"), "band").where("key < other").select("key", "other").distinct()

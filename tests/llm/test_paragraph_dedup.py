@@ -76,9 +76,10 @@ def variants(rng):
     return out
 
 
-@pytest.mark.parametrize("block", [1024, 20])
-def test_clusters_match_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, keys", [(1024, 1_000_000), (20, -1)])
+def test_clusters_match_all_pairs(spark, monkeypatch, block, keys):
     monkeypatch.setattr(P, "BLOCK", block)
+    monkeypatch.setattr(P, "BROADCAST_KEYS", keys)
     rng = random.Random(2)
     rows = [(i, " ".join(sentence(rng, rng.choice([1, 2, 4, 9, 20, 39])) for _ in range(rng.randrange(1, 8)))) for i in range(30)]
     shared = [sentence(rng, 30) for _ in range(4)]
