@@ -51,6 +51,12 @@ def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), d
     return long.where(F.col("value").isNotNull())
 
 
+def _open_columns(open_: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The columns that have an open rank, in order; at most all of them."""
+    names = {r["column"] for r in open_.select("column").distinct().collect()}
+    return [c for c in columns if c in names]
+
+
 def quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -99,10 +105,10 @@ def quantiles(
 
     resolved = [ranks.where(F.col("value").isNotNull()).select(*keys, "rank", "value")]
     open_ = ranks.where(F.col("value").isNull()).drop("value")  # a filter over checkpointed rows
-    values_f = long.where(finite)
-
-    n_open = open_.count()
-    while n_open > 0:
+    open_columns = _open_columns(open_, columns)
+    while open_columns:
+        # only columns that still have an open rank are read and unpivoted
+        values_f = long_values(df, open_columns, by, drop_inf).where(finite)
         intervals = open_.select(*keys, "lo", "hi", "below").distinct()
         # halves, so that the width of the widest interval is finite
         width = F.col("hi") / 2 - F.col("lo") / 2
@@ -131,7 +137,7 @@ def quantiles(
         located = located.withColumn("value", value).checkpoint(eager=True)
         resolved.append(located.where(F.col("value").isNotNull()).select(*keys, "rank", "value"))
         open_ = located.where(F.col("value").isNull()).drop("value", "c")
-        n_open = open_.count()
+        open_columns = _open_columns(open_, columns)
 
     allv = resolved[0]
     for r in resolved[1:]:
