@@ -2,7 +2,8 @@
 
 Paragraphs.  A passage that was pasted into other text shares no line ends with it, so the unit of comparison is a
 sentence (it ends at ``.``, ``!``, ``?`` or a line end) of at least ``min_words`` words; words are runs of letters and
-digits, A-Z lowered.  Shorter sentences of a line that follow one another are taken together up to one whose last
+digits, A-Z lowered; each character of a script written without blanks is a word, and the sentence ends of other
+scripts count as ends.  Shorter sentences of a line that follow one another are taken together up to one whose last
 word's hash says so, once there are ``min_words`` of them; that end depends on the words alone, so it falls on the
 same place wherever the passage stands.  Stretches of fewer than ``MIN_DISTINCT`` different words are no paragraphs.
 Paragraphs of equal words are one content from here on, with a count.
@@ -19,9 +20,16 @@ what it found similar.  So no band is capped, none is gathered whole, and no ban
 Clusters are the connected components of the links; of each cluster the paragraph that stands first (least doc_id,
 nulls last, then place) is kept and the others are removals.
 
-Passages.  Repeated paragraphs of one document with at most ``gap`` other words between them (sentences that are
-too short to be compared) form a run; runs of ``min_passage`` words or more are reported, so that a single
-repeated line of boilerplate is not.
+Pieces.  A passage that stands inside a longer sentence, or in text without sentence marks, is no paragraph of its
+own.  So the words of a whole text are cut once more, whatever marks stand between them: a cut is a word whose hash,
+taken with the word before it, is less than those of the ``REACH`` words on either side.  That depends on these words
+alone, so all cuts of a passage but those next to its ends are the same in any surroundings.  From every cut a piece
+goes to the first later cut that gives it ``min_words`` words (stretches without a cut are cut every ``LONGEST``
+words).  Pieces are compared by the XXH64 of their words; those that two documents hold join the runs below.
+
+Passages.  Repeated paragraphs and pieces of one document with at most ``gap`` other words between them (sentences
+that are too short to be compared, words that were changed) form a run; runs of ``min_passage`` words or more are
+reported, so that a single repeated line of boilerplate is not.
 
 Defined cases: null and empty texts have no paragraphs; equal rows count as two documents; null doc_id takes part;
 empty tables give no rows; other columns are ignored; long texts are read whole, in groups of paragraphs.
@@ -30,6 +38,7 @@ empty tables give no rows; other columns are ignored; long texts are read whole,
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +52,16 @@ from tabscope.llm.components import connected_components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99
 MIN_WORDS, MIN_DISTINCT, MIN_PASSAGE, GAP = 8, 5, 25, 12
+REACH, LONGEST, HELD = 4, 64, 200_000
 SMALL, BLOCK = 32, 1024
 MAX_BANDS = 5
 SALT = 16
 BROADCAST_KEYS = 1_000_000
+# Sentence ends beside ASCII, from Armenian to full width; marks between words of East Asian scripts; scripts without
+# blanks (Thai and Lao, Tibetan, Myanmar, Khmer and Tai, kana and bopomofo, Han, half-width kana).
+ENDS = re.compile("[\u0589\u061f\u06d4\u0964\u0965\u0f0d\u0f0e\u104a\u104b\u1362\u1367\u1368\u17d4\u17d5\u1803\u1809\u203c\u203d\u2047-\u2049\u3002\uff01\uff0e\uff1f\uff61]")
+MARKS = re.compile("[\u0f0b\u3000\u3001\u3008-\u301f\u30fb\uff02-\uff0d\uff0f\uff1a-\uff1e\uff20\uff3b-\uff40\uff5b-\uff60\uff62-\uff65]")
+UNSPACED = re.compile("[\u0e01-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u3005-\u3007\u3041-\u312f\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 FOLD = bytes(2 if c == 10 else 1 if c in b".!?" else ALNUM_FOLD[c] for c in range(256))
 
 
@@ -60,6 +75,14 @@ def tune_bands(threshold: float = THRESHOLD, recall: float = RECALL, max_bands:
     return best
 
 
+def spaced(text: bytes) -> bytes:
+    """The text with blanks around each character of the scripts that have none, and with ASCII sentence ends."""
+    if text.isascii():
+        return text
+    plain = MARKS.sub(" ", ENDS.sub(".", text.decode("utf-8", "replace")))
+    return UNSPACED.sub(r" \g<0> ", plain).encode()
+
+
 def cut_text(text: bytes, min_words: int = MIN_WORDS):
     """(unit, start, words) of each paragraph of a UTF-8 text; unit counts stretches, start counts words."""
     at = unit = 0
@@ -79,21 +102,72 @@ def cut_text(text: bytes, min_words: int = MIN_WORDS):
                 short = short + words
 
 
-def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def cuts(words: list[bytes], reach: int = REACH) -> np.ndarray:
+    """The places between the words (and both ends) where pieces may begin and end."""
+    n, pairs = len(words), []
+    for at in range(0, n, HELD):  # the hash of each word with the one before it
+        part = words[max(0, at - 1):at + HELD]
+        joined = b" ".join(part)
+        blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+        starts, ends = np.concatenate([[0], blanks + 1]), np.concatenate([blanks, [len(joined)]])
+        pairs.append(span_hashes(joined, starts[np.maximum(np.arange(len(part)) - 1, 0)], ends)[at > 0:])
+    h, edge = np.concatenate(pairs), np.full(reach, np.iinfo(np.uint64).max, np.uint64)
+    wide = np.concatenate([edge, h, edge])
+    before = np.minimum.reduce([wide[k:k + n] for k in range(reach)])
+    after = np.minimum.reduce([wide[reach + k:reach + k + n] for k in range(1, reach + 1)])
+    found = np.unique(np.concatenate([[0], np.flatnonzero((h < before) & (h <= after)) + 1, [n]]))
+    wanting = np.flatnonzero(np.diff(found) > LONGEST)
+    return np.unique(np.concatenate([found, *[np.arange(found[i], found[i + 1], LONGEST) for i in wanting]])).astype(np.int64)
+
+
+def cut_pieces(text: bytes, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
+    """(start, n, key) of each piece of a UTF-8 text; start and n count words."""
+    words = text.translate(ALNUM_FOLD).split()
+    if len(words) < min_words:
+        return []
+    places = cuts(words)
+    ends = np.searchsorted(places, places + min_words)
+    out = []
+    for start, end in zip(places[ends < len(places)].tolist(), places[ends[ends < len(places)]].tolist()):
+        part = words[start:end]
+        if len(set(part)) >= MIN_DISTINCT:
+            out.append((start, end - start, xxhash.xxh64_intdigest(b" ".join(part))))
+    return out
+
+
+def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, pieces: bool = False) -> DataFrame:
     """(row, doc_id, unit, start, n, key, text) of every paragraph; start and n count words, key is the XXH64 of
-    the words."""
+    the words.  With ``pieces`` also of every piece, of which unit and text are null."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
         names = ["row", "doc_id", "unit", "start", "n", "key", "text"]
         for batch in batches:
             source, columns = [], [[] for _ in range(5)]
+            held, owner, size = [], [], 0
+
+            def flush():
+                at, (start, n, key) = pa.array(np.concatenate(owner), pa.int32()), np.concatenate(held).T
+                return pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.nulls(len(at), pa.int32()), pa.array(start.astype(np.int64)), pa.array(n.astype(np.int32)),
+                     pa.array(np.ascontiguousarray(key).view(np.int64)), pa.nulls(len(at), pa.string())], names=names)
+
             for i, text in enumerate(batch.column(2).cast(pa.binary())):
-                for unit, start, words in cut_text(text.as_py() or b"", min_words):
+                text = spaced(text.as_py() or b"")
+                for unit, start, words in cut_text(text, min_words):
                     joined = b" ".join(words)
                     source.append(i)
                     for c, v in zip(columns, (unit, start, len(words), xxhash.xxh64_intdigest(joined), joined.decode())):
                         c.append(v)
+                if pieces and (cut := cut_pieces(text, min_words)):
+                    held.append(np.array(cut, np.uint64))
+                    owner.append(np.full(len(cut), i, np.int32))
+                    size += len(cut)
+                    if size >= HELD:
+                        yield flush()
+                        held, owner, size = [], [], 0
+            if held:
+                yield flush()
             at = pa.array(source, pa.int32())
             unit, start, n, key, joined = columns
             yield pa.RecordBatch.from_arrays(
@@ -188,15 +262,15 @@ def connecting_links(keys: list[int], texts: list[str], threshold: float, shingl
 
 
 def _rows_of(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is in ``keys`` (written, distinct, one number each).
+    """The rows whose key is in ``keys`` (written, distinct), with the other columns of ``keys``.
 
     Up to ``BROADCAST_KEYS`` of them, by count, go to all tasks (some 24 MB).  Beyond that each key stands once for
     every salt and the rows carry any one salt, so that the copies of a content that very many documents hold meet
     their key in ``SALT`` tasks; the aggregation that follows collapses them before it brings a key together."""
     if is_small(keys, BROADCAST_KEYS):
-        return rows.join(F.broadcast(keys), key, "left_semi")
+        return rows.join(F.broadcast(keys), key)
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int")
-    spread = keys.select(key, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__salt"))
+    spread = keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__salt"))
     return rows.withColumn("__salt", salt).join(spread, [key, "__salt"]).drop("__salt")
 
 
@@ -233,7 +307,10 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = THRESHOLD, recall: f
                         min_words: int = MIN_WORDS) -> DataFrame:
     """(row, doc_id, unit, start, n, cluster, first_doc_id, removed) of every paragraph that another document
     repeats."""
-    units = paragraphs(docs, min_words)
+    return _repeated_units(paragraphs(docs, min_words), threshold, recall, shingle)
+
+
+def _repeated_units(units: DataFrame, threshold: float, recall: float, shingle: int) -> DataFrame:
     labels = connected_components(similar_links(units.select("key", "text"), threshold, recall, shingle)).withColumnRenamed("node", "key")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "row", "unit")
     contents = scratch_table(units.groupBy("key").agg(F.count("*").alias("copies"), F.min(place).alias("first"),
@@ -247,14 +324,29 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = THRESHOLD, recall: f
     return found.select("row", "doc_id", "unit", "start", "n", "cluster", F.col("head.doc_id").alias("first_doc_id"), (~kept).alias("removed"))
 
 
+def repeated_pieces(pieces: DataFrame) -> DataFrame:
+    """(row, doc_id, unit, start, n, cluster, first_doc_id, removed) of every piece that another document holds."""
+    ends = pieces.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high"))
+    shared = scratch_table(ends.where("low <> high").select("key"), "piece-shared")
+    found = scratch_table(_rows_of(pieces, shared, "key").select("row", "doc_id", "start", "n", "key"), "piece-found")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "row", "start")
+    heads = found.groupBy("key").agg(F.min(place).alias("head"))
+    heads = scratch_table(heads.select("key", F.col("head.row").alias("head_row"), F.col("head.start").alias("head_start"), F.col("head.doc_id").alias("first_doc_id")), "piece-heads")
+    kept = (F.col("row") == F.col("head_row")) & (F.col("start") == F.col("head_start"))
+    return _rows_of(found, heads, "key").select("row", "doc_id", F.lit(None).cast("int").alias("unit"), "start", "n", F.col("key").alias("cluster"), "first_doc_id", (~kept).alias("removed"))
+
+
 def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, shingle: int = SHINGLE, min_words: int = MIN_WORDS,
                       min_passage: int = MIN_PASSAGE, gap: int = GAP) -> DataFrame:
-    """doc_id, start_word, n_words, n_paragraphs, n_removed, first_doc_id (the least doc_id that any of the
-    passage's clusters begins in) of every repeated passage."""
-    found = scratch_table(repeated_paragraphs(docs, threshold, recall, shingle, min_words), "paragraph-found")
-    order = Window.partitionBy("row").orderBy("start")
-    fresh = F.col("start") - F.lag(F.col("start") + F.col("n")).over(order) > gap
-    runs = found.withColumn("run", F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(order))
+    """doc_id, start_word, n_words, n_paragraphs, n_removed (both count paragraphs and pieces), first_doc_id (the
+    least doc_id that any of the passage's clusters begins in) of every repeated passage."""
+    cut = paragraphs(docs, min_words, pieces=True)
+    found = _repeated_units(cut.where("text is not null"), threshold, recall, shingle).unionByName(repeated_pieces(cut.where("text is null").drop("unit", "text")))
+    found = scratch_table(found, "paragraph-found")
+    order = Window.partitionBy("row").orderBy("start", "n", F.col("unit").isNull())
+    reached = F.max(F.col("start") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = found.withColumn("fresh", F.coalesce(F.col("start") - reached > gap, F.lit(True)).cast("int"))
+    runs = runs.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     passages = runs.groupBy("row", "doc_id", "run").agg(
         F.min("start").alias("start_word"), (F.max(F.col("start") + F.col("n")) - F.min("start")).alias("n_words"), F.count("*").alias("n_paragraphs"),
         F.sum(F.col("removed").cast("bigint")).alias("n_removed"), F.min("first_doc_id").alias("first_doc_id"))

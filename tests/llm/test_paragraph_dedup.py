@@ -126,3 +126,41 @@ def test_planted_passages_are_found_and_clean_texts_are_not(spark):
 
 def test_empty_table(spark):
     assert P.repeated_passages(table(spark, [])).collect() == []
+
+
+HAN = [chr(0x4E00 + i) for i in range(3000)]
+
+
+@pytest.mark.parametrize("words, blank, size", [(VOCABULARY, " ", 60), (VOCABULARY, ", ", 60), (HAN, "", 60)])
+@pytest.mark.parametrize("around", [20, 240])
+def test_passages_in_hosts_without_sentence_marks_are_found(spark, words, blank, size, around):
+    rng = random.Random(around)
+    passages = [rng.choices(words, k=size) for _ in range(20)]
+    rows, planted = [], set()
+    for i in range(120):
+        body = rng.choices(words, k=around)
+        if i % 2 == 0:
+            at = rng.randrange(around)
+            body[at:at] = passages[i // 2 % 20]
+            planted.add(i)
+        rows.append((i, blank.join(body)))
+    got = P.repeated_passages(table(spark, rows)).collect()
+    assert {r.doc_id for r in got} <= planted
+    assert len({r.doc_id for r in got}) >= 0.95 * len(planted)
+
+
+def test_sentence_ends_and_words_of_other_scripts():
+    text = "这是第一个句子有十二个字。这是第二个句子有十二个字！Ok then".encode()
+    assert [(s, len(w)) for _, s, w in P.cut_text(P.spaced(text))] == [(0, 12), (12, 12)]
+    assert P.spaced("สวัสดี a".encode()).split() == [*(c.encode() for c in "สวัสดี"), b"a"]
+    assert P.spaced("é ü ß".encode()) == "é ü ß".encode()
+
+
+def test_cuts_do_not_depend_on_the_surroundings():
+    rng = random.Random(8)
+    passage = [w.encode() for w in rng.choices(VOCABULARY, k=500)]
+    host = [w.encode() for w in rng.choices(VOCABULARY, k=300)]
+    alone, inside = P.cuts(passage), P.cuts(host + passage + host) - 300
+    far = 2 * P.REACH
+    assert [c for c in alone if far <= c <= 500 - far] == [c for c in inside if far <= c <= 500 - far]
+    assert max(np.diff(P.cuts([b"same"] * 1000))) <= P.LONGEST
