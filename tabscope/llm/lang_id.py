@@ -5,9 +5,11 @@ windows of ``WINDOW`` bytes; each filter keeps its greatest answer in the window
 into probabilities of the languages.  A text is cut into consecutive windows, all of them are scored, and its
 languages' probabilities are the means over its windows, weighted by their bytes other than blanks and padding.
 
-The network is fitted on the driver on a bounded sample: at most ``PER_LANGUAGE`` rows of each of the
-``LANGUAGES`` commonest labels, thinned by a hash before the exact cut so that no task sorts all rows of a
-language, and ``SAMPLE_CHARS`` characters from the start and as many from the middle of each.  Prediction reads
+The network is fitted on the driver on a bounded sample: at most ``PER_LANGUAGE`` texts of each of the
+``LANGUAGES`` labels with most texts, and ``SAMPLE_CHARS`` characters from the start and as many from the middle of
+each.  Only those with a letter in these characters are taken.  Copies of a text under a label count once: they are
+merged by hash with map-side combining before anything is counted, and the distinct texts are thinned by that hash
+(the one with the least hash always stays) before the exact cut, so no task sorts all texts of a language.  Prediction reads
 whole texts in Arrow batches; a long text goes through in blocks of windows.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is any text if no row is
@@ -149,16 +151,19 @@ def fit(texts: list[str], labels: list[str], epochs: int = 6, batch: int = 256,
 
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> list:
     """(lang, text) of the bounded sample; docs: (text, lang), all of which may be learned from."""
-    usable = docs.where("lang is not null and lang <> 'und' and text is not null").select("lang", "text")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
-    mix = 1 << 30
-    keep = counts.select(F.col("lang").alias("l"), F.least(F.lit(mix), F.ceil(F.lit(4.0 * per_language * mix) / F.col("count"))).alias("below"))
-    hashed = usable.withColumn("h", F.xxhash64("text")).join(F.broadcast(keep), F.col("lang") == F.col("l"))
-    thinned = hashed.where(F.pmod("h", F.lit(mix)) < F.col("below"))
     middle = F.greatest(F.lit(SAMPLE_CHARS), F.floor(F.length("text") / 2).cast("int")) + 1
-    sample = thinned.select("lang", "h", F.concat(F.substring("text", 1, SAMPLE_CHARS), F.substring("text", middle, F.lit(SAMPLE_CHARS))).alias("text"))
+    cut = F.concat(F.substring("text", 1, SAMPLE_CHARS), F.substring("text", middle, F.lit(SAMPLE_CHARS)))
+    usable = docs.where("lang is not null and lang <> 'und' and text is not null").select("lang", F.xxhash64("text").alias("h"), cut.alias("text")).where(F.col("text").rlike("\\p{L}"))
+    mix = 1 << 30
+    place = F.pmod("h", F.lit(mix))
+    counts = usable.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("count"), F.min(place).alias("least"))
+    counts = counts.orderBy(F.desc("count"), "lang").limit(languages)
+    rate = F.least(F.lit(mix), F.ceil(F.lit(4.0 * per_language * mix) / F.col("count")))
+    keep = counts.select(F.col("lang").alias("l"), F.greatest(rate, F.col("least") + 1).alias("below"))
+    thinned = usable.join(F.broadcast(keep), F.col("lang") == F.col("l")).where(place < F.col("below"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    return sample.withColumn("nth", nth).where(F.col("nth") <= per_language).orderBy("lang", "nth").select("lang", "text").collect()
+    sample = thinned.select("lang", "h", "text").distinct().withColumn("nth", nth)
+    return sample.where(F.col("nth") <= per_language).orderBy("lang", "nth").select("lang", "text").collect()
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> ByteNetwork | None:

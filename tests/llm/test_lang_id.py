@@ -83,3 +83,13 @@ def test_sample_is_bounded(spark):
     got = G.training_rows(df, per_language=30)
     assert sorted({r.lang for r in got}) == ["de", "en"] and len(got) == 60
     assert {r.lang for r in G.training_rows(df, per_language=5, languages=1)} == {"de"}
+
+
+def test_copies_count_once_in_the_sample(spark):
+    rows = [("aa", "the same text over and over")] * 2000 + [("aa", f"another text number {i}") for i in range(10)]
+    rows += [("bb", "")] * 1000 + [("bb", "12 !!")] * 1000 + [("bb", f"ein Text {i}") for i in range(5)]
+    rows += [("cc", f"copied text {i % 40}") for i in range(4000)] + [("cc", f"single text {i}") for i in range(40)]
+    got = [(r.lang, r.text) for r in G.training_rows(spark.createDataFrame(rows, "lang string, text string"), per_language=30)]
+    assert len(got) == len(set(got))
+    assert {v for v in got if v[0] != "cc"} == {(v, f"{t}"[:600]) for v, t in rows if v != "cc" and any(map(str.isalpha, t))}
+    assert sum(v == "cc" for v, _ in got) == 30
