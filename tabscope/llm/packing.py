@@ -113,12 +113,25 @@ def configuration(sizes: np.ndarray, choice: np.ndarray, start: int, capacity: i
     return dict(out)
 
 
+def fullest(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """For every room up to the capacity, the most of it that any multiset of the sizes fills."""
+    sums, every = 1, (1 << capacity + 1) - 1
+    for s in sizes.tolist():
+        step = s
+        while step <= capacity:
+            sums |= sums << step & every
+            step *= 2
+    reached = np.unpackbits(np.frombuffer(sums.to_bytes(capacity // 8 + 1, "little"), np.uint8), bitorder="little")[:capacity + 1]
+    return np.maximum.accumulate(np.where(reached, np.arange(capacity + 1), 0))
+
+
 def fractional_solution(histogram: dict[int, int], capacity: int, rounds: int, columns: int = COLUMNS,
                         least_fill: float = LEAST_FILL) -> list[tuple[float, dict[int, int]]]:
     """Multiplicative weights; returns (how often, configuration), no length covered more often than it occurs.
 
-    Each round prices once and takes one configuration for each of the ``columns`` least covered lengths, of
-    those filled to ``least_fill`` or more; lengths that such configurations can't use are left to best fit."""
+    Each round prices once and takes one configuration for each of the ``columns`` least covered lengths, of those
+    filled to ``least_fill`` or more of what the open lengths can fill beside that length; if there is none, the
+    least covered lengths get their configurations of greatest price."""
     sizes = np.array(sorted(histogram, reverse=True), np.int64)
     need = np.array([histogram[s] for s in sizes.tolist()], float)
     place = {s: i for i, s in enumerate(sizes.tolist())}
@@ -128,19 +141,23 @@ def fractional_solution(histogram: dict[int, int], capacity: int, rounds: int, c
         if not len(open_):
             break
         choice = knapsack(sizes[open_], sizes[open_] / capacity * np.exp(-4.0 * covered[open_]), capacity)
-        taken = False
-        for i in open_[np.argsort(covered[open_], kind="stable")][:columns].tolist():
+        filled = np.zeros(capacity + 1, np.int64)
+        for c in range(1, capacity + 1):
+            filled[c] = filled[c - 1] if choice[c] < 0 else filled[c - sizes[open_[choice[c]]]] + sizes[open_[choice[c]]]
+        tried = open_[np.argsort(covered[open_], kind="stable")]
+        beside = capacity - sizes[tried]
+        well = sizes[tried] + filled[beside] >= least_fill * (sizes[tried] + fullest(sizes[open_], capacity)[beside])
+        taken = 0
+        for i in (tried[well] if well.any() else tried).tolist():
             used = configuration(sizes[open_], choice, int(sizes[i]), capacity)
-            if sum(s * a for s, a in used.items()) < least_fill * capacity:
-                continue
             often = min((1 - covered[place[s]]) * need[place[s]] / a for s, a in used.items())
             if often * max(a / need[place[s]] for s, a in used.items()) > 1e-9:
                 for s, a in used.items():
                     covered[place[s]] += a * often / need[place[s]]
                 out.append((often, used))
-                taken = True
-        if not taken:
-            break
+                taken += 1
+                if taken == columns:
+                    break
     return out
 
 
@@ -189,11 +206,13 @@ def best_fit(histogram: dict[int, int], opened: list[Entry], capacity: int) -> l
 
 
 def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[Entry]:
-    """Entries whose lengths add up to exactly the histogram."""
+    """Entries whose lengths add up to exactly the histogram: the program's, or best fit alone if that takes fewer
+    sequences."""
     left = dict(histogram)
     entries = [Entry(left.pop(capacity), {capacity: 1})] if left.get(capacity) else []
     if not left:
         return entries
+    alone = best_fit(left, [], capacity)
     merged: dict[tuple, float] = defaultdict(float)
     for often, used in fractional_solution(left, capacity, rounds):
         merged[tuple(sorted(used.items()))] += often
@@ -204,7 +223,8 @@ def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
             whole.append(Entry(count, dict(used)))
             for s, a in used:
                 left[s] -= a * count
-    return entries + best_fit({s: n for s, n in left.items() if n}, whole, capacity)
+    program = best_fit({s: n for s, n in left.items() if n}, whole, capacity)
+    return entries + min(program, alone, key=lambda plan: sum(e.count for e in plan))
 
 
 def place_table(entries: list[Entry]) -> dict[int, np.ndarray]:

@@ -96,3 +96,22 @@ def test_packed_documents(spark, capacity):
 
 def test_empty_table(spark):
     assert K.pack_documents(spark.createDataFrame([], SCHEMA), PATH).collect() == []
+
+
+def test_program_goes_on_past_lengths_that_cannot_be_filled():
+    histogram = {s: 40 for s in range(3900, 3990)} | {1500: 3000, 1298: 6000, 1198: 3000, 900: 2000, 698: 4000, 1700: 2000}
+    used = K.fractional_solution(histogram, 4096, K.ROUNDS)
+    covered = Counter()
+    for often, lengths in used:
+        for s, a in lengths.items():
+            covered[s] += a * often
+    assert all(n * 0.99 <= covered[s] <= n * (1 + 1e-6) for s, n in histogram.items())
+    assert check_plan(histogram, 4096, K.plan_sequences(histogram)) <= 9600  # best fit alone: 10025
+
+
+def test_program_applies_where_no_mix_fills_a_sequence():
+    histogram = {s: 30 for s in range(400, 4096, 100)}
+    alone = sum(e.count for e in K.best_fit(histogram, [], 4096))
+    assert K.fractional_solution(histogram, 4096, K.ROUNDS)
+    assert check_plan(histogram, 4096, K.plan_sequences(histogram)) <= alone
+    assert K.fullest(np.array([7, 5]), 13).tolist() == [0, 0, 0, 0, 0, 5, 5, 7, 7, 7, 10, 10, 12, 12]
