@@ -148,3 +148,63 @@ def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit("load", events)
     rollup.commit("load", events)
     return rollup.totals()
+
+
+@query
+def op12_bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for every hundredth embedding; a seventh of the labels are moved on by one, so that labels and
+    vectors disagree."""
+    from tabscope.llm.bond_negatives import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return hard_negatives(vectors, F.col("vec_id") % 100 == 0, positives=5, negatives=10, scale=256, window=(30, 90))
+
+
+ORACLES["op12_bond_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+  (row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id))::INTEGER AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) <= 10
+"""
+
+
+def noisy_words(docs: DataFrame, every: int, least_length: int, least_count: int) -> DataFrame:
+    """(word, n): runs of letters of all documents, one letter taken out of every so many (by a hash of document and
+    run), of ``least_length`` letters that occur ``least_count`` times."""
+    from tabscope.llm.spelling import letter_runs
+
+    run, doc = F.col("run"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    hashed = F.crc32(F.concat(doc, F.lit(":"), run).cast("binary"))
+    at = (F.col("h") % F.char_length(run)).cast("int")
+    less = F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.char_length(run)))
+    words = letter_runs(docs, least_length).withColumn("h", hashed).select(F.when(F.col("h") % every == 0, less).otherwise(run).alias("word"))
+    return words.where(F.char_length("word") >= least_length).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_count)
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    from tabscope.llm.spelling import group_spellings
+
+    out = group_spellings(noisy_words(read_table(spark, sf_dir, "documents"), 199, 6, 5), factor=5, least_length=6)
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query
+def op11_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base quality rules and robust outliers of all documents, by language and source."""
+    from tabscope.llm.robust_outliers import quality_verdicts
+
+    out = quality_verdicts(read_table(spark, sf_dir, "documents"))
+    counts = [F.col(c).cast("bigint").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return out.select("carry.doc_id", *counts, "base_failed", "kept")
