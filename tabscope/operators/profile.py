@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tabscope.functions.columns import (
     analysed_columns, as_double, is_overview_numeric, is_stat_numeric, overview_kind, seg_cols,
 )
-from tabscope.operators.quantiles import quantiles_wide
+from tabscope.operators.quantiles import GROUP, quantiles_wide, select_ranks, sketch
 from tabscope.operators.segments import seg_join
 
 
@@ -96,15 +96,18 @@ def numeric_summary(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str
     cols = [c for c in analysed_columns(df, by, columns) if is_stat_numeric(df.schema[c].dataType)]
     if not cols:
         return df.sparkSession.createDataFrame([], _summary_schema(df, by))
-    moments = df.groupBy(*by).agg(*[
-        F.struct(F.avg(as_double(df, c)).alias("mean"),
-                 F.coalesce(F.stddev_samp(as_double(df, c)), F.lit(0.0)).alias("std_dev"),
-                 F.count(as_double(df, c)).alias("n")).alias(c)
-        for c in cols
-    ])
-    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("m")) for c in cols]))
-    moments = moments.select(*by, stack.alias("s")).select(*by, "s.column", "s.m.mean", "s.m.std_dev", "s.m.n").where(F.col("n") > 0)
-    q = quantiles_wide(df, cols, [0.25, 0.5, 0.75], ["q1", "median", "q3"], by).drop("n")
+    probs = [0.25, 0.5, 0.75]
+    stats = sketch(df, cols, probs, by)
+    selected, moments = [], None
+    for g in range(0, len(cols), GROUP):
+        part = cols[g : g + GROUP]
+        extra = [f"named_struct('mean', avg(__v{i}), 'std_dev', coalesce(stddev_samp(__v{i}), 0D), 'n', count(__v{i})) AS __m{i}" for i in range(len(part))]
+        counts, bins = select_ranks(df, part, probs, stats, by, False, first=g, extra=extra)  # moments ride along
+        selected.append((counts, bins))
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"__m{i}").alias("m")) for i, c in enumerate(part)]))
+        m = counts.select(*by, each.alias("s")).select(*by, "s.column", "s.m.mean", "s.m.std_dev", "s.m.n").where(F.col("n") > 0)
+        moments = m if moments is None else moments.unionByName(m)
+    q = quantiles_wide(df, cols, probs, ["q1", "median", "q3"], by, stats=stats, selected=selected).drop("n")
     out = seg_join(moments, q, by + ["column"])
     return out.select(*by, "column", "mean", "median", "std_dev", "q1", "q3")
 

@@ -1,14 +1,13 @@
 """Five-part data-quality score per segment (AGG5-AGG10).
 
-Passes over the data:
-  A. exact quartiles of the numeric columns (``quantiles``: a stats pass and
-     one or two histogram rounds), giving Tukey fences per segment and column;
-  B. one aggregation over the data left-joined to the fences (a checkpointed
-     one-row-per-segment table, broadcast only under a checked size):
-     rows, complete rows, lexical-kind bitmask per string column, values
-     outside the fences and values counted;
-  C. duplicate rows: count by segment and a 128-bit row hash (a hot duplicated
-     row collapses map-side), then compare whole rows of repeated hashes only.
+Three scans of the data:
+  A. ``quantiles.sketch``: a quantile sketch per numeric column and segment;
+  B. one grouping of equal rows (a heavily repeated row collapses map-side),
+     whose distinct rows give duplicates, complete rows, lexical kinds, the
+     counts around the sketch's brackets and the values certainly outside
+     the Tukey fences;
+  C. ``quantiles.bracket_bins``: the few values inside the brackets, for the exact
+     quartiles, and the few that lie where a fence may be.
 The per-segment results are joined on the segment keys.
 """
 
@@ -23,7 +22,9 @@ from pyspark.sql import types as T
 from tabscope.functions.columns import (
     LEXICAL_KIND_PATTERNS, analysed_columns, as_double, finite_or_null, is_stat_numeric, lexical_kind, seg_cols,
 )
-from tabscope.operators.quantiles import quantiles_wide
+from tabscope.operators.quantiles import (
+    GROUP, bracket_counts, bracket_ends, fence_zone, long_values, quantiles_wide, select_ranks, sketch,
+)
 from tabscope.operators.segments import BROADCAST_BYTES, seg_bytes, seg_join
 
 # Weights, thresholds and labels of the quality score.
@@ -35,6 +36,7 @@ ASSESSMENT_GOOD = "Good quality data with minor outlier concerns"
 ASSESSMENT_MODERATE = "Data quality is moderate and needs improvement before reliable modeling"
 IQR_K = 1.5
 MIN_VALUES_FOR_FENCES = 4
+QUARTILES = (0.25, 0.75)
 
 _KIND_CODES = {name: i for i, name in enumerate([k for k, _ in LEXICAL_KIND_PATTERNS] + ["text"])}
 
@@ -61,11 +63,12 @@ def _kind_bit(c: str):
     return bit
 
 
-def fences(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
+def fences(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str] | None = None, stats: DataFrame | None = None,
+           selected: Sequence[DataFrame] | None = None) -> DataFrame:
     """(by..., column, q1, q3, n, fence_lo, fence_hi, usable) on finite values (+/-inf dropped)."""
     by = seg_cols(by)
     cols = [c for c in analysed_columns(df, by, columns) if is_stat_numeric(df.schema[c].dataType)]
-    q = quantiles_wide(df, cols, [0.25, 0.75], ["q1", "q3"], by, drop_inf=True)
+    q = quantiles_wide(df, cols, QUARTILES, ["q1", "q3"], by, drop_inf=True, stats=stats, selected=selected)
     iqr = F.col("q3") - F.col("q1")
     return q.select(
         *by, "column", "q1", "q3", "n",
@@ -78,28 +81,16 @@ def fences(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str] | None
 def duplicate_counts(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
     """(by..., n_rows, n_distinct_rows, n_duplicates); null and NaN are one value, as in whole-row dedup.
 
-    Rows are first counted by two 64-bit hashes, so 16 bytes of a row go through the shuffle; only rows whose
-    hashes occur more than once are compared as a whole.
-    """
+    One scan: whole rows are grouped (hash-partitioned, a heavily repeated row collapses map-side), so the count is exact
+    and nothing is read twice or written.  The empty table is one segment without keys."""
     by = seg_cols(by)
     cols = analysed_columns(df, by, columns)
-    same = [F.struct(_comparable(df, c).isNull(), _comparable(df, c)).alias(f"__d{i}") for i, c in enumerate(cols)]
-    row = F.struct(*same) if same else F.lit(0)
-    hashed = df.select(*[F.col(f"`{b}`") for b in by], row.alias("__row")).withColumns(
-        {"__h1": F.xxhash64("__row"), "__h2": F.xxhash64(F.lit(1), "__row")})
-    g = hashed.groupBy(*[F.col(f"`{b}`") for b in by], "__h1", "__h2").agg(F.count(F.lit(1)).alias("__c")).checkpoint(eager=True)
-    often = g.where("__c > 1")
-    counts = g.groupBy(*by).agg(F.coalesce(F.sum("__c"), F.lit(0)).cast("long").alias("n_rows"),
-                                F.count_if(F.col("__c") == 1).alias("__once"))
-    if often.isEmpty():
-        return counts.select(*by, "n_rows", F.col("__once").alias("n_distinct_rows"), (F.col("n_rows") - F.col("__once")).alias("n_duplicates"))
-    keys = by + ["__h1", "__h2"]
-    small = seg_bytes(often, keys) <= BROADCAST_BYTES
-    repeated = seg_join(hashed, often.select(*keys, "__c"), keys, "left_semi", broadcast_right=small)
-    distinct = repeated.groupBy(*[F.col(f"`{b}`") for b in by], "__row").agg(F.count(F.lit(1)).alias("__n"))
-    agg = seg_join(counts, distinct.groupBy(*by).agg(F.count(F.lit(1)).alias("__more")), by, "left")
-    n = (F.col("__once") + F.coalesce("__more", F.lit(0))).cast("long")
-    return agg.select(*by, "n_rows", n.alias("n_distinct_rows"), (F.col("n_rows") - n).alias("n_duplicates"))
+    row = [_comparable(df, c).alias(f"__d{i}") for i, c in enumerate(cols)] or [F.lit(0).alias("__d0")]
+    held = [F.col(f"`{b}`").alias(f"__k{i}") for i, b in enumerate(by)]
+    rows = df.select(*held, *row)
+    each = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__c"))
+    out = each.groupBy(*[f"__k{i}" for i in range(len(by))]).agg(F.coalesce(F.sum("__c"), F.lit(0)).cast("long").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct_rows"))
+    return out.select(*[F.col(f"__k{i}").alias(b) for i, b in enumerate(by)], "n_rows", "n_distinct_rows", (F.col("n_rows") - F.col("n_distinct_rows")).alias("n_duplicates"))
 
 
 def _comparable(df: DataFrame, c: str):
@@ -109,6 +100,81 @@ def _comparable(df: DataFrame, c: str):
     return F.col(f"`{c}`")
 
 
+def outlier_counts(df: DataFrame, numeric: Sequence[str], stats: DataFrame, by: Sequence[str] = (), counts: Sequence[DataFrame] | None = None) -> DataFrame:
+    """(by..., outlier_total, value_total): finite values outside the Tukey fences, and all of the columns that have fences.
+
+    ``stats`` is the quartile sketch of ``numeric``.  The counts that lead to the exact quartiles also have the values that
+    lie outside whatever the quartiles are within their brackets, and the few between are grouped by value; these
+    are compared with the exact fences afterwards."""
+    by = seg_cols(by)
+    held = [F.col(f"`{b}`") for b in by]
+    groups = _groups(numeric)
+    counts = counts or [None] * len(groups)
+    selected = [select_ranks(df, cols, QUARTILES, stats, by, True, fence_k=IQR_K, first=g, counts=c) for (g, cols), c in zip(groups, counts)]
+    place = F.create_map(*[x for i, c in enumerate(numeric) for x in (F.lit(c), F.lit(i))])
+    f = fences(df, by, numeric, stats, selected).where("usable").select(*held, "column", place[F.col("column")].alias("__ci"), "n", "fence_lo", "fence_hi")
+    f = f.checkpoint(eager=True)
+    outside = None
+    for (g, cols), (counted, bins) in zip(groups, selected):
+        step = 3 * len(QUARTILES) + 1
+        each = F.explode(F.array(*[F.struct(
+            F.lit(g + i).alias("__ci"), F.get("counts", F.lit(i * step + step - 1)).alias("c"),
+            *[F.expr(e).alias(name) for name, e in zip(("l0", "l1", "h0", "h1"), fence_zone(f"s{g + i}", IQR_K))]) for i in range(len(cols))]))
+        sure = seg_join(counted.select(*held, "counts"), stats.select(*held, *[f"s{g + i}" for i in range(len(cols))]), by)
+        sure = sure.select(*held, each.alias("x")).select(*held, "x.*", F.lit(None).cast("double").alias("z"))
+        none = F.lit(None).cast("double")
+        unsure = bins.where("z IS NOT NULL").select(*held, (F.col("ci") + g).alias("__ci"), "c", *[none.alias(e) for e in ("l0", "l1", "h0", "h1")], "z")
+        both = sure.unionByName(unsure)
+        outside = both if outside is None else outside.unionByName(both)
+    counted = seg_join(outside, f, by + ["__ci"])
+    out = F.col("z").isNull() | (F.col("z") < F.col("fence_lo")) | (F.col("z") > F.col("fence_hi"))
+    held_in = F.col("fence_lo").between(F.col("l0"), F.col("l1")) & F.col("fence_hi").between(F.col("h0"), F.col("h1"))
+    counted = counted.groupBy(*held, "column").agg(F.sum(F.when(out, F.col("c")).otherwise(0)).alias("c"), F.max("n").alias("n"), F.bool_and(held_in).alias("good"),
+                                                   F.max("fence_lo").alias("fence_lo"), F.max("fence_hi").alias("fence_hi")).checkpoint(eager=True)
+    bad = sorted(r["column"] for r in counted.where("NOT good").select("column").distinct().collect())  # at most the table's columns
+    total = counted.where("good").select(*held, "c", "n")
+    if bad:  # the sketch's bracket missed a quartile: these segments' columns are compared value by value
+        again = counted.where("NOT good")
+        values = seg_join(long_values(df, bad, by, True), again.select(*held, "column", "fence_lo", "fence_hi"), by + ["column"], "inner",
+                          broadcast_right=seg_bytes(again, by) <= BROADCAST_BYTES)
+        total = total.unionByName(values.groupBy(*held, "column").agg(
+            F.count_if((F.col("value") < F.col("fence_lo")) | (F.col("value") > F.col("fence_hi"))).alias("c"), F.count(F.lit(1)).alias("n")).select(*held, "c", "n"))
+    return total.groupBy(*held).agg(F.sum("c").alias("outlier_total"), F.sum("n").alias("value_total"))
+
+
+def _groups(columns: Sequence[str]) -> list[tuple[int, Sequence[str]]]:
+    return [(g, columns[g : g + GROUP]) for g in range(0, len(columns), GROUP)]
+
+
+def _row_profile(df: DataFrame, cols: Sequence[str], numeric: Sequence[str], strings: Sequence[str], any_null, stats: DataFrame | None, by: Sequence[str]) -> DataFrame:
+    """One scan: (by..., n_rows, n_duplicates, n_complete, a kind bitmask __k of each string column, __counts of each group of
+    numeric columns).  Equal rows are grouped first; what is counted then is counted once a distinct row."""
+    held = [F.col(f"`{b}`").alias(f"__g{i}") for i, b in enumerate(by)]
+    each = df.select(*held, *[_comparable(df, c).alias(f"__d{i}") for i, c in enumerate(cols)], any_null.alias("__anynull"))
+    rows = each.groupBy(*each.columns).agg(F.count(F.lit(1)).alias("__c"))
+    keys = [f"__g{i}" for i in range(len(by))]
+    place = {c: i for i, c in enumerate(cols)}
+    text = [F.bit_or(_kind_bit(f"__d{place[c]}")).alias(f"__k{i}") for i, c in enumerate(strings)]
+    aggs = [F.coalesce(F.sum("__c"), F.lit(0)).cast("long").alias("n_rows"), F.count(F.lit(1)).alias("__distinct"),
+            F.coalesce(F.sum(F.when(~F.col("__anynull"), F.col("__c"))), F.lit(0)).cast("long").alias("n_complete"), *text]
+    out = None
+    parts = _groups(numeric) or [(0, [])]
+    if stats is None or len(parts) > 1:  # wide tables: counts of each group of columns from a scan of their own
+        out = rows.groupBy(*keys).agg(*aggs)
+    for g, part in parts:
+        if stats is None or not part:
+            continue
+        small = bracket_ends(stats, len(part), len(QUARTILES), by, IQR_K, g)
+        small = small.select(*[F.col(f"`{b}`").alias(k) for b, k in zip(by, keys)], *[c for c in small.columns if c not in by])
+        values = rows.select(*keys, "__anynull", "__c", *[f"__d{place[c]}" for c in strings],
+                             *[finite_or_null(F.col(f"__d{place[c]}").cast("double")).alias(f"__v{i}") for i, c in enumerate(part)])
+        joined = seg_join(values, small, keys, "left", broadcast_right=seg_bytes(small, keys) <= BROADCAST_BYTES)
+        counted = joined.groupBy(*keys).agg(*(aggs if out is None else []), bracket_counts(len(part), len(QUARTILES), IQR_K, "__c").alias(f"__counts{g}"))
+        out = counted if out is None else seg_join(out, counted, keys)
+    return out.select(*[F.col(k).alias(b) for b, k in zip(by, keys)], "n_rows", (F.col("n_rows") - F.col("__distinct")).alias("n_duplicates"), "n_complete",
+                      *[f"__k{i}" for i in range(len(strings))], *[c for c in out.columns if c.startswith("__counts")])
+
+
 def quality_parts(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
     """Unrounded parts: (by..., n_rows, completeness, uniqueness, consistency, plausibility, feature_richness)."""
     by = seg_cols(by)
@@ -119,36 +185,18 @@ def quality_parts(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str]
     any_null = F.lit(False)
     for c in cols:
         any_null = any_null | _null(df, c)
-    # One aggregation per segment for rows, complete rows, kind bitmasks and outliers: the data is
-    # left-joined to the segment's fences (a small checkpointed table) so no second scan is needed.
-    data = df.select(*[F.col(f"`{b}`") for b in by], any_null.alias("__anynull"),
-                     *[_kind_bit(c).alias(f"__kb{i}") for i, c in enumerate(strings)],
-                     *[finite_or_null(as_double(df, c)).alias(f"__v{i}") for i, c in enumerate(numeric)])
-    outl = vals = F.lit(0)
+    work = df.select(*[F.col(f"`{b}`") for b in by], *[F.col(f"`{c}`") for c in cols])
+    stats = sketch(work, numeric, QUARTILES, by, True) if numeric else None
+    a = _row_profile(work, cols, numeric, strings, any_null, stats, by).checkpoint(eager=True)
     if numeric:
-        f = fences(df, by, numeric).where("usable")
-        wide = f.groupBy(*by).agg(*[
-            F.struct(F.max(F.when(F.col("column") == c, F.col("fence_lo"))).alias("lo"),
-                     F.max(F.when(F.col("column") == c, F.col("fence_hi"))).alias("hi")).alias(f"__f{i}")
-            for i, c in enumerate(numeric)]).checkpoint(eager=True)
-        small = seg_bytes(wide, by)
-        data = seg_join(data, wide, by, "left", broadcast_right=small <= BROADCAST_BYTES)
-        outl = sum((F.when((F.col(f"__v{i}") < F.col(f"__f{i}.lo")) | (F.col(f"__v{i}") > F.col(f"__f{i}.hi")), 1).otherwise(0)
-                    for i in range(len(numeric))), F.lit(0))
-        vals = sum((F.when(F.col(f"__v{i}").isNotNull() & F.col(f"__f{i}.lo").isNotNull(), 1).otherwise(0)
-                    for i in range(len(numeric))), F.lit(0))
-    a = data.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(~F.col("__anynull")).alias("n_complete"),
-        *[F.bit_or(f"__kb{i}").alias(f"__k{i}") for i in range(len(strings))],
-        F.coalesce(F.sum(outl), F.lit(0)).cast("long").alias("outlier_total"),
-        F.coalesce(F.sum(vals), F.lit(0)).cast("long").alias("value_total"),
-    )
+        counts = [a.select(*by, F.col(f"__counts{g}").alias("counts")) for g, _ in _groups(numeric)]
+        a = seg_join(a, outlier_counts(work, numeric, stats, by, counts), by, "left")
+    else:
+        a = a.withColumns({"outlier_total": F.lit(0), "value_total": F.lit(0)})
+    a = a.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("outlier_total", "value_total")})
     issues = sum((F.when(F.bit_count(F.coalesce(F.col(f"__k{i}"), F.lit(0))) > TYPE_DIVERSITY_THRESHOLD, 1).otherwise(0)
                   for i in range(len(strings))), F.lit(0))
-    a = a.select(*by, "n_rows", "n_complete", issues.alias("consistency_issues"), "outlier_total", "value_total")
-    d = duplicate_counts(df, by, cols).drop("n_rows")
-    j = seg_join(a, d, by)
+    j = a.select(*by, "n_rows", "n_complete", issues.alias("consistency_issues"), "outlier_total", "value_total", "n_duplicates")
     rows = F.greatest(F.col("n_rows"), F.lit(1))  # an empty table: nothing complete, nothing duplicated
     return j.select(
         *by,
