@@ -138,15 +138,23 @@ def op2_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of all documents by source, language and tokenizer version, loaded in one batch that is committed
-    twice."""
+    """Tokens of all documents by source, language and tokenizer version, kept by deltas: two batches of inserts, one
+    that deletes a fifth of the documents and changes a tenth (revised under a wrong source, deleted, inserted anew), one
+    that puts the deleted ones back; the second is committed again at the end.  The totals are those of the documents."""
     from tabscope.llm.common import scratch_path
     from tabscope.llm.token_rollup import BLANK_WORDS, TokenRollup, inserts
 
     rollup = TokenRollup(spark, scratch_path(spark, "token-rollup"), {"word_bpe_49k": word_tokenizer(), BLANK_WORDS: None})
     events = inserts(read_table(spark, sf_dir, "documents"))
-    rollup.commit("load", events)
-    rollup.commit("load", events)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(10))
+    rollup.commit("load-1", events.where(part < 5))
+    rollup.commit("load-2", events.where(part >= 5))
+    gone, changed = events.where(part.isin(2, 7)), events.where(part == 4)
+    wrong = changed.withColumns({"op": F.lit("revise"), "seq": F.lit(1), "source": F.lit("wrong"), "text": F.lit("")})
+    rollup.commit("change", gone.withColumn("op", F.lit("delete")).unionByName(wrong).unionByName(
+        changed.withColumns({"op": F.lit("delete"), "seq": F.lit(2)})).unionByName(changed.withColumn("seq", F.lit(3))))
+    rollup.commit("back", gone)
+    rollup.commit("load-2", events.where(part >= 5))
     return rollup.totals()
 
 

@@ -4,11 +4,12 @@ Parts.  ``assign``, ``access`` and ``hex`` are reported wherever they stand.  ``
 digits), ``ident`` (a login or client id assignment) and ``endpoint`` (a URL or host with port) are weak: alone they
 mean nothing.  Each part has a role: access and ident identify, assign, hex and blob are secret, endpoint is where.
 
-Linking.  Parts of one document are in scope of one another if at most ``reach`` characters lie between them.  A
-blob is reported if an identifying part is in scope, an ident if a secret is, an endpoint if both are; a weak part
-that overlaps a reported one is the same thing and is dropped.  The interval join needs no pairs: with a document's
-parts in order of their starts, the nearest part of a role before and after each part decides, and running
-maxima and minima over that order give it.
+Linking.  Parts of one document are in scope of one another if they don't overlap and at most ``reach`` characters lie
+between them: the same characters are never two parts of one credential.  A blob is reported if an identifying part
+is in scope, an ident if a secret is, an endpoint if both are; a weak part that overlaps a reported one is the same
+thing and is dropped.  The interval join needs no pairs: each part is an event at its start and one at its end, and
+with a document's events in order the last end of a role before a start, and the first start of a role after an end,
+are running maxima and minima.
 
 Positions.  Each kind's matches are wrapped in private-use marks by one ``regexp_replace`` (after any such marks
 in the text itself have been put out of the way, one character for one), the text is split at the marks, and
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 OPEN, CLOSE, VALUE = "", "", ""
-WORD = r"A-Za-z0-9+/_=-"
+WORD = r"A-Za-z0-9+/_-"
 #: kind: (pattern, least characters of its value, role); the value is group 2 if there is one.  In order of report.
 BASE = {
     "assign": (r"((?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?)([A-Za-z0-9+/_.=-]+)", 8, "secret"),
@@ -35,7 +36,7 @@ BASE = {
     "hex": (r"()([0-9a-f]{32,})", 32, "secret"),
 }
 WEAK = {
-    "blob": (rf"()((?<![{WORD}])[{WORD}]{{20,}})", 20, "secret"),
+    "blob": (rf"()((?<![{WORD}])[{WORD}]{{20,}}={{0,2}})", 20, "secret"),
     "ident": (r"((?i:client_?id|key_?id|account_?id|user_?name|user|login)[\"']?\x20*[:=]\x20*[\"']?)([A-Za-z0-9_.@+-]+)", 3, "identity"),
     "endpoint": (r"()(https?://[^\s\"'<>]+|(?<![\w.-])[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}(?![0-9]))", 8, "place"),
 }
@@ -93,13 +94,25 @@ def scan(docs: DataFrame, reach: int = REACH, carry: tuple[str, ...] = ("doc_id"
         F.min(F.when(strong, F.col("start"))).over(after) < F.col("end"), F.lit(False))
     rows = rows.withColumn("part", F.col("good") & (strong | ~hidden))
 
+    # an end comes before a start at the same place: parts that touch don't overlap
+    at = lambda where, what: F.struct(F.col(where).alias("at"), F.lit(what).alias("what"))
+    both = F.when(F.col("part"), F.array(at("end", 0), at("start", 1))).otherwise(F.array(at("start", 2)))
+    events = rows.select("key", "carry", "kind", "nth", "start", "end", "part", F.explode(both).alias("e"))
+    order = Window.partitionBy("key").orderBy("e.at", "e.what")
+    earlier, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+
     def near(role: str) -> Column:
         mine = F.col("part") & F.col("kind").isin([i for i, k in enumerate(names) if KINDS[k][2] == role])
-        back = F.col("start") - F.max(F.when(mine, F.col("end"))).over(before) <= reach
-        ahead = F.min(F.when(mine, F.col("start"))).over(after) - F.col("end") <= reach
+        last_end = F.max(F.when(mine & (F.col("e.what") == 0), F.col("e.at"))).over(earlier)
+        next_start = F.min(F.when(mine & (F.col("e.what") == 1), F.col("e.at"))).over(later)
+        back = (F.col("e.what") == 1) & (F.col("start") - last_end <= reach)
+        ahead = (F.col("e.what") == 0) & (next_start - F.col("end") <= reach)
         return F.coalesce(back, F.lit(False)) | F.coalesce(ahead, F.lit(False))
 
-    rows = rows.withColumns({"by_identity": near("identity"), "by_secret": near("secret")})
+    events = events.withColumns({"by_identity": near("identity"), "by_secret": near("secret")})
+    rows = events.groupBy("key", "kind", "nth").agg(
+        F.first("carry", ignorenulls=True).alias("carry"), *[F.first(c).alias(c) for c in ("start", "end", "part")],
+        F.bool_or("by_identity").alias("by_identity"), F.bool_or("by_secret").alias("by_secret"))
     kind = F.col("kind")
     linked = ((kind == names.index("blob")) & F.col("by_identity")) | ((kind == names.index("ident")) & F.col("by_secret")) | (
         (kind == names.index("endpoint")) & F.col("by_identity") & F.col("by_secret"))

@@ -8,8 +8,10 @@ A rollup is a folder with two append-only tables, partitioned by batch:
 
 All counts are additive.  What a document counts for now is the sum of its changes, and the totals are the sum of
 all batches' totals.  An ``insert`` adds its row.  A ``delete`` takes back all that the doc_id counts for; a
-``revise`` does the same and adds its row, under its own source and language.  Within a batch events follow
-``seq``: what stands before the last delete or revise of a doc_id has no effect.
+``revise`` does the same and adds its row, under its own source and language.  Within a batch events have a total
+order: by ``seq`` (null before all others), at equal seq deletes, then revises, then inserts, and revises at equal seq by
+a hash of their row.  What stands before the last delete or revise of a doc_id has no effect, so of several
+revises one counts.
 
 A batch is committed once its totals are complete (the writer's ``_SUCCESS``), which comes after its changes are.
 Committing a batch id again is a no-op; a batch that broke off is written anew over its remains.  Readers see
@@ -22,7 +24,8 @@ with the changes.
 
 Defined cases: null text counts as empty (no tokens, one document); null source, lang and doc_id are values like
 any other; rows with equal doc_id inserted in one batch all count; deleting what isn't there changes nothing;
-an empty batch is committed and changes nothing; other columns are ignored.
+an empty batch is committed and changes nothing; events with a null or unknown op change nothing; equal revises are
+one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,12 +96,16 @@ class TokenRollup:
             raise ValueError(f"not a batch name: {batch!r}")
         if self.committed(batch):
             return False
-        events = events.select("op", F.col("seq").cast("bigint").alias("seq"), F.col("doc_id").cast("bigint").alias("doc_id"),
+        seq = F.coalesce(F.col("seq").cast("bigint"), F.lit(-(2**63)))
+        events = events.select("op", seq.alias("seq"), F.col("doc_id").cast("bigint").alias("doc_id"),
                                *[F.col(c).cast("string").alias(c) for c in ("source", "lang", "text")])
-        resets = (events.where("op in ('delete', 'revise')").groupBy("doc_id").agg(F.max("seq").alias("reset"))
+        place = F.struct("seq", (F.col("op") == "revise").alias("revised"), F.when(F.col("op") == "revise", F.xxhash64("source", "lang", "text")).alias("h"))
+        resets = (events.where("op in ('delete', 'revise')").groupBy("doc_id").agg(F.max(place).alias("reset"))
                   .withColumnRenamed("doc_id", "r_id"))
         same = F.col("doc_id").eqNullSafe(F.col("r_id"))
-        added = events.where("op in ('insert', 'revise')").join(resets, same, "left").where("reset is null or seq >= reset")
+        inserted = events.where("op = 'insert'").join(resets, same, "left").where("reset is null or seq >= reset.seq")
+        revised = events.where("op = 'revise'").withColumn("at", place).join(resets, same).where("at = reset").dropDuplicates(["doc_id"])
+        added = inserted.select("doc_id", "source", "lang", "text").unionByName(revised.select("doc_id", "source", "lang", "text"))
         counts = F.arrays_zip(F.array(*[F.lit(v) for v in self.tokenizers]).alias("tokenizer"),
                               count_column(F.col("text"), self.tokenizers).alias("n_tokens"))
         plus = added.select("doc_id", "source", "lang", F.explode(counts).alias("c")).select(

@@ -64,6 +64,24 @@ def test_batches_match_replay_and_commits_are_idempotent(spark):
     assert rollup.batches() == ["b0", "b1", "b2", "b3"]
 
 
+def test_ties_nulls_and_unknown_events(spark):
+    """Equal seq: deletes, revises, inserts; null seq first; of several revises one counts; other ops change nothing."""
+    rollup = TokenRollup(spark, scratch_path(spark, "rollup-test"), {BLANK_WORDS: None})
+    first = [("insert", 1, d, "a", "en", "w") for d in range(1, 8)]
+    rollup.commit("b0", table(spark, first))
+    events = [("revise", 5, 1, "b", "en", "x y"), ("revise", 5, 1, "b", "en", "x y"), ("revise", 4, 1, "c", "en", "old"),
+              ("insert", 5, 2, "b", "en", "x y"), ("delete", 5, 2, None, None, None), ("delete", 5, 3, None, None, None), ("insert", None, 3, "z", "en", "lost"),
+              ("insert", None, 4, "b", "en", "x y"), ("revise", None, 4, "b", "en", "x y"), ("replace", 5, 5, "q", "en", "q"), (None, 5, 6, "q", "en", "q")]
+    rollup.commit("b1", table(spark, events))
+    got = {(r.source, r.n_docs, r.n_tokens) for r in rollup.totals().collect()}
+    # 1 revised once; 2 deleted, inserted; 3 gone; 4 revised, then inserted; 5, 6 and 7 as they were
+    assert got == {("b", 4, 8), ("a", 3, 3)}
+    tied = [("revise", 9, 7, "s", "en", "one"), ("revise", 9, 7, "t", "en", "two words")]
+    rollup.commit("b2", table(spark, tied))
+    left = {(r.source, r.n_docs) for r in rollup.totals().collect()}
+    assert left in ({("b", 4), ("a", 2), ("s", 1)}, {("b", 4), ("a", 2), ("t", 1)})
+
+
 def test_a_batch_that_broke_off_is_invisible_and_written_anew(spark):
     rollup = TokenRollup(spark, scratch_path(spark, "rollup-test"), VERSIONS)
     first = [("insert", 1, 1, "a", "en", "one two three")]
