@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -29,7 +30,20 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     removes them once no result that reads them is needed any more."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def free_tables(*tables: DataFrame) -> None:
+    """Delete tables that ``scratch_table`` returned.  Only for tables all of whose readers are written themselves: then a
+    lost executor needs them no more.  What the driver forgets of them lets Spark's cleaner drop their shuffle files."""
+    spark = tables[0].sparkSession
+    for t in tables:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def drop_scratch(spark: SparkSession) -> None:

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabscope.llm.common import ALNUM_FOLD, is_small, scratch_table, span_hashes
+from tabscope.llm.common import ALNUM_FOLD, free_tables, is_small, scratch_table, span_hashes
 from tabscope.llm.components import connected_components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99
@@ -282,6 +282,7 @@ def similar_links(contents: DataFrame, threshold: float = THRESHOLD, recall: flo
     each = signed.select("key", F.explode("bands").alias("band"))
     shared = scratch_table(each.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("band"), "paragraph-shared")
     members = scratch_table(_rows_of(each, shared, "band").distinct(), "paragraph-members")
+    free_tables(signed, shared)
     sizes = scratch_table(members.groupBy("band").count().withColumnRenamed("count", "size"), "paragraph-sizes")
     wanted = scratch_table(members.select("key").distinct(), "paragraph-wanted")
     texts = scratch_table(_rows_of(contents, wanted, "key").groupBy("key").agg(F.first("text").alias("text")), "paragraph-texts")
@@ -300,7 +301,9 @@ def similar_links(contents: DataFrame, threshold: float = THRESHOLD, recall: flo
         links = connecting_links(table["key"].to_pylist(), table["text"].to_pylist(), threshold, shingle)
         return pa.table({"src": pa.array([x for x, _ in links], pa.int64()), "dst": pa.array([x for _, x in links], pa.int64())})
 
-    return scratch_table(near.unionByName(met.groupBy("band", "a", "b").applyInArrow(compare, "src bigint, dst bigint")).distinct(), "paragraph-links")
+    links = scratch_table(near.unionByName(met.groupBy("band", "a", "b").applyInArrow(compare, "src bigint, dst bigint")).distinct(), "paragraph-links")
+    free_tables(members, sizes, wanted, texts)
+    return links
 
 
 def repeated_paragraphs(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, shingle: int = SHINGLE,
@@ -311,15 +314,18 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = THRESHOLD, recall: f
 
 
 def _repeated_units(units: DataFrame, threshold: float, recall: float, shingle: int) -> DataFrame:
-    labels = connected_components(similar_links(units.select("key", "text"), threshold, recall, shingle)).withColumnRenamed("node", "key")
+    links = similar_links(units.select("key", "text"), threshold, recall, shingle)
+    labels = connected_components(links).withColumnRenamed("node", "key")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "row", "unit")
     contents = scratch_table(units.groupBy("key").agg(F.count("*").alias("copies"), F.min(place).alias("first"),
                                                       F.min("row").alias("low"), F.max("row").alias("high")), "paragraph-contents")
     named = contents.join(labels, "key", "left").where("copies > 1 or label is not null").select("key", "first", "low", "high", F.coalesce("label", "key").alias("cluster"))
     named = scratch_table(named, "paragraph-named")
+    free_tables(links, contents)
     heads = named.groupBy("cluster").agg(F.min("first").alias("head"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
-    named = scratch_table(named.select("key", "cluster").join(heads.select("cluster", "head"), "cluster"), "paragraph-clusters")
-    found = units.select("row", "doc_id", "unit", "start", "n", "key").join(named, "key")
+    clusters = scratch_table(named.select("key", "cluster").join(heads.select("cluster", "head"), "cluster"), "paragraph-clusters")
+    free_tables(named)
+    found = units.select("row", "doc_id", "unit", "start", "n", "key").join(clusters, "key")
     kept = (F.col("row") == F.col("head.row")) & (F.col("unit") == F.col("head.unit"))
     return found.select("row", "doc_id", "unit", "start", "n", "cluster", F.col("head.doc_id").alias("first_doc_id"), (~kept).alias("removed"))
 
@@ -341,8 +347,11 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
     """doc_id, start_word, n_words, n_paragraphs, n_removed (both count paragraphs and pieces), first_doc_id (the
     least doc_id that any of the passage's clusters begins in) of every repeated passage."""
     cut = paragraphs(docs, min_words, pieces=True)
-    found = _repeated_units(cut.where("text is not null"), threshold, recall, shingle).unionByName(repeated_pieces(cut.where("text is null").drop("unit", "text")))
-    found = scratch_table(found, "paragraph-found")
+    # pieces first: their rows are the most, and what is left of them is small
+    pieces = scratch_table(repeated_pieces(cut.where("text is null").drop("unit", "text")), "piece-runs")
+    units = scratch_table(_repeated_units(cut.where("text is not null"), threshold, recall, shingle), "paragraph-runs")
+    free_tables(cut)
+    found = units.unionByName(pieces)
     order = Window.partitionBy("row").orderBy("start", "n", F.col("unit").isNull())
     reached = F.max(F.col("start") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = found.withColumn("fresh", F.coalesce(F.col("start") - reached > gap, F.lit(True)).cast("int"))
