@@ -87,8 +87,22 @@ def categories(df: DataFrame, columns: Sequence[str], max_categories: int = MAX_
     return cats
 
 
-def _indicators(cats: dict[str, list[str]]) -> list[Column]:
-    return [F.when(F.col(f"`{c}`").cast("string") == v, F.lit(1)).otherwise(F.lit(0)).alias(f"{c}_{v}") for c, vs in cats.items() for v in vs[1:]]
+def indicator_names(cats: dict[str, list[str]], taken: Sequence[str]) -> dict[tuple[str, str], str]:
+    """Name of the indicator of each (column, category) but the first: <column>_<category>, with the suffix ``_enc`` as often
+    as it takes to differ from the columns ``taken`` and from one another (letter case doesn't tell names apart)."""
+    used, names = {t.lower() for t in taken}, {}
+    for c, vs in cats.items():
+        for v in vs[1:]:
+            name = f"{c}_{v}"
+            while name.lower() in used:
+                name += "_enc"
+            used.add(name.lower())
+            names[c, v] = name
+    return names
+
+
+def _indicators(names: dict[tuple[str, str], str]) -> list[Column]:
+    return [F.when(F.col(f"`{c}`").cast("string") == v, F.lit(1)).otherwise(F.lit(0)).alias(name) for (c, v), name in names.items()]
 
 
 def one_hot(df: DataFrame, columns: Sequence[str], max_categories: int = MAX_CATEGORIES) -> DataFrame:
@@ -97,7 +111,8 @@ def one_hot(df: DataFrame, columns: Sequence[str], max_categories: int = MAX_CAT
     All columns are added in one projection; beyond ``max_categories`` the call fails rather than dropping any.
     """
     cats = categories(df, columns, max_categories)
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in cats], *_indicators(cats))
+    left = [c for c in df.columns if c not in cats]
+    return df.select(*[F.col(f"`{c}`") for c in left], *_indicators(indicator_names(cats, left)))
 
 
 def encode_features(df: DataFrame, features: Sequence[str], max_categories: int = MAX_CATEGORIES) -> tuple[DataFrame, list[str]]:
@@ -107,8 +122,9 @@ def encode_features(df: DataFrame, features: Sequence[str], max_categories: int
     if not text:
         return df, list(features)
     cats = categories(df, text, max_categories)
-    names = [n for f in features for n in ([f"{f}_{v}" for v in cats[f][1:]] if f in cats else [f])]
-    return df.select("*", *_indicators(cats)), names
+    named = indicator_names(cats, df.columns)
+    names = [n for f in features for n in ([named[f, v] for v in cats[f][1:]] if f in cats else [f])]
+    return df.select("*", *_indicators(named)), names
 
 
 def square_interaction(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:

@@ -130,7 +130,7 @@ def closed_form_models(df: DataFrame, features: Sequence[str], target: str, test
 
 
 def evidence(sig: DataFrame, fa: DataFrame, r2: DataFrame, models: DataFrame | None, by: Sequence[str] = ()) -> DataFrame:
-    """EVD1: the 21 evidence fields per segment.
+    """EVD1: the 21 evidence fields per segment, and the mean correlation with the target.
 
     ``sig``: signals(); ``fa``: feature_analysis(); ``r2``: (by..., r2_score) of the holdout OLS;
     ``models``: ranked model table (by..., name, r2_score) or None.
@@ -171,6 +171,10 @@ def evidence(sig: DataFrame, fa: DataFrame, r2: DataFrame, models: DataFrame | N
         (r2s < POOR_FIT_R2).alias("poor_model_fit"),
         (F.col("data_quality_score") < POOR_QUALITY).alias("poor_data_quality"),
         F.round("avg_correlation", 3).alias("target_correlation"),
+        # the record names these three twice
+        strong.alias("strongest_corr"),
+        F.col("redundant_pairs_count").cast("long").alias("redundant_pairs"),
+        F.round("max_redundancy_correlation", 2).alias("max_corr"),
     )
     return e
 

@@ -250,3 +250,69 @@ def q_recommendations_every_rule(spark, sf):
   SELECT seg, priority, action, reason, CAST(row_number() OVER (PARTITION BY seg ORDER BY rank, seq) AS INTEGER) AS position FROM c""")
 def q_recommend_legacy_every_rule(spark, sf):
     return RC.legacy_recommendations(v_rules(spark, sf), ["seg"]).select("seg", "priority", "action", "reason", "position")
+
+
+_MATCH = "CASE " + " ".join(
+    f"WHEN decision = '{d}' THEN regexp_matches(lower(trim(action)), '(^|[^a-z0-9_])(" + "|".join(k.replace("-", "\\-") for k in kws) + ")($|[^a-z0-9_])')"
+    for d, kws in RC.ALLOWED_ACTION_KEYWORDS.items()) + " ELSE true END"
+
+
+@register("lint_rows", DECISIONS + """,
+  first(name, action) AS (VALUES ('DATA_ISSUE', 'Fix missing values and schema consistency before retraining'), ('MULTICOLLINEARITY', 'Remove or merge highly correlated feature pairs'),
+    ('WEAK_SIGNAL', 'Introduce new predictive features aligned with the target outcome'), ('NON_LINEARITY', 'Benchmark tree-based models (Random Forest / Gradient Boosting)'),
+    ('FEATURE_GAP', 'Collect additional domain variables with direct target relevance'), ('other', 'Perform targeted feature engineering on low-signal predictors')),
+  f AS (SELECT d.seg, d.decision, first.action AS a0 FROM dec d JOIN first ON first.name = CASE WHEN d.decision IN ('UNKNOWN', 'WEAK_FEATURES') THEN 'other' ELSE d.decision END),
+  given AS (SELECT seg, decision, 0 AS seq, a0 AS action FROM f WHERE seg % 5 <> 0
+    UNION ALL SELECT seg, decision, 1, ' ' || upper(a0) FROM f WHERE seg % 3 = 0 UNION ALL SELECT seg, decision, 2, '  ' FROM f WHERE seg % 4 = 0
+    UNION ALL SELECT seg, decision, 3, 'Buy a bigger computer' FROM f WHERE seg % 5 = 0),
+  told AS (SELECT *, """ + _MATCH + """ AS ok, row_number() OVER (PARTITION BY seg, lower(trim(action)) ORDER BY seq) AS nth FROM given),
+  status AS (SELECT *, CASE WHEN trim(action) = '' THEN 'empty' WHEN NOT ok THEN 'mismatch' WHEN nth > 1 THEN 'duplicate' ELSE 'kept' END AS code FROM told),
+  m AS (SELECT d.seg, d.decision, coalesce(v.r2_score, 0) AS r2, coalesce(v.best_improvement, 0) AS imp FROM dec d JOIN v_rules v ON v.seg = d.seg)
+  SELECT seg, 'flag' AS kind, 'collinear' AS code, CAST(NULL AS INTEGER) AS seq,
+    printf('Conflict detected: R²=%.3f is below 0.10, but primary decision is MULTICOLLINEARITY. Expected WEAK_SIGNAL.', r2) AS text FROM m WHERE decision = 'MULTICOLLINEARITY' AND r2 < 0.10
+  UNION ALL SELECT seg, 'flag', 'weak_signal', NULL, printf('Conflict detected: WEAK_SIGNAL selected with R²=%.3f and best improvement %.1f%% (not negligible).', r2, imp * 100)
+    FROM m WHERE decision = 'WEAK_SIGNAL' AND r2 >= 0.10 AND imp >= 0.05
+  UNION ALL SELECT seg, 'flag', 'negligible', NULL, printf('Best observed improvement %.1f%% is below 5%% and should be treated as negligible.', imp * 100) FROM m WHERE imp < 0.05
+  UNION ALL SELECT seg, 'correction', code, CAST(seq AS INTEGER), CASE code WHEN 'empty' THEN 'Removed recommendation with empty action.'
+      WHEN 'duplicate' THEN 'Removed duplicate recommendation: ' || trim(action) || '.' ELSE 'Removed decision-mismatched recommendation: ' || trim(action) || '.' END
+    FROM status WHERE code <> 'kept'
+  UNION ALL SELECT seg, 'correction', 'fallback', NULL, 'Inserted fallback recommendation to preserve decision alignment.' FROM dec d
+    WHERE decision <> 'UNKNOWN' AND NOT EXISTS (SELECT 1 FROM status s WHERE s.seg = d.seg AND s.code = 'kept')""")
+def q_lint_rows(spark, sf):
+    """REC3 findings over recommendations that are empty, repeated, off topic or missing, for every decision."""
+    dec = RU.decision_table(v_rules(spark, sf), ["seg"]).checkpoint(eager=True)
+    own = RC.recommendations(dec, ["seg"]).where("seq = 0").select("seg", "decision", "action", "priority", "reason", "impact", "effort")
+    seg = F.col("seg")
+    made = F.array(F.when(seg % 5 != 0, F.struct(F.lit(0).alias("seq"), F.col("action"))), F.when(seg % 3 == 0, F.struct(F.lit(1).alias("seq"), F.concat(F.lit(" "), F.upper("action")).alias("action"))),
+                   F.when(seg % 4 == 0, F.struct(F.lit(2).alias("seq"), F.lit("  ").alias("action"))), F.when(seg % 5 == 0, F.struct(F.lit(3).alias("seq"), F.lit("Buy a bigger computer").alias("action"))))
+    given = own.select("seg", "decision", "priority", "reason", "impact", "effort", F.explode(F.array_compact(made)).alias("r")).select("seg", "decision", "r.*", "priority", "reason", "impact", "effort")
+    return RC.lint_rows(dec, given, ["seg"])
+
+
+@register("output_violations", """
+  WITH t AS (SELECT c_custkey AS seg, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN CAST('infinity' AS DOUBLE) WHEN c_custkey % 17 = 0 THEN CAST('nan' AS DOUBLE) ELSE c_acctbal / 20000 END AS r2,
+      CASE WHEN c_custkey % 3 = 0 THEN 'age' ELSE 'income' END AS strongest, CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 4 = 0 THEN 'age' ELSE 'income' END AS rank1 FROM customer)
+  SELECT seg, 'r2_finite' AS "check", CASE WHEN r2 IS NULL THEN 'null' WHEN isnan(r2) THEN 'NaN' ELSE 'Infinity' END AS offending FROM t WHERE r2 IS NULL OR NOT isfinite(r2)
+  UNION ALL SELECT seg, 'strongest_matches_rank1', strongest || ' vs ' || rank1 FROM t WHERE strongest <> rank1
+  UNION ALL SELECT seg, 'insights_unique', 'fit ' || CAST(seg % 9 AS VARCHAR) FROM t WHERE seg % 6 = 0""")
+def q_output_violations(spark, sf):
+    """CHK1 over outputs that break each check in some segments."""
+    k = F.col("c_custkey")
+    r2 = F.when(k % 5 == 0, F.lit(None).cast("double")).when(k % 7 == 0, F.lit(float("inf"))).when(k % 17 == 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal") / 20000)
+    base = read_table(spark, sf, "customer").select(
+        k.alias("seg"), r2.alias("r2"), F.when(k % 3 == 0, "age").otherwise("income").alias("strongest_feature"),
+        F.when(k % 11 == 0, F.lit(None).cast("string")).when(k % 4 == 0, "age").otherwise("income").alias("rank1_feature"))
+    text = F.concat(F.lit("fit "), (F.col("seg") % 9).cast("string"))
+    ins = base.select("seg", F.explode(F.when(F.col("seg") % 6 == 0, F.array(text, F.lit("other"), text)).otherwise(F.array(text, F.lit("other")))).alias("content"))
+    return RC.output_violations(base, ins, ["seg"])
+
+
+@register("one_hot_clash", """
+  WITH t AS (SELECT o_orderstatus AS a, o_orderpriority AS p, o_totalprice AS "a_O", o_custkey AS "A_P" FROM orders)
+  SELECT count(*) AS n, round(sum("a_O"), 2) AS kept_o, sum("A_P") AS kept_p, sum(CASE WHEN a = 'O' THEN 1 ELSE 0 END) AS ind_o, sum(CASE WHEN a = 'P' THEN 1 ELSE 0 END) AS ind_p FROM t""")
+def q_one_hot_clash(spark, sf):
+    """ENC1 where columns have the names that indicators would get."""
+    t = read_table(spark, sf, "orders").select(F.col("o_orderstatus").alias("a"), F.col("o_totalprice").alias("a_O"), F.col("o_custkey").alias("A_P"))
+    enc = prepare.one_hot(t, ["a"])
+    return enc.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("a_O"), 2).alias("kept_o"), F.sum("A_P").alias("kept_p"),
+                   F.sum("a_O_enc").alias("ind_o"), F.sum("a_P_enc").alias("ind_p"))

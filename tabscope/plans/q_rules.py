@@ -95,7 +95,8 @@ KEYS = ["family", "segment"]
 
 
 @register("evidence_by_supplier", O.with_views("v_nonlin") + ", " + O.family_evidence_ctes("N", *FAMILIES["N"])
-          + f" SELECT seg AS l_suppkey, {', '.join(EV_COLS)} FROM Nev")
+          + f" SELECT seg AS l_suppkey, {', '.join(EV_COLS)}, strongest_correlation AS strongest_corr, redundant_pairs_count AS redundant_pairs, "
+          "max_redundancy_correlation AS max_corr FROM Nev")
 def q_evidence_by_supplier(spark, sf):
     return rnd(family_tables(spark, sf, "N")["evidence"])
 
@@ -189,6 +190,37 @@ def q_recommend_legacy(spark, sf):
     return RC.legacy_recommendations(mixed_evidence(spark, sf), KEYS).drop("reason", "evidence")
 
 
+def _topimp_sql():
+    return " UNION ALL ".join(
+        f"""SELECT '{f}' AS family, CAST({g} AS VARCHAR) AS segment, abs(regr_slope({y}, {x})) * stddev_pop({x}) AS top_imp
+            FROM {view} GROUP BY {g}""" for f, (view, g, x, y, s) in FAMILIES.items())
+
+
+_DOMAIN_WORDS = {
+    "real_estate": ["price", "sqft", "bedroom", "bath", "zipcode", "neighborhood", "lot", "property"],
+    "healthcare": ["patient", "diagnosis", "blood", "cholesterol", "heart", "treatment", "bmi"],
+    "business": ["revenue", "profit", "sales", "cost", "margin", "customer", "churn"]}
+
+
+def _confidence_ctes():
+    cols = ", ".join(f"('{f}', '{c}')" for f, (_, g, x, y, s) in FAMILIES.items() for c in (g, s, x, y))
+    words = ", ".join(f"('{d}', '{w}')" for d, ws in _DOMAIN_WORDS.items() for w in ws)
+    return f"""ti AS ({_topimp_sql()}), fcol(family, col) AS (VALUES {cols}), kw(domain, keyword) AS (VALUES {words}),
+  score AS (SELECT family, domain, count(DISTINCT CASE WHEN contains(lower(col), keyword) THEN keyword END) AS n FROM fcol JOIN kw ON true GROUP BY ALL),
+  dom AS (SELECT family, CASE WHEN max(n) = 0 THEN 0.35 ELSE round(least(1.0, 0.25 + 0.15 * max(n)), 2) END AS dconf FROM score GROUP BY family),
+  nr AS (SELECT family, segment, count(*) AS n FROM recs GROUP BY ALL),
+  ci AS (SELECT m.family, m.segment, CASE WHEN data_quality_score = 0 THEN 50 ELSE data_quality_score END / 100.0 AS dqn,
+           least(1.0, r2_score + 0.3) AS mp, coalesce(ti.top_imp, 0.3) AS rel, dom.dconf, CASE WHEN coalesce(nr.n, 0) > 0 THEN 0.9 ELSE 0.5 END AS act
+         FROM mixed m JOIN dom ON dom.family = m.family LEFT JOIN ti ON m.family = ti.family AND m.segment = ti.segment
+         LEFT JOIN nr ON nr.family = m.family AND nr.segment = m.segment),
+  cp AS (SELECT *, least(1, greatest(0, 0.55 + 0.25 * dqn + 0.20 * rel)) AS f0, least(1, greatest(0, 0.60 * mp + 0.40 * dqn)) AS r0 FROM ci),
+  conf AS (SELECT family, segment, dconf, act, round(f0, 2) AS finding, round(r0, 2) AS reliability,
+             round(least(1, greatest(0, 0.30 * f0 + 0.30 * r0 + 0.20 * dconf + 0.20 * act)), 2) AS overall FROM cp)"""
+
+
+CONFIDENCE = REC_SQL + ", " + _confidence_ctes()
+
+
 def _lint_sql_ctes():
     kw_cases = []
     for dec, kws in RC.ALLOWED_ACTION_KEYWORDS.items():
@@ -249,17 +281,21 @@ def _insight_ctx(spark, sf):
     for fam, (view, g, x, y, s) in FAMILIES.items():
         t = family_tables(spark, sf, fam)
         from tabscope.operators.correlation import corr_long
+        from tabscope.operators.linear import strongest_feature
+        from tabscope.operators.profile import null_counts
         src = _source(spark, sf, view).select(g, x, y)
         corr = corr_long(src, [x, y], [g])
+        nulls = null_counts(src, [g]).groupBy(g).agg(F.count_if(F.col("n_missing") > 0).alias("n_null_columns"))
+        strongest = strongest_feature(t["analysis"], [g]).select(g, "strongest_feature")
         hp = corr.where(F.abs("r") > 0.75).select(g, F.col("feature_a").alias("pair_a"), F.col("feature_b").alias("pair_b"),
                                                   F.col("r").alias("pair_r"))
         ana = t["analysis"].select(g, "r2")
         ev = t["evidence"].select(g, "best_improvement")
-        c = ana.join(ev, g).join(hp, g, "left").select(
+        c = ana.join(ev, g).join(hp, g, "left").join(nulls, g, "left").join(strongest, g, "left").select(
             F.lit(fam).alias("family"), F.col(g).cast("string").alias("segment"), "r2", F.lit(y).alias("target"),
-            F.lit(x).alias("strongest_feature"), "best_improvement",
+            "strongest_feature", "best_improvement",
             F.when(F.col("pair_a").isNotNull(), 1).otherwise(0).alias("n_high_pairs"), "pair_a", "pair_b", "pair_r",
-            F.lit(0).alias("n_null_columns"))
+            F.coalesce("n_null_columns", F.lit(0)).alias("n_null_columns"))
         out = c if out is None else out.unionByName(c)
     return out
 
@@ -268,25 +304,56 @@ def _insights_sql():
     parts = []
     for f, (view, g, x, y, s) in FAMILIES.items():
         parts.append(f"""SELECT '{f}' AS family, CAST(e.seg AS VARCHAR) AS segment, e.r2_raw AS r2, e.r_raw AS r,
-              e.best_improvement, '{y}' AS target, '{x}' AS feat, '{x}' AS pa, '{y}' AS pb FROM {f}ev e""")
+              e.best_improvement, '{y}' AS target, '{x}' AS feat, '{x}' AS pa, '{y}' AS pb, n.nulls FROM {f}ev e
+            JOIN (SELECT {g} AS seg, CASE WHEN count({x}) < count(*) THEN 1 ELSE 0 END + CASE WHEN count({y}) < count(*) THEN 1 ELSE 0 END AS nulls
+                  FROM {view} GROUP BY {g}) n ON n.seg = e.seg""")
     note = ("CASE WHEN best_improvement >= 0.05 THEN printf('Best experiment improvement: +%.1f%% (meaningful)', best_improvement * 100) "
             "ELSE printf('Best experiment improvement: +%.1f%% (below 5%% threshold → negligible; no tested method materially helps)', "
             "best_improvement * 100) END")
     content1 = ("(CASE WHEN r2 < 0 THEN printf('Model performs worse than baseline (R²=%.3f). ', r2) ELSE '' END) || "
                 "printf('Model explains only %.1f%% of %s variance (%s strongest), leaving %.1f%% unexplained. ', r2 * 100, target, feat, 100 - r2 * 100) || "
                 + note + " || '.'")
-    return MIXED + ", ctx AS (" + " UNION ALL ".join(parts) + f""")
+    acts = lambda a, b: f"array_to_string(list_slice(acts, {a}, {b}), ' | ')"
+    return CONFIDENCE + ", ctx0 AS (" + " UNION ALL ".join(parts) + f"""),
+      al AS (SELECT family, segment, list(action ORDER BY seq) AS acts FROM recs GROUP BY ALL),
+      ctx AS (SELECT c.*, al.acts, f.overall FROM ctx0 c JOIN al ON al.family = c.family AND al.segment = c.segment
+              JOIN conf f ON f.family = c.family AND f.segment = c.segment)
       SELECT family, segment, 1 AS rank, CASE WHEN r2 < 0.3 THEN 'CRITICAL' ELSE 'MEDIUM' END AS severity,
-             'MODEL_PERFORMANCE' AS category, {content1} AS content FROM ctx
+             'MODEL_PERFORMANCE' AS category, {content1} AS content, 'Feature set insufficient for robust prediction.' AS root_cause,
+             {r6('overall')} AS confidence, {acts(1, 3)} AS actions FROM ctx
       UNION ALL
       SELECT family, segment, 2, 'HIGH', 'MULTICOLLINEARITY',
-             printf('Detected redundant feature pair: %s ↔ %s (r=%.2f). May cause unstable coefficient attribution.', pa, pb, r)
-      FROM ctx WHERE abs(r) > 0.75"""
+             printf('Detected redundant feature pair: %s ↔ %s (r=%.2f). May cause unstable coefficient attribution.', pa, pb, r),
+             'Feature redundancy detected; not primary cause of low R².', {r6('0.85')}, {acts(2, 3)}
+      FROM ctx WHERE abs(r) > 0.75
+      UNION ALL
+      SELECT family, segment, 3, 'MEDIUM', 'DATA_QUALITY', printf('Detected %d data quality issue(s). Address before advanced modeling.', nulls),
+             'Data defects can limit model performance.', {r6('0.7')}, {acts(3, 4)}
+      FROM ctx WHERE nulls > 0"""
+
+
+def mixed_confidence(spark, sf):
+    """CNF1 of every segment, from its quality, fit, importance, the domain that its column names tell, and its recommendations."""
+    from tabscope.operators.linear import strongest_feature
+    ev = mixed_evidence(spark, sf)
+    imp, sources = None, {}
+    for fam, (view, g, x, y, s) in FAMILIES.items():
+        i = strongest_feature(family_tables(spark, sf, fam)["analysis"], [g])
+        i = i.select(F.lit(fam).alias("family"), F.col(g).cast("string").alias("segment"), F.col("top_importance").alias("top_imp"))
+        imp = i if imp is None else imp.unionByName(i)
+        sources[fam] = _source(spark, sf, view).select(g, s, x, y)
+    domain = infer_domain(column_catalog(spark, sources)).select(F.col("dataset").alias("family"), F.col("confidence").alias("domain_confidence"))
+    acts = RC.action_lists(mixed_recs(spark, sf)[1], KEYS)
+    j = ev.join(imp, KEYS, "left").join(domain, "family", "left").join(acts, KEYS, "left")
+    ins = RU.confidence_inputs(F.col("data_quality_score"), F.col("r2_score"), F.col("top_imp"), F.col("domain_confidence"), F.col("n_recs"))
+    return j.select(*KEYS, "actions", *RU.weighted_confidence(*ins))
 
 
 @register("insights", _insights_sql())
 def q_insights(spark, sf):
-    return RC.insights(_insight_ctx(spark, sf), KEYS)
+    more = mixed_confidence(spark, sf).select(*KEYS, "actions", F.col("overall").alias("confidence"))
+    out = RC.insights(_insight_ctx(spark, sf).join(more, KEYS, "left"), KEYS)
+    return rnd(out.withColumn("actions", F.array_join("actions", " | ")))
 
 
 @register("output_checks", MIXED + """ SELECT family, segment, true AS r2_finite, true AS strongest_matches_rank1, true AS insights_unique FROM mixed""")
@@ -305,31 +372,10 @@ def q_output_checks(spark, sf):
     return RC.output_checks(top, ins, KEYS)
 
 
-def _topimp_sql():
-    return " UNION ALL ".join(
-        f"""SELECT '{f}' AS family, CAST({g} AS VARCHAR) AS segment, abs(regr_slope({y}, {x})) * stddev_pop({x}) AS top_imp
-            FROM {view} GROUP BY {g}""" for f, (view, g, x, y, s) in FAMILIES.items())
-
-
-@register("confidence", MIXED + ", ti AS (" + _topimp_sql() + f""")
-  SELECT m.family, m.segment, {r6('round(least(1, greatest(0, 0.55 + 0.25 * dqn + 0.20 * rel)), 2)')} AS finding,
-         {r6('round(least(1, greatest(0, 0.60 * mp + 0.40 * dqn)), 2)')} AS reliability,
-         {r6('0.5')} AS domain, {r6('0.9')} AS actionable,
-         {r6('round(least(1, greatest(0, 0.30 * least(1, greatest(0, 0.55 + 0.25 * dqn + 0.20 * rel)) + 0.30 * least(1, greatest(0, 0.60 * mp + 0.40 * dqn)) + 0.20 * 0.5 + 0.20 * 0.9)), 2)')} AS overall
-  FROM (SELECT m.*, CASE WHEN data_quality_score = 0 THEN 50 ELSE data_quality_score END / 100.0 AS dqn,
-               least(1.0, r2_score + 0.3) AS mp, coalesce(ti.top_imp, 0.3) AS rel
-        FROM mixed m LEFT JOIN ti ON m.family = ti.family AND m.segment = ti.segment) m""")
+@register("confidence", CONFIDENCE + f"""
+  SELECT family, segment, {r6('finding')} AS finding, {r6('reliability')} AS reliability, {r6('dconf')} AS domain, {r6('act')} AS actionable, {r6('overall')} AS overall FROM conf""")
 def q_confidence(spark, sf):
-    ev = mixed_evidence(spark, sf)
-    imp = None
-    from tabscope.operators.linear import importance
-    for fam, (view, g, x, y, s) in FAMILIES.items():
-        i = importance(family_tables(spark, sf, fam)["analysis"], [g]).where((F.col("kind") == "standardized") & (F.col("rank") == 1))
-        r = i.select(F.lit(fam).alias("family"), F.col(g).cast("string").alias("segment"), F.col("importance").alias("top_imp"))
-        imp = r if imp is None else imp.unionByName(r)
-    j = ev.join(imp, KEYS, "left")
-    ins = RU.confidence_inputs(F.col("data_quality_score"), F.col("r2_score"), F.col("top_imp"), F.lit(None).cast("double"), F.lit(2))
-    return rnd(j.select(*KEYS, *RU.weighted_confidence(*ins)).drop("confidence_label"))
+    return rnd(mixed_confidence(spark, sf).drop("confidence_label", "actions"))
 
 
 @register("confidence_legacy", DEC_SQL + f"""

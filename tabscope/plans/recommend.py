@@ -132,14 +132,27 @@ def _keyword_match(action_key: Column, decision: Column) -> Column:
     return m.otherwise(F.lit(True))
 
 
-def lint(dec: DataFrame, recs: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """REC3: validated recommendations and a per-segment report.
+# Texts of the lint's flags and corrections.
+LINT_TEXTS = {
+    "collinear": "Conflict detected: R²=%.3f is below 0.10, but primary decision is MULTICOLLINEARITY. Expected WEAK_SIGNAL.",
+    "weak_signal": "Conflict detected: WEAK_SIGNAL selected with R²=%.3f and best improvement %.1f%% (not negligible).",
+    "negligible": "Best observed improvement %.1f%% is below 5%% and should be treated as negligible.",
+    "empty": "Removed recommendation with empty action.",
+    "duplicate": "Removed duplicate recommendation: %s.",
+    "mismatch": "Removed decision-mismatched recommendation: %s.",
+    "fallback": "Inserted fallback recommendation to preserve decision alignment.",
+}
+# Root causes of the insights and the confidence of the two that have one of their own.
+INSIGHT_ROOT_CAUSES = (
+    "Feature set insufficient for robust prediction.",
+    "Feature redundancy detected; not primary cause of low R².",
+    "Data defects can limit model performance.",
+)
+INSIGHT_CONFIDENCE = (0.85, 0.7)
 
-    Drops empty actions, keyword-mismatched actions and later duplicates (case-insensitive), fills a missing
-    priority with the severity, and inserts one fallback row when nothing is left (unless UNKNOWN).
-    Returns (validated (by..., seq, priority, action, reason, impact, effort, fallback), report).
-    """
-    by = seg_cols(by)
+
+def _lint_status(dec: DataFrame, recs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """recs with the decision's columns and ``status``: kept, empty, mismatch or duplicate (of an earlier kept action)."""
     from tabscope.operators.segments import seg_join
     r = seg_join(recs.drop("decision"), dec.select(*by, "decision", "severity", "dominant_signal"), by)
     key = F.lower(F.trim(F.coalesce(F.col("action"), F.lit(""))))
@@ -147,14 +160,50 @@ def lint(dec: DataFrame, recs: DataFrame, by: Sequence[str] = ()) -> tuple[DataF
     w = (Window.partitionBy(*[F.col(f"`{b}`") for b in by], "__key") if by else Window.partitionBy("__key")).orderBy("seq")
     r = r.withColumn("__rn", F.row_number().over(w))
     match = _keyword_match(F.col("__key"), F.col("decision"))
-    status = F.when(F.col("__key") == "", "empty").when(~match, "mismatch").when(F.col("__rn") > 1, "duplicate").otherwise("kept")
-    r = r.withColumn("status", status)
+    return r.withColumn("status", F.when(F.col("__key") == "", "empty").when(~match, "mismatch").when(F.col("__rn") > 1, "duplicate").otherwise("kept"))
+
+
+def lint_rows(dec: DataFrame, recs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """REC3: what the lint found, one row each: (by..., kind, code, seq, text); kind is flag (of the decision) or correction (of a
+    recommendation, whose seq it names; the fallback's is null)."""
+    from tabscope.operators.segments import seg_join
+    by = seg_cols(by)
+    r2, imp, d = F.col("r2_score"), F.col("best_improvement"), F.col("decision")
+    none = F.lit(None).cast("int")
+    found = lambda kind, code, seq, text: F.struct(F.lit(kind).alias("kind"), F.lit(code).alias("code"), seq.alias("seq"), text.alias("text"))
+    flags = F.array(
+        F.when((d == "MULTICOLLINEARITY") & (r2 < 0.10), found("flag", "collinear", none, F.format_string(LINT_TEXTS["collinear"], r2))),
+        F.when((d == "WEAK_SIGNAL") & (r2 >= 0.10) & (imp >= 0.05), found("flag", "weak_signal", none, F.format_string(LINT_TEXTS["weak_signal"], r2, imp * 100))),
+        F.when(imp < 0.05, found("flag", "negligible", none, F.format_string(LINT_TEXTS["negligible"], imp * 100))))
+    rows = dec.select(*by, F.explode(F.array_compact(flags)).alias("f")).select(*by, "f.*")
+    status = _lint_status(dec, recs, by)
+    action = F.trim("action")
+    text = (F.when(F.col("status") == "empty", F.lit(LINT_TEXTS["empty"]))
+            .when(F.col("status") == "duplicate", F.format_string(LINT_TEXTS["duplicate"], action)).otherwise(F.format_string(LINT_TEXTS["mismatch"], action)))
+    rows = rows.unionByName(status.where("status <> 'kept'").select(*by, F.lit("correction").alias("kind"), F.col("status").alias("code"), F.col("seq").cast("int").alias("seq"), text.alias("text")))
+    kept = status.groupBy(*[F.col(f"`{b}`") for b in by]).agg(F.count_if(F.col("status") == "kept").alias("__kept"))
+    left = seg_join(dec.select(*by, "decision"), kept, by, "left").where("coalesce(__kept, 0) = 0 AND decision <> 'UNKNOWN'")
+    return rows.unionByName(left.select(*by, F.lit("correction").alias("kind"), F.lit("fallback").alias("code"), none.alias("seq"), F.lit(LINT_TEXTS["fallback"]).alias("text")))
+
+
+def lint(dec: DataFrame, recs: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """REC3: validated recommendations and a per-segment report.
+
+    Drops empty actions, keyword-mismatched actions and later duplicates (case-insensitive), fills a missing
+    priority with the severity, and inserts one fallback row when nothing is left (unless UNKNOWN).
+    Returns (validated (by..., seq, priority, action, reason, impact, effort, fallback, evidence if recs have it), report);
+    ``lint_rows`` has one row for each finding.
+    """
+    by = seg_cols(by)
+    from tabscope.operators.segments import seg_join
+    r = _lint_status(dec, recs, by)
+    payload = [recs.schema["evidence"].dataType] if "evidence" in recs.columns else []
     kept = r.where(F.col("status") == "kept").select(
         *by, "seq", F.coalesce(F.nullif(F.col("priority"), F.lit("")), F.col("severity")).alias("priority"),
         F.trim("action").alias("action"),
         F.coalesce(F.nullif(F.trim("reason"), F.lit("")),
                    F.concat(F.lit("Aligned with decision "), F.col("decision"), F.lit(": "), F.col("dominant_signal"))).alias("reason"),
-        "impact", "effort", F.lit(False).alias("fallback"))
+        "impact", "effort", F.lit(False).alias("fallback"), *[F.col("evidence") for _ in payload])
     has = kept.select(*by).distinct()
     need = dec.where(F.col("decision") != "UNKNOWN")
     need = seg_join(need, has.withColumn("__has", F.lit(1)), by, "left_anti") if by else (need if has.isEmpty() else need.limit(0))
@@ -162,7 +211,9 @@ def lint(dec: DataFrame, recs: DataFrame, by: Sequence[str] = ()) -> tuple[DataF
                      F.concat(F.lit("Execute primary remediation for "), F.col("decision")).alias("action"),
                      F.concat(F.lit("No aligned recommendations remained after validation. Triggered by: "),
                               F.coalesce(F.col("dominant_signal"), F.lit("N/A"))).alias("reason"),
-                     F.lit("HIGH").alias("impact"), F.lit("MEDIUM").alias("effort"), F.lit(True).alias("fallback"))
+                     F.lit("HIGH").alias("impact"), F.lit("MEDIUM").alias("effort"), F.lit(True).alias("fallback"),
+                     *[F.struct(*[(F.coalesce("dominant_signal", F.lit("N/A")) if f.name == "dominant_signal" else F.col("secondary_signals") if f.name == "secondary_signals"
+                                   else F.lit(None).cast(f.dataType)).alias(f.name) for f in kind.fields]).alias("evidence") for kind in payload])
     validated = kept.unionByName(fb)
     counts = r.groupBy(*by).agg(
         F.count_if(F.col("status") == "mismatch").alias("n_mismatch"),
@@ -198,9 +249,16 @@ def insights(ctx: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """INS1: ranked insights per segment, deduplicated on whitespace/case-normalised content.
 
     ``ctx`` columns: r2 (unrounded), target, strongest_feature, best_improvement, n_high_pairs, pair_a, pair_b,
-    pair_r, n_null_columns.
+    pair_r, n_null_columns; where given also root_cause, confidence (of the model insight) and actions (array, in order
+    of the recommendations).  Returns (by..., rank, severity, category, content, root_cause, confidence, actions): the
+    model insight takes the first three actions, collinearity the second and third, data quality the third and fourth.
     """
     by = seg_cols(by)
+    given = lambda c, kind: F.col(c).cast(kind) if c in ctx.columns else F.lit(None).cast(kind)
+    actions = F.coalesce(given("actions", "array<string>"), F.array().cast("array<string>"))
+    more = lambda i, confidence: [
+        (F.coalesce(given("root_cause", "string"), F.lit(INSIGHT_ROOT_CAUSES[0])) if i == 0 else F.lit(INSIGHT_ROOT_CAUSES[i])).alias("root_cause"),
+        confidence.cast("double").alias("confidence"), F.slice(actions, i + 1, 3 if i == 0 else 2).alias("actions")]
     r2 = F.col("r2")
     imp = F.coalesce(F.col("best_improvement"), F.lit(0.0))
     note = F.when(imp >= 0.05, F.format_string("Best experiment improvement: +%.1f%% (meaningful)", imp * 100)).otherwise(
@@ -212,14 +270,14 @@ def insights(ctx: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                         note, F.lit("."))
     items = F.array(
         F.struct(F.lit(1).alias("rank"), F.when(r2 < 0.3, "CRITICAL").otherwise("MEDIUM").alias("severity"),
-                 F.lit("MODEL_PERFORMANCE").alias("category"), content1.alias("content")),
+                 F.lit("MODEL_PERFORMANCE").alias("category"), content1.alias("content"), *more(0, given("confidence", "double"))),
         F.when(F.col("n_high_pairs") > 0, F.struct(
             F.lit(2).alias("rank"), F.lit("HIGH").alias("severity"), F.lit("MULTICOLLINEARITY").alias("category"),
             F.format_string("Detected redundant feature pair: %s ↔ %s (r=%.2f). May cause unstable coefficient attribution.",
-                            F.col("pair_a"), F.col("pair_b"), F.col("pair_r")).alias("content"))),
+                            F.col("pair_a"), F.col("pair_b"), F.col("pair_r")).alias("content"), *more(1, F.lit(INSIGHT_CONFIDENCE[0])))),
         F.when(F.col("n_null_columns") > 0, F.struct(
             F.lit(3).alias("rank"), F.lit("MEDIUM").alias("severity"), F.lit("DATA_QUALITY").alias("category"),
-            F.format_string("Detected %d data quality issue(s). Address before advanced modeling.", F.col("n_null_columns")).alias("content"))),
+            F.format_string("Detected %d data quality issue(s). Address before advanced modeling.", F.col("n_null_columns")).alias("content"), *more(2, F.lit(INSIGHT_CONFIDENCE[1])))),
     )
     x = ctx.select(*by, F.explode(F.filter(items, lambda s: s.isNotNull())).alias("s")).select(*by, "s.*")
     fp = F.lower(F.trim(F.regexp_replace("content", r"\s+", " ")))
@@ -227,6 +285,28 @@ def insights(ctx: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return x.withColumn("__fp", fp).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__fp", "__rn")
 
 
+def action_lists(recs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., actions, n_recs): the actions of each segment in order; two or three, by the rules."""
+    by = seg_cols(by)
+    each = F.sort_array(F.collect_list(F.struct("seq", "action")))
+    return recs.groupBy(*[F.col(f"`{b}`") for b in by]).agg(F.transform(each, lambda r: r["action"]).alias("actions"), F.count(F.lit(1)).alias("n_recs"))
+
+
+def output_violations(ana_top: DataFrame, ins: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """CHK1 as rows: (by..., check, offending) for each R² that is not finite, each strongest feature that is not first in
+    the standardized importance, and each insight text that a segment has more than once.  No rows: nothing is wrong."""
+    by = seg_cols(by)
+    held = [F.col(f"`{b}`") for b in by]
+    r2 = F.col("r2").cast("double")
+    wrong = lambda check, value: F.struct(F.lit(check).alias("check"), value.cast("string").alias("offending"))
+    each = F.array(
+        F.when(r2.isNull() | F.isnan(r2) | (F.abs(r2) == float("inf")), wrong("r2_finite", F.coalesce(r2.cast("string"), F.lit("null")))),
+        F.when(F.col("strongest_feature") != F.col("rank1_feature"), wrong("strongest_matches_rank1", F.concat_ws(" vs ", "strongest_feature", "rank1_feature"))))
+    rows = ana_top.select(*held, F.explode(F.array_compact(each)).alias("v")).select(*held, "v.*")
+    twice = ins.groupBy(*held, "content").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    return rows.unionByName(twice.select(*held, F.lit("insights_unique").alias("check"), F.coalesce("content", F.lit("null")).alias("offending")))
+
+
 def output_checks(ana_top: DataFrame, ins: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """CHK1: (by..., r2_finite, strongest_matches_rank1, insights_unique) -- one row per segment."""
     by = seg_cols(by)
