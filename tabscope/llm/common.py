@@ -37,13 +37,20 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
 
 def free_tables(*tables: DataFrame) -> None:
     """Delete tables that ``scratch_table`` returned.  Only for tables all of whose readers are written themselves: then a
-    lost executor needs them no more.  What the driver forgets of them lets Spark's cleaner drop their shuffle files."""
-    spark = tables[0].sparkSession
+    lost executor needs them no more."""
     for t in tables:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settled_table(df: DataFrame, name: str) -> DataFrame:
+    """``scratch_table``; after it the driver forgets what it holds of finished jobs, so that Spark's cleaner drops their
+    shuffle files now and not at some later collection of garbage.  For steps whose shuffles are large."""
+    out = scratch_table(df, name)
+    del df
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def drop_scratch(spark: SparkSession) -> None:

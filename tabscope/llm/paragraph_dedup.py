@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabscope.llm.common import ALNUM_FOLD, free_tables, is_small, scratch_table, span_hashes
+from tabscope.llm.common import ALNUM_FOLD, free_tables, is_small, settled_table, span_hashes
 from tabscope.llm.components import connected_components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99
@@ -175,7 +175,7 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, pieces: bool = False
                  pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(joined, pa.string())], names=names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return scratch_table(rows.mapInArrow(cut, f"row bigint, doc_id {kind}, unit int, start bigint, n int, key bigint, text string"), "paragraphs")
+    return settled_table(rows.mapInArrow(cut, f"row bigint, doc_id {kind}, unit int, start bigint, n int, key bigint, text string"), "paragraphs")
 
 
 def signatures(texts: list[bytes], count: int, shingle: int = SHINGLE) -> np.ndarray:
@@ -278,14 +278,14 @@ def similar_links(contents: DataFrame, threshold: float = THRESHOLD, recall: flo
     """contents: (key, text), repeats allowed.  (src, dst) links whose components are those of the similar pairs
     that share a band."""
     bands, rows = tune_bands(threshold, recall)
-    signed = scratch_table(contents.select("key", band_column(F.col("text"), bands, rows, shingle).alias("bands")), "paragraph-bands")
+    signed = settled_table(contents.select("key", band_column(F.col("text"), bands, rows, shingle).alias("bands")), "paragraph-bands")
     each = signed.select("key", F.explode("bands").alias("band"))
-    shared = scratch_table(each.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("band"), "paragraph-shared")
-    members = scratch_table(_rows_of(each, shared, "band").distinct(), "paragraph-members")
+    shared = settled_table(each.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("band"), "paragraph-shared")
+    members = settled_table(_rows_of(each, shared, "band").distinct(), "paragraph-members")
     free_tables(signed, shared)
-    sizes = scratch_table(members.groupBy("band").count().withColumnRenamed("count", "size"), "paragraph-sizes")
-    wanted = scratch_table(members.select("key").distinct(), "paragraph-wanted")
-    texts = scratch_table(_rows_of(contents, wanted, "key").groupBy("key").agg(F.first("text").alias("text")), "paragraph-texts")
+    sizes = settled_table(members.groupBy("band").count().withColumnRenamed("count", "size"), "paragraph-sizes")
+    wanted = settled_table(members.select("key").distinct(), "paragraph-wanted")
+    texts = settled_table(_rows_of(contents, wanted, "key").groupBy("key").agg(F.first("text").alias("text")), "paragraph-texts")
 
     small = members.join(sizes.where(F.col("size") <= SMALL), "band").select("band", "key")
     pairs = small.join(small.withColumnRenamed("key", "other"), "band").where("key < other").select("key", "other").distinct()
@@ -301,7 +301,7 @@ def similar_links(contents: DataFrame, threshold: float = THRESHOLD, recall: flo
         links = connecting_links(table["key"].to_pylist(), table["text"].to_pylist(), threshold, shingle)
         return pa.table({"src": pa.array([x for x, _ in links], pa.int64()), "dst": pa.array([x for _, x in links], pa.int64())})
 
-    links = scratch_table(near.unionByName(met.groupBy("band", "a", "b").applyInArrow(compare, "src bigint, dst bigint")).distinct(), "paragraph-links")
+    links = settled_table(near.unionByName(met.groupBy("band", "a", "b").applyInArrow(compare, "src bigint, dst bigint")).distinct(), "paragraph-links")
     free_tables(members, sizes, wanted, texts)
     return links
 
@@ -317,13 +317,13 @@ def _repeated_units(units: DataFrame, threshold: float, recall: float, shingle:
     links = similar_links(units.select("key", "text"), threshold, recall, shingle)
     labels = connected_components(links).withColumnRenamed("node", "key")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "row", "unit")
-    contents = scratch_table(units.groupBy("key").agg(F.count("*").alias("copies"), F.min(place).alias("first"),
+    contents = settled_table(units.groupBy("key").agg(F.count("*").alias("copies"), F.min(place).alias("first"),
                                                       F.min("row").alias("low"), F.max("row").alias("high")), "paragraph-contents")
     named = contents.join(labels, "key", "left").where("copies > 1 or label is not null").select("key", "first", "low", "high", F.coalesce("label", "key").alias("cluster"))
-    named = scratch_table(named, "paragraph-named")
+    named = settled_table(named, "paragraph-named")
     free_tables(links, contents)
     heads = named.groupBy("cluster").agg(F.min("first").alias("head"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
-    clusters = scratch_table(named.select("key", "cluster").join(heads.select("cluster", "head"), "cluster"), "paragraph-clusters")
+    clusters = settled_table(named.select("key", "cluster").join(heads.select("cluster", "head"), "cluster"), "paragraph-clusters")
     free_tables(named)
     found = units.select("row", "doc_id", "unit", "start", "n", "key").join(clusters, "key")
     kept = (F.col("row") == F.col("head.row")) & (F.col("unit") == F.col("head.unit"))
@@ -333,11 +333,11 @@ def _repeated_units(units: DataFrame, threshold: float, recall: float, shingle:
 def repeated_pieces(pieces: DataFrame) -> DataFrame:
     """(row, doc_id, unit, start, n, cluster, first_doc_id, removed) of every piece that another document holds."""
     ends = pieces.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high"))
-    shared = scratch_table(ends.where("low <> high").select("key"), "piece-shared")
-    found = scratch_table(_rows_of(pieces, shared, "key").select("row", "doc_id", "start", "n", "key"), "piece-found")
+    shared = settled_table(ends.where("low <> high").select("key"), "piece-shared")
+    found = settled_table(_rows_of(pieces, shared, "key").select("row", "doc_id", "start", "n", "key"), "piece-found")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "row", "start")
     heads = found.groupBy("key").agg(F.min(place).alias("head"))
-    heads = scratch_table(heads.select("key", F.col("head.row").alias("head_row"), F.col("head.start").alias("head_start"), F.col("head.doc_id").alias("first_doc_id")), "piece-heads")
+    heads = settled_table(heads.select("key", F.col("head.row").alias("head_row"), F.col("head.start").alias("head_start"), F.col("head.doc_id").alias("first_doc_id")), "piece-heads")
     kept = (F.col("row") == F.col("head_row")) & (F.col("start") == F.col("head_start"))
     return _rows_of(found, heads, "key").select("row", "doc_id", F.lit(None).cast("int").alias("unit"), "start", "n", F.col("key").alias("cluster"), "first_doc_id", (~kept).alias("removed"))
 
@@ -348,8 +348,8 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
     least doc_id that any of the passage's clusters begins in) of every repeated passage."""
     cut = paragraphs(docs, min_words, pieces=True)
     # pieces first: their rows are the most, and what is left of them is small
-    pieces = scratch_table(repeated_pieces(cut.where("text is null").drop("unit", "text")), "piece-runs")
-    units = scratch_table(_repeated_units(cut.where("text is not null"), threshold, recall, shingle), "paragraph-runs")
+    pieces = settled_table(repeated_pieces(cut.where("text is null").drop("unit", "text")), "piece-runs")
+    units = settled_table(_repeated_units(cut.where("text is not null"), threshold, recall, shingle), "paragraph-runs")
     free_tables(cut)
     found = units.unionByName(pieces)
     order = Window.partitionBy("row").orderBy("start", "n", F.col("unit").isNull())
