@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabscope.llm.common import ALNUM_FOLD, free_tables, is_small, settled_table, span_hashes
+from tabscope.llm.common import ALNUM_FOLD, free_tables, settled_table, span_hashes
 from tabscope.llm.components import connected_components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99
@@ -56,7 +56,6 @@ REACH, LONGEST, HELD = 4, 64, 200_000
 SMALL, BLOCK = 32, 1024
 MAX_BANDS = 5
 SALT = 16
-BROADCAST_KEYS = 1_000_000
 # Sentence ends beside ASCII, from Armenian to full width; marks between words of East Asian scripts; scripts without
 # blanks (Thai and Lao, Tibetan, Myanmar, Khmer and Tai, kana and bopomofo, Han, half-width kana).
 ENDS = re.compile("[\u0589\u061f\u06d4\u0964\u0965\u0f0d\u0f0e\u104a\u104b\u1362\u1367\u1368\u17d4\u17d5\u1803\u1809\u203c\u203d\u2047-\u2049\u3002\uff01\uff0e\uff1f\uff61]")
@@ -264,11 +263,9 @@ def connecting_links(keys: list[int], texts: list[str], threshold: float, shingl
 def _rows_of(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows whose key is in ``keys`` (written, distinct), with the other columns of ``keys``.
 
-    Up to ``BROADCAST_KEYS`` of them, by count, go to all tasks (some 24 MB).  Beyond that each key stands once for
-    every salt and the rows carry any one salt, so that the copies of a content that very many documents hold meet
-    their key in ``SALT`` tasks; the aggregation that follows collapses them before it brings a key together."""
-    if is_small(keys, BROADCAST_KEYS):
-        return rows.join(F.broadcast(keys), key)
+    One way at every size: each key stands once for every salt and the rows carry any one salt, so that the copies of
+    a content that very many documents hold meet their key in ``SALT`` tasks; the aggregation that follows collapses
+    them before it brings a key together."""
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int")
     spread = keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__salt"))
     return rows.withColumn("__salt", salt).join(spread, [key, "__salt"]).drop("__salt")
