@@ -175,6 +175,43 @@ def target_kind(df: DataFrame, target: str, by: Sequence[str] = ()) -> DataFrame
     return agg.withColumn("target_type", target_kind_expr(F.col("n_rows"), F.col("n_distinct"), numeric))
 
 
+#: Distinct values that the bounded sets below hold as they are; beyond, their counts are estimates.
+SET_BITS = 12
+#: Five standard errors of such an estimate.
+SET_ERROR = 5 / 2 ** (SET_BITS / 2)
+
+
+def bounded_distinct(c):
+    """Aggregate: distinct non-null values of a column from a set of hashes that stops growing at 2^SET_BITS entries
+    and merges.  Exact below that size; beyond it the estimate lies within SET_ERROR."""
+    return F.theta_sketch_estimate(F.theta_sketch_agg(c, SET_BITS))
+
+
+def target_type(df: DataFrame, target: str, by: Sequence[str] = ()) -> DataFrame:
+    """AGG12 without a distinct count: (by..., n_rows, target_type), the same types as ``target_kind``.
+
+    One scan with a bounded set for each segment.  Only a segment whose share of distinct values can't be told from
+    the threshold within the set's error is counted exactly, in a second scan of those segments alone."""
+    by = seg_cols(by)
+    dt = df.schema[target].dataType
+    numeric = is_overview_numeric(dt)
+    n = F.count(F.lit(1)).alias("n_rows")
+    if not numeric or isinstance(dt, T.BooleanType):
+        return df.groupBy(*by).agg(n).select(*by, "n_rows", target_kind_expr(F.col("n_rows"), F.lit(2), numeric).alias("target_type"))
+    floating = isinstance(dt, (T.FloatType, T.DoubleType))
+    t = as_double(df, target) if floating else F.col(f"`{target}`")
+    # decimals as text: their doubles could coincide
+    hashed = t if floating else t.cast("string") if isinstance(dt, T.DecimalType) else t.cast("bigint")
+    agg = df.groupBy(*by).agg(n, bounded_distinct(hashed).alias("__nd")).checkpoint(eager=True)
+    limit = F.col("n_rows") * MAX_UNIQUE_RATIO_FOR_CLASSIFICATION
+    unsure = (F.col("__nd") >= (1 << SET_BITS) * (1 - SET_ERROR)) & F.col("__nd").between(limit * (1 - SET_ERROR), limit * (1 + SET_ERROR))
+    open_ = agg.where(unsure).select(*by)
+    if open_.take(1):
+        exact = seg_join(df, open_, by).groupBy(*by).agg(F.count_distinct(t).alias("__exact"))
+        agg = seg_join(agg, exact, by, "left").withColumn("__nd", F.coalesce("__exact", "__nd"))
+    return agg.select(*by, "n_rows", target_kind_expr(F.col("n_rows"), F.col("__nd"), numeric).alias("target_type"))
+
+
 # Names tried, in order, when no target is requested.
 TARGET_CANDIDATES = ("price", "target", "label", "y")
 
@@ -194,7 +231,7 @@ def choose_target(df: DataFrame, requested: str | None = None, by: Sequence[str]
     if not numeric:
         return df.groupBy(*by).agg(F.lit(None).cast("string").alias("target"))
     agg = df.groupBy(*by).agg(*[
-        F.struct(F.count_distinct(as_double(df, c)).alias("nd"), F.var_samp(as_double(df, c)).alias("var")).alias(c)
+        F.struct(bounded_distinct(as_double(df, c)).alias("nd"), F.var_samp(as_double(df, c)).alias("var")).alias(c)
         for c in numeric
     ])
     stack = F.explode(F.array(*[

@@ -83,7 +83,7 @@ def infer_context(catalog: DataFrame, high_corr_counts: DataFrame | None = None,
     """DOM2: (dataset, domain, score, confidence, context, likely_features, problem_type); real estate scores +1
     when the dataset has high-correlation pairs; HIGH >= 4, MEDIUM >= 2, else LOW.
 
-    ``target_types``: (dataset, target_type) as from ``profile.target_kind``; a dataset without one, or with an
+    ``target_types``: (dataset, target_type) as from ``profile.target_type``; a dataset without one, or with an
     unknown one, counts as regression."""
     spark = catalog.sparkSession
     s = _scores(catalog, CONTEXT_KEYWORDS)

@@ -16,7 +16,7 @@ from tabscope.functions.columns import analysed_columns, is_stat_numeric, seg_co
 from tabscope.operators import correlation as C
 from tabscope.operators import linear as L
 from tabscope.operators.moments import moments, sub_moments
-from tabscope.operators.profile import missing_total, target_kind
+from tabscope.operators.profile import missing_total, target_type
 from tabscope.operators.quality import quality_score
 from tabscope.operators.segments import seg_join
 
@@ -46,7 +46,7 @@ def signals(df: DataFrame, target: str | None, by: Sequence[str] = (), columns:
     q = quality if quality is not None else quality_score(base, by, cols)
     miss = missing_total(base, by, cols)
     if has_t:
-        tk = target_kind(base, target, by).select(*by, "n_rows", "target_type")
+        tk = target_type(base, target, by)
     else:
         tk = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.lit("unknown").alias("target_type"))
     out = seg_join(tk, q.select(*by, F.col("overall_score").alias("data_quality_score")), by)

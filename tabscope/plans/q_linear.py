@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from tabscope.operators import correlation as C
 from tabscope.operators import linear as L
+from tabscope.operators import rows
 from tabscope.operators.prepare import fold_of, split_flag
 from tabscope.plans import oracle_sql as O
 from tabscope.plans.common import rnd
 from tabscope.plans.oracle_sql import r6
 from tabscope.plans.registry import register
 from tabscope.sources import fixtures
+from tabscope.sources.tables import read_table
 
 _V = O.with_views
 SALES_NUM = ["l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "net", "gross"]
@@ -248,6 +250,69 @@ def q_ols_cv(spark, sf):
     return rnd(L.ols_cv(train, LIN, "y", fold_of("l_orderkey", 5, method="mod", stride=5), prepared=False))
 
 
+_LINES = """SELECT l_orderkey, l_linenumber, l_quantity AS x1, l_discount AS x2,
+  3 * l_quantity - 40 * l_discount + (l_orderkey % 13) AS y FROM lineitem"""
+_LINE_ORDER = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount"]
+
+
+def _lines(spark, sf):
+    li = read_table(spark, sf, "lineitem")
+    y = 3 * F.col("l_quantity") - 40 * F.col("l_discount") + F.col("l_orderkey") % 13
+    return li.select(*_LINE_ORDER, y.cast("double").alias("y"))
+
+
+@register("ols_cv_contiguous", f"""
+  WITH v AS ({_LINES}),
+  i AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, x1, x2) - 1 AS i, count(*) OVER () AS n FROM v),
+  t AS (SELECT x1, x2, y, CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1)
+                               ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // greatest(n // 5, 1) END AS fold FROM i),
+  f AS (SELECT DISTINCT fold FROM t),
+  tr AS (SELECT f.fold, covar_pop(x1, x1) AS c11, covar_pop(x2, x2) AS c22, covar_pop(x1, x2) AS c12,
+                covar_pop(x1, y) AS c1y, covar_pop(x2, y) AS c2y, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my
+         FROM f JOIN t ON t.fold <> f.fold GROUP BY f.fold),
+  co AS (SELECT *, (c1y*c22 - c2y*c12) / (c11*c22 - c12*c12) AS b1, (c2y*c11 - c1y*c12) / (c11*c22 - c12*c12) AS b2 FROM tr),
+  cf AS (SELECT *, my - b1*m1 - b2*m2 AS a FROM co),
+  sc AS (SELECT t.fold, 1 - sum((t.y - cf.a - cf.b1*t.x1 - cf.b2*t.x2) * (t.y - cf.a - cf.b1*t.x1 - cf.b2*t.x2))
+                           / (var_pop(t.y) * count(*)) AS r2
+         FROM t JOIN cf ON t.fold = cf.fold GROUP BY t.fold)
+  SELECT CAST(count(*) AS INTEGER) AS folds, {r6('avg(r2)')} AS cv_r2_mean, {r6('stddev_pop(r2)')} AS cv_r2_std FROM sc""")
+def q_ols_cv_contiguous(spark, sf):
+    """Cross-validation over five unshuffled blocks of all rows."""
+    folds = rows.contiguous_folds(_lines(spark, sf), _LINE_ORDER, 5)
+    return rnd(L.ols_cv(folds, LIN, "y", F.col("fold"), prepared=False))
+
+
+@register("shuffled_importance", f"""
+  WITH v AS ({_LINES}),
+  tr AS (SELECT covar_pop(x1, x1) AS c11, covar_pop(x2, x2) AS c22, covar_pop(x1, x2) AS c12, covar_pop(x1, y) AS c1y,
+                covar_pop(x2, y) AS c2y, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my FROM v WHERE l_orderkey % 5 <> 0),
+  co AS (SELECT *, (c1y*c22 - c2y*c12) / (c11*c22 - c12*c12) AS b1, (c2y*c11 - c1y*c12) / (c11*c22 - c12*c12) AS b2 FROM tr),
+  cf AS (SELECT b1, b2, my - b1*m1 - b2*m2 AS a FROM co),
+  k AS (SELECT *, concat_ws(':', l_orderkey, l_linenumber, CAST(round(x1 * 100) AS BIGINT), CAST(round(x2 * 100) AS BIGINT)) AS key FROM v WHERE l_orderkey % 5 = 0),
+  te AS (SELECT k.*, row_number() OVER (ORDER BY key) AS i FROM k),
+  dn AS (SELECT rep, x1 AS d1, x2 AS d2, row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws(':', '42', rep, key))) AS i
+         FROM k, range(10) r(rep)),
+  ba AS (SELECT sum((y - a - b1*x1 - b2*x2) * (y - a - b1*x1 - b2*x2)) AS sse, var_pop(y) * count(*) AS sst FROM te, cf),
+  ls AS (SELECT rep, sum((y - a - b1*d1 - b2*x2) * (y - a - b1*d1 - b2*x2)) AS s1,
+                sum((y - a - b1*x1 - b2*d2) * (y - a - b1*x1 - b2*d2)) AS s2 FROM te JOIN dn USING (i), cf GROUP BY rep),
+  im AS (SELECT 'l_quantity' AS feature, 0 AS pos, (s1 - sse) / sst AS lost FROM ls, ba
+         UNION ALL SELECT 'l_discount', 1, (s2 - sse) / sst FROM ls, ba)
+  SELECT feature, {r6('avg(lost)')} AS importance, {r6('stddev_pop(lost)')} AS importance_std,
+         CAST(row_number() OVER (ORDER BY avg(lost) DESC, pos) AS INTEGER) AS rank FROM im GROUP BY feature, pos""")
+def q_shuffled_importance(spark, sf):
+    """Ten shuffles of each feature of a fitted linear model, over all test rows."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    assembler = VectorAssembler(inputCols=LIN, outputCol="__features")
+    # order and line number repeat in this table; with the features, rows of one key are equal
+    d = _lines(spark, sf).withColumns({f"k{i}": F.round(F.col(c) * 100).cast("bigint") for i, c in enumerate(LIN)})
+    train = assembler.transform(d.where(~split_flag("l_orderkey", method="mod")))
+    model = LinearRegression(featuresCol="__features", labelCol="y", regParam=0.0, solver="normal").fit(train)
+    return rnd(rows.shuffled_importance(lambda t: model.transform(assembler.transform(t)).drop("__features"),
+                                        d.where(split_flag("l_orderkey", method="mod")), LIN, "y", ["l_orderkey", "l_linenumber", "k0", "k1"]))
+
+
 @register("pca_two", _V("v_sales") + f""",
   c AS (SELECT abs(corr(net, gross)) AS r FROM v_sales)
   SELECT CAST(CASE WHEN (1 + r) / 2 > 0.95 THEN 1 ELSE 2 END AS INTEGER) AS n_components,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabscope.operators import profile, quality
+from tabscope.operators import profile, quality, rows
 from tabscope.plans import oracle_sql as O
 from tabscope.plans.registry import register
 from tabscope.sources import fixtures
@@ -122,6 +122,20 @@ def q_target_kind(spark, sf):
     return out
 
 
+@register("target_type_by_supplier", _V("v_sales") + " " + " UNION ALL ".join(
+    f"""SELECT '{c}' AS target, l_suppkey, CAST(count(*) AS BIGINT) AS n_rows,
+        CASE WHEN count(DISTINCT {c}) <= 20 OR count(DISTINCT {c}) * 1.0 / greatest(count(*), 1) <= 0.05 THEN 'classification'
+             ELSE 'regression' END AS target_type FROM v_sales GROUP BY l_suppkey""" for c in ["l_quantity", "l_discount", "net", "l_orderkey"]))
+def q_target_type_by_supplier(spark, sf):
+    """AGG12 from bounded sets: types of four targets for each supplier."""
+    v = fixtures.v_sales(spark, sf)
+    out = None
+    for c in ["l_quantity", "l_discount", "net", "l_orderkey"]:
+        t = profile.target_type(v, c, by=["l_suppkey"]).select(F.lit(c).alias("target"), "l_suppkey", "n_rows", "target_type")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
 @register("choose_target", """
   WITH ev AS (SELECT 'event_id' AS c, 0 AS o, count(DISTINCT event_id) AS nd, var_samp(event_id) AS v FROM events
               UNION ALL SELECT 'user_id', 1, count(DISTINCT user_id), var_samp(user_id) FROM events
@@ -247,6 +261,28 @@ def q_fold_counts(spark, sf):
     return train.groupBy(prepare.fold_of("l_orderkey", 5, method="mod", stride=5).alias("fold")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+_ROW_ORDER = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"]
+
+
+@register("folds_contiguous", f"""
+  WITH t AS (SELECT l_returnflag, l_orderkey, l_quantity,
+                    row_number() OVER (PARTITION BY l_returnflag ORDER BY {', '.join(_ROW_ORDER)}) - 1 AS i,
+                    count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem),
+  f AS (SELECT *, CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1)
+                       ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // greatest(n // 5, 1) END AS fold FROM t)
+  SELECT l_returnflag, CAST(fold AS INTEGER) AS fold, CAST(count(*) AS BIGINT) AS n_rows, CAST(min(i) AS BIGINT) AS first_row,
+         CAST(min(l_orderkey) AS BIGINT) AS least_order, CAST(max(l_orderkey) AS BIGINT) AS greatest_order,
+         {r6('sum(l_quantity)', 4)} AS sum_qty FROM f GROUP BY ALL""")
+def q_folds_contiguous(spark, sf):
+    """SPL2 as unshuffled blocks of the global row order, for each return flag."""
+    li = read_table(spark, sf, "lineitem").select("l_returnflag", *_ROW_ORDER)
+    nr = rows.number_rows(li, _ROW_ORDER, ["l_returnflag"], "i")
+    f = rows.contiguous_folds(nr, ["i"], 5, ["l_returnflag"])
+    return rnd(f.groupBy("l_returnflag", "fold").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("i").alias("first_row"), F.min("l_orderkey").cast("bigint").alias("least_order"),
+        F.max("l_orderkey").cast("bigint").alias("greatest_order"), F.round(F.sum("l_quantity"), 4).alias("sum_qty")))
+
+
 _STD = ["l_quantity", "l_extendedprice", "net"]
 
 

@@ -108,7 +108,7 @@ def _catalog_inputs(spark, sf):
              ("orders", orders, "o_totalprice", ["o_orderkey", "o_totalprice"])]
     kinds = pairs = None
     for name, df, target, numeric in parts:
-        kind = profile.target_kind(df, target).select(F.lit(name).alias("dataset"), "target_type")
+        kind = profile.target_type(df, target).select(F.lit(name).alias("dataset"), "target_type")
         high = C.high_corr_pairs(C.corr_long(df, numeric)).agg(F.count(F.lit(1)).alias("n_high_pairs")).select(F.lit(name).alias("dataset"), "n_high_pairs")
         kinds, pairs = (kind, high) if kinds is None else (kinds.unionByName(kind), pairs.unionByName(high))
     return column_catalog(spark, {n: df for n, df, _, _ in parts}), kinds, pairs
