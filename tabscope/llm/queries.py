@@ -108,7 +108,7 @@ def op5_hamming_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations less those that are prefixes of longer ones, rendered."""
+    """All conversations less those that are prefixes of longer ones, rendered in parts (one for ordinary logs)."""
     from tabscope.llm.chat_collapse import collapse_and_render
 
     return collapse_and_render(read_table(spark, sf_dir, "conversations"))
@@ -122,9 +122,10 @@ p AS (SELECT *, sha256(string_agg(length(role)::VARCHAR || ':' || role || length
     OVER (PARTITION BY conv_id ORDER BY place)) AS h, count(*) OVER (PARTITION BY conv_id) AS n FROM t),
 w AS (SELECT h, n, min(conv_id) AS conv_id, count(*) AS n_equal FROM p WHERE place = n GROUP BY h, n),
 m AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.place < p.n AND p.place = w.n AND p.h = w.h))
-SELECT m.conv_id, max(m.n)::BIGINT AS n_turns, max(m.n_equal)::BIGINT AS n_equal,
-  string_agg('<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10), '' ORDER BY t.place) AS rendered
-FROM m JOIN t ON t.conv_id IS NOT DISTINCT FROM m.conv_id GROUP BY m.conv_id
+SELECT conv_id, part, max(n)::BIGINT AS n_turns, max(n_equal)::BIGINT AS n_equal, string_agg(turn, '' ORDER BY place) AS rendered
+FROM (SELECT *, ((sum(length(turn)) OVER (PARTITION BY conv_id ORDER BY place) - length(turn)) // 16777216)::BIGINT AS part
+  FROM (SELECT m.*, t.place, '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10) AS turn
+    FROM m JOIN t ON t.conv_id IS NOT DISTINCT FROM m.conv_id)) GROUP BY conv_id, part
 """
 
 

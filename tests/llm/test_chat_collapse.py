@@ -49,9 +49,32 @@ def test_matches_comparison_of_all_logs(spark, monkeypatch, chunk):
     monkeypatch.setattr(C, "CHUNK", chunk)
     rows = case()
     got = C.collapse_and_render(table(spark, rows)).collect()
+    assert all(r.part == 0 for r in got)
     assert sorted(((r.conv_id, r.n_turns, r.n_equal, r.rendered) for r in got), key=repr) == slow(rows)
 
 
+@pytest.mark.parametrize("chunk,copies", [(512, 64), (3, 2)])
+def test_a_third_of_all_rows_in_one_log_at_one_turn_number(spark, monkeypatch, chunk, copies):
+    """Distinct, repeated and alike-beginning texts of one log and turn, with and without conv_id, in bounded parts."""
+    monkeypatch.setattr(C, "CHUNK", chunk)
+    monkeypatch.setattr(C, "COPIES", copies)
+    monkeypatch.setattr(C, "PART_CHARS", 2000)
+    rng = random.Random(6)
+    hot = [("user", f"text {rng.randrange(900)}") for _ in range(700)] + [("user", "same")] * 300 + [("user", "y" * 70 + str(i)) for i in range(100)]
+    rows = [(7, 5, *t) for t in hot] + [(None, None, *t) for t in hot[:500]]
+    rows += [(8, 1, "r" * 64 + rng.choice(["", "a", "b"]), rng.choice("xyz") + str(i)) for i in range(60)]
+    rows += [(100 + i, j, "user", f"turn {j} of {i % 200}") for i in range(400) for j in range(3)]
+    rng.shuffle(rows)
+    df = table(spark, rows).repartition(9)
+    assert C.ordered_turns(df).groupBy("conv_id", "chunk").count().agg({"count": "max"}).first()[0] <= chunk * copies
+    logs = {}
+    for r in C.collapse_and_render(df).collect():
+        assert len(r.rendered) < 2000 + 200
+        logs.setdefault((r.conv_id, r.n_turns, r.n_equal), {})[r.part] = r.rendered
+    assert len(logs[7, 1100, 1]) > 20 and len(logs[None, 500, 1]) > 5
+    assert sorted(((*k, "".join(v[i] for i in sorted(v))) for k, v in logs.items()), key=repr) == slow(rows)
+
+
 def test_empty_and_native(spark):
     out = C.collapse_and_render(table(spark, []))
     assert out.collect() == []
