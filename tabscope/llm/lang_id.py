@@ -5,8 +5,9 @@ windows of ``WINDOW`` bytes; each filter keeps its greatest answer in the window
 into probabilities of the languages.  A text is cut into consecutive windows, all of them are scored, and its
 languages' probabilities are the means over its windows, weighted by their bytes other than blanks and padding.
 
-The network is fitted on the driver on a bounded sample: at most ``PER_LANGUAGE`` texts of each of the
-``LANGUAGES`` labels with most texts, and ``SAMPLE_CHARS`` characters from the start and as many from the middle of
+The network is fitted on the driver on a bounded sample: at most ``PER_LANGUAGE`` texts of each label, fewer where
+the labels together would have more than ``SAMPLE_TEXTS`` but at least one, so that every label is learned (beyond
+``SAMPLE_TEXTS`` labels the sample is one text of each), and ``SAMPLE_CHARS`` characters from the start and as many from the middle of
 each.  Only those with a letter in these characters are taken.  Copies of a text under a label count once: they are
 merged by hash with map-side combining before anything is counted, and the distinct texts are thinned by that hash
 (the one with the least hash always stays) before the exact cut, so no task sorts all texts of a language.  Prediction reads
@@ -27,12 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tabscope.llm.common import scratch_table
+
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 12  # of each width
 DIM = 6
 PER_LANGUAGE = 400
-LANGUAGES = 200
+SAMPLE_TEXTS = 80_000
 SAMPLE_CHARS = 600
 BLOCK = 256  # windows scored at once
 
@@ -149,7 +152,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = 6, batch: int = 256,
     return net
 
 
-def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> list:
+def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_texts: int = SAMPLE_TEXTS) -> list:
     """(lang, text) of the bounded sample; docs: (text, lang), all of which may be learned from."""
     middle = F.greatest(F.lit(SAMPLE_CHARS), F.floor(F.length("text") / 2).cast("int")) + 1
     cut = F.concat(F.substring("text", 1, SAMPLE_CHARS), F.substring("text", middle, F.lit(SAMPLE_CHARS)))
@@ -157,17 +160,19 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, languages:
     mix = 1 << 30
     place = F.pmod("h", F.lit(mix))
     counts = usable.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("count"), F.min(place).alias("least"))
-    counts = counts.orderBy(F.desc("count"), "lang").limit(languages)
+    counts = scratch_table(counts, "lang-counts")  # one row a label, as the network's last layer has
+    labels = counts.count()
+    per_language = max(1, min(per_language, sample_texts // max(1, labels)))
     rate = F.least(F.lit(mix), F.ceil(F.lit(4.0 * per_language * mix) / F.col("count")))
     keep = counts.select(F.col("lang").alias("l"), F.greatest(rate, F.col("least") + 1).alias("below"))
-    thinned = usable.join(F.broadcast(keep), F.col("lang") == F.col("l")).where(place < F.col("below"))
+    thinned = usable.join(F.broadcast(keep) if labels <= SAMPLE_TEXTS else keep, F.col("lang") == F.col("l")).where(place < F.col("below"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     sample = thinned.select("lang", "h", "text").distinct().withColumn("nth", nth)
     return sample.where(F.col("nth") <= per_language).orderBy("lang", "nth").select("lang", "text").collect()
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> ByteNetwork | None:
-    rows = [r for r in training_rows(docs, per_language, languages) if has_letter(r.text)]
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_texts: int = SAMPLE_TEXTS) -> ByteNetwork | None:
+    rows = [r for r in training_rows(docs, per_language, sample_texts) if has_letter(r.text)]
     return fit([r.text for r in rows], [r.lang for r in rows]) if rows else None
 
 
@@ -190,7 +195,8 @@ def predicted(text: Column, net: ByteNetwork | None) -> Column:
 
 
 def identify(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
-    """docs with lang_pred and score."""
+    """docs with lang_pred and score; columns of docs that have these names are replaced."""
+    docs = docs.drop("lang_pred", "score")
     out = docs.withColumn("__lang", predicted(F.col("text"), net))
     return out.select(*docs.columns, F.col("__lang.lang").alias("lang_pred"), F.col("__lang.score").alias("score"))
 

@@ -62,7 +62,8 @@ def test_defined_cases(spark):
              (0, texts[0], "en", "", 0, ""), (0, texts[0], "en", "", 0, "")]
     df = spark.createDataFrame(rows, SCHEMA)
     net = G.train(df)
-    out = G.identify(df.drop("score", "lang_pred"), net).collect()
+    assert G.identify(df, net).columns == ["doc_id", "text", "lang", "held_out", "lang_pred", "score"]
+    out = G.identify(df, net).collect()
     got = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in out}
     assert len(out) == len(rows)
     assert [got[k] for k in ((None, None), (90, ""), (91, "12 !!"))] == [("und", 0.0)] * 3
@@ -82,7 +83,17 @@ def test_sample_is_bounded(spark):
     df = spark.createDataFrame([(i, f"{t} {i % 500}", v, "", 0, "") for i, (t, v) in enumerate(zip(texts * 60, labels * 60))], SCHEMA)
     got = G.training_rows(df, per_language=30)
     assert sorted({r.lang for r in got}) == ["de", "en"] and len(got) == 60
-    assert {r.lang for r in G.training_rows(df, per_language=5, languages=1)} == {"de"}
+    assert len(G.training_rows(df, per_language=30, sample_texts=20)) == 20
+
+
+def test_every_label_is_in_the_sample_however_many_there_are(spark):
+    rows = [(f"l{i % 300:03}", f"word {i} of label {i % 300}") for i in range(1500)] + [("rare", "a single text")] + [("l000", f"more {i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    for budget, most in ((80_000, 5 * 299 + 8 + 1), (700, 2 * 300 + 1), (10, 301)):
+        got = G.training_rows(df, per_language=8, sample_texts=budget)
+        assert len({r.lang for r in got}) == 301 and len(got) == most
+    net = G.train(df, per_language=1)
+    assert len(net.languages) == 301 and "rare" in net.languages
 
 
 def test_copies_count_once_in_the_sample(spark):
