@@ -275,17 +275,23 @@ def similar_links(contents: DataFrame, threshold: float = THRESHOLD, recall: flo
     """contents: (key, text), repeats allowed.  (src, dst) links whose components are those of the similar pairs
     that share a band."""
     bands, rows = tune_bands(threshold, recall)
-    signed = settled_table(contents.select("key", band_column(F.col("text"), bands, rows, shingle).alias("bands")), "paragraph-bands")
+    # equal texts have equal bands: from here on a content is one row
+    signed = contents.select("key", band_column(F.col("text"), bands, rows, shingle).alias("bands")).dropDuplicates(["key"])
+    signed = settled_table(signed, "paragraph-bands")
     each = signed.select("key", F.explode("bands").alias("band"))
-    shared = settled_table(each.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("band"), "paragraph-shared")
-    members = settled_table(_rows_of(each, shared, "band").distinct(), "paragraph-members")
-    free_tables(signed, shared)
+    met = each.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    met = settled_table(met, "paragraph-shared")
+    # a band of two contents names its pair already; only larger ones look their members up
+    couples = settled_table(met.where("n = 2").select(F.col("lo").alias("key"), F.col("hi").alias("other")).distinct(), "paragraph-couples")
+    members = settled_table(_rows_of(each, met.where("n > 2").select("band"), "band").distinct(), "paragraph-members")
+    free_tables(signed, met)
     sizes = settled_table(members.groupBy("band").count().withColumnRenamed("count", "size"), "paragraph-sizes")
-    wanted = settled_table(members.select("key").distinct(), "paragraph-wanted")
+    wanted = members.select("key").union(couples.select("key")).union(couples.select("other")).distinct()
+    wanted = settled_table(wanted, "paragraph-wanted")
     texts = settled_table(_rows_of(contents, wanted, "key").groupBy("key").agg(F.first("text").alias("text")), "paragraph-texts")
 
     small = members.join(sizes.where(F.col("size") <= SMALL), "band").select("band", "key")
-    pairs = small.join(small.withColumnRenamed("key", "other"), "band").where("key < other").select("key", "other").distinct()
+    pairs = small.join(small.withColumnRenamed("key", "other"), "band").where("key < other").select("key", "other").union(couples).distinct()
     paired = pairs.join(texts, "key").join(texts.withColumnsRenamed({"key": "other", "text": "other_text"}), "other")
     near = paired.where(_jaccard_column(F.col("text"), F.col("other_text"), shingle) >= threshold).select(F.col("key").alias("src"), F.col("other").alias("dst"))
 
@@ -299,7 +305,7 @@ def similar_links(contents: DataFrame, threshold: float = THRESHOLD, recall: flo
         return pa.table({"src": pa.array([x for x, _ in links], pa.int64()), "dst": pa.array([x for _, x in links], pa.int64())})
 
     links = settled_table(near.unionByName(met.groupBy("band", "a", "b").applyInArrow(compare, "src bigint, dst bigint")).distinct(), "paragraph-links")
-    free_tables(members, sizes, wanted, texts)
+    free_tables(members, couples, sizes, wanted, texts)
     return links
 
 
