@@ -22,14 +22,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def scratch_table(df: DataFrame, name: str) -> DataFrame:
+def scratch_table(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back.
 
     This cuts lineage and fixes row identities: a lost executor costs a reread of shared files, never a
     second run of the work above.  The files live as long as the checkpoint folder; ``drop_scratch``
     removes them once no result that reads them is needed any more."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -43,10 +43,10 @@ def free_tables(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def settled_table(df: DataFrame, name: str) -> DataFrame:
+def settled_table(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``scratch_table``; after it the driver forgets what it holds of finished jobs, so that Spark's cleaner drops their
     shuffle files now and not at some later collection of garbage.  For steps whose shuffles are large."""
-    out = scratch_table(df, name)
+    out = scratch_table(df, name, **options)
     del df
     gc.collect()
     out.sparkSession.sparkContext._jvm.System.gc()

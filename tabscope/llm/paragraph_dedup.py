@@ -174,7 +174,7 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, pieces: bool = False
                  pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(joined, pa.string())], names=names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return settled_table(rows.mapInArrow(cut, f"row bigint, doc_id {kind}, unit int, start bigint, n int, key bigint, text string"), "paragraphs")
+    return settled_table(rows.mapInArrow(cut, f"row bigint, doc_id {kind}, unit int, start bigint, n int, key bigint, text string"), "paragraphs", compression="zstd")
 
 
 def signatures(texts: list[bytes], count: int, shingle: int = SHINGLE) -> np.ndarray:
