@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscope.functions.columns import analysed_columns, as_double, is_stat_numeric, seg_cols
@@ -40,9 +40,18 @@ def corr_long(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[
     base = df.select(*[F.col(f"`{b}`") for b in by], *[as_double(df, c).alias(f"__x{i}") for i, c in enumerate(cols)])
     if k >= BLOCKED_MIN_K:
         return _corr_blocked(base, cols, by, diagonal)
+    g = base.groupBy(*by).agg(*(pair_sums(k, diagonal) or [F.count(F.lit(1)).alias("__n")]))
+    return pairs_from_sums(g, cols, by, diagonal)
+
+
+def _pairs(k: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(k) for j in range(i + 1, k)]
+
+
+def pair_sums(k: int, diagonal: bool = False) -> list[Column]:
+    """The aggregates over columns __x0..__x{k-1} that ``pairs_from_sums`` reads; all merge, so they also serve as streaming state."""
     aggs = []
-    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
-    for i, j in pairs:
+    for i, j in _pairs(k):
         a, b = F.col(f"__x{i}"), F.col(f"__x{j}")
         both = a.isNotNull() & b.isNotNull()
         aggs += [
@@ -55,11 +64,14 @@ def corr_long(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[
         ]
     if diagonal:
         aggs += [F.count(f"__x{i}").alias(f"nd{i}") for i in range(k)]
-    if not aggs:
-        aggs = [F.count(F.lit(1)).alias("__n")]
-    g = base.groupBy(*by).agg(*aggs)
+    return aggs
+
+
+def pairs_from_sums(g: DataFrame, cols: list[str], by: Sequence[str] = (), diagonal: bool = False) -> DataFrame:
+    """The rows of ``corr_long`` from a table of ``pair_sums`` by segment."""
+    by, k = list(by), len(cols)
     entries = []
-    for i, j in pairs:
+    for i, j in _pairs(k):
         sa, sb = F.col(f"sa{i}_{j}"), F.col(f"sb{i}_{j}")
         const = (sa <= F.lit(CONST_TOL) * F.greatest(F.lit(1.0), F.abs(F.col(f"ma{i}_{j}")))) | \
                 (sb <= F.lit(CONST_TOL) * F.greatest(F.lit(1.0), F.abs(F.col(f"mb{i}_{j}"))))
@@ -74,7 +86,7 @@ def corr_long(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[
                                     F.when(F.col(f"nd{i}") > 1, F.lit(1.0)).alias("r")))
     if not entries:
         schema = "i int, j int, feature_a string, feature_b string, n long, r double"
-        empty = df.sparkSession.createDataFrame([], schema)
+        empty = g.sparkSession.createDataFrame([], schema)
         return g.select(*by).join(empty, how="left_anti") if by else empty
     return g.select(*by, F.explode(F.array(*entries)).alias("e")).select(*by, "e.*")
 

@@ -82,13 +82,20 @@ def feature_analysis(df: DataFrame, target: str, by: Sequence[str] = (), columns
         return segs.select(*by, F.lit(0).cast("long").alias("weak_features"), F.lit(0).alias("predictor_count"),
                            F.lit(0).cast("long").alias("redundant_pairs_count"), F.lit(0.0).alias("max_redundancy_correlation"))
     corr = corr if corr is not None else C.corr_long(df.select(*[F.col(f"`{c}`") for c in by + numeric]), numeric, by)
+    return feature_from_corr(segs, corr, target, len(numeric), by, include_target)
+
+
+def feature_from_corr(segs: DataFrame, corr: DataFrame, target: str, n_numeric: int, by: Sequence[str] = (),
+                      include_target: bool = True) -> DataFrame:
+    """``feature_analysis`` of the segments ``segs`` from their correlations."""
+    by = list(by)
     weak = C.weak_features(corr, target, by).select(*by, "weak_features")
     red = C.redundant_pairs(corr, by, target, include_target=include_target, cap=None).groupBy(*by).agg(
         F.count(F.lit(1)).alias("redundant_pairs_count"), F.max("correlation").alias("max_redundancy_correlation"))
     out = seg_join(seg_join(segs, weak, by, "left"), red, by, "left")
     return out.select(
         *by, F.coalesce("weak_features", F.lit(0)).cast("long").alias("weak_features"),
-        F.lit(max(len(numeric) - 1, 0)).alias("predictor_count"),
+        F.lit(max(n_numeric - 1, 0)).alias("predictor_count"),
         F.coalesce("redundant_pairs_count", F.lit(0)).cast("long").alias("redundant_pairs_count"),
         F.coalesce("max_redundancy_correlation", F.lit(0.0)).alias("max_redundancy_correlation"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabscope.operators import correlation as C
+from tabscope.operators import factor as Q
 from tabscope.operators import linear as L
 from tabscope.operators import rows
 from tabscope.operators.prepare import fold_of, split_flag
@@ -344,8 +345,59 @@ def q_embedding_corr(spark, sf):
     return rnd(C.corr_long(emb, cols))
 
 
-@register("embedding_vif")
+# Whole vectors only, as rows (vec_id, d, v) and as the correlation of every pair of dimensions, both ways round.
+_WHOLE = """u0 AS (SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS d, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+  ok AS (SELECT vec_id FROM u0 GROUP BY vec_id HAVING count(*) FILTER (WHERE isfinite(v)) = (SELECT max(len(embedding)) FROM embeddings)),
+  u AS (SELECT u0.* FROM u0 JOIN ok USING (vec_id)),
+  c AS (SELECT a.d AS i, b.d AS j, corr(a.v, b.v) AS r, covar_pop(a.v, b.v) AS cov FROM u a JOIN u b ON a.vec_id = b.vec_id GROUP BY a.d, b.d)"""
+
+
+@register("embedding_vif", f"""
+  WITH RECURSIVE {_WHOLE},
+  m0 AS (SELECT list(line ORDER BY i) AS m FROM (SELECT i, list(r ORDER BY j) AS line FROM c GROUP BY i)),
+  inv AS (SELECT CAST(1 AS BIGINT) AS p, m FROM m0 UNION ALL
+    SELECT p + 1, list_transform(m, lambda line, i: list_transform(line, lambda x, j:
+      CASE WHEN i = p AND j = p THEN 1 / m[p][p] WHEN i = p THEN x / m[p][p] WHEN j = p THEN -x / m[p][p]
+           ELSE x - line[p] * m[p][j] / m[p][p] END)) FROM inv WHERE p <= len(m)),
+  done AS (SELECT m FROM inv WHERE p = len(m) + 1)
+  SELECT 'e' || (t.i - 1) AS feature, 'std' AS basis, {r6('m[t.i][t.i]')} AS vif FROM done, (SELECT unnest(range(1, (SELECT len(m) + 1 FROM done))) AS i) t""")
 def q_embedding_vif(spark, sf):
-    """VIF2 on 64 columns from the blocked moments kernel (rows-only: a 64 x 64 inverse has no SQL form)."""
+    """VIF2 on 64 columns from the blocked moments kernel; the oracle inverts the correlation matrix by Gauss-Jordan steps."""
     emb, cols = _embedding_columns(spark, sf)
     return rnd(L.vif(emb, cols, basis="std"))
+
+
+# --- QR factors and the range finder ------------------------------------------------------------------
+
+@register("ols_coeffs_qr", _OLS2 + f"""
+  SELECT 'l_quantity' AS feature, {r6('b1')} AS coef FROM cf UNION ALL SELECT 'l_discount', {r6('b2')} FROM cf
+  UNION ALL SELECT '(intercept)', {r6('a')} FROM cf""")
+def q_ols_coeffs_qr(spark, sf):
+    """REG1 by a tree of QR factors instead of moments, on the training rows."""
+    fit = Q.qr_ols(fixtures.v_linear(spark, sf).where("l_orderkey % 5 <> 0"), LIN, "y")
+    names = F.array(*[F.lit(c) for c in [*LIN, "(intercept)"]])
+    z = fit.select(F.explode(F.arrays_zip(names.alias("feature"), F.concat("coefficients", F.array("intercept")).alias("coef"))).alias("z"))
+    return rnd(z.select("z.feature", "z.coef"))
+
+
+@register("embedding_pca_qr", f"""
+  WITH {_WHOLE}
+  SELECT (SELECT count(*) FROM ok) AS n, {r6('sum(CASE WHEN i = j THEN r END)')} AS trace, {r6('sum(r * r)')} AS squares FROM c""")
+def q_embedding_pca_qr(spark, sf):
+    """EXP3 on 64 columns by QR; the eigenvalues sum to the trace of the correlation matrix, their squares to its squares."""
+    p = Q.qr_pca(read_table(spark, sf, "embeddings"), "embedding")
+    add = lambda f: F.aggregate("eigenvalues", F.lit(0.0), lambda s, x: s + f(x))
+    return rnd(p.select("n", add(lambda x: x).alias("trace"), add(lambda x: x * x).alias("squares")))
+
+
+@register("embedding_range", f"""
+  WITH {_WHOLE}, n AS (SELECT count(*) AS n FROM ok)
+  SELECT CAST(count(DISTINCT i) AS BIGINT) AS directions, {r6('sum(CASE WHEN i = j THEN cov END)')} AS variance, {r6('sum(cov * cov)')} AS squares,
+         CAST(1.0 AS DOUBLE) AS explained FROM c""")
+def q_embedding_range(spark, sf):
+    """The range finder asked for every direction, where it is exact: variances sum to the trace of the covariance matrix."""
+    emb = read_table(spark, sf, "embeddings")
+    n = Q.qr_factor(emb, "embedding").select("n", "width").first()
+    s = Q.range_pca(emb, "embedding", n["width"])
+    v = F.col("singular_value") * F.col("singular_value") / n["n"]
+    return rnd(s.agg(F.count(F.lit(1)).alias("directions"), F.sum(v).alias("variance"), F.sum(v * v).alias("squares"), F.sum("explained").alias("explained")))
