@@ -77,14 +77,15 @@ def _score_linear(test, folds) -> dict:
             "error": None}
 
 
-def _score_forest(d: DataFrame, cols: list[str], target: str, k: int, rf_params: dict) -> dict:
+def _score_forest(d: DataFrame, cols: list[str], target: str, k: int, rf_params: dict, n_rows: int) -> dict:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
-    a = VectorAssembler(inputCols=cols, outputCol="__features").transform(d).select("__features", target, "__test", "__fold").persist()
+    from tabscope.operators.models import _metrics, spread
+    a = VectorAssembler(inputCols=cols, outputCol="__features").transform(d).select("__features", target, "__test", "__fold")
+    a = spread(a, n_rows).persist()
     try:
         train, test = a.where(~F.col("__test")), a.where(F.col("__test"))
-        rf = RandomForestRegressor(featuresCol="__features", labelCol=target, **rf_params)
-        from tabscope.operators.models import _metrics
+        rf = RandomForestRegressor(featuresCol="__features", labelCol=target, cacheNodeIds=True, **rf_params)
         r2 = _metrics(rf.fit(train).transform(test), target)[0]
         cv = []
         for f in range(k):
@@ -122,7 +123,7 @@ def run_experiments(df: DataFrame, features: Sequence[str], target: str, test_fl
     def score(frame: DataFrame, cols: list[str]) -> dict:
         if scorer == "linear":
             return _score_linear(*_moments_by_fold(frame, cols, target, k))
-        return _score_forest(frame, cols, target, k, rf)
+        return _score_forest(frame, cols, target, k, rf, sizes["n"])
 
     rows = []
 

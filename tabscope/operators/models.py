@@ -25,6 +25,19 @@ RF_PARAMS = {"numTrees": 100, "maxDepth": 30, "featureSubsetStrategy": "all", "s
 GBT_PARAMS = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.9", "seed": 42}
 
 
+#: Rows that are worth a task of their own, and the most that one task should hold.
+TASK_ROWS, MOST_ROWS = 100_000, 1_000_000
+
+
+def spread(df: DataFrame, n_rows: int) -> DataFrame:
+    """The rows dealt evenly over the tasks.  A tree fit runs hundreds of jobs over the partitions that the scan made, which
+    follow the file's row groups and not its rows: a table of one row group would be fitted by one task."""
+    if n_rows <= TASK_ROWS:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(min(-(-n_rows // TASK_ROWS), cores), -(-n_rows // MOST_ROWS)))
+
+
 def _assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     return VectorAssembler(inputCols=list(features), outputCol="__features", handleInvalid="keep").transform(df)
@@ -53,15 +66,17 @@ def compare_models(df: DataFrame, features: Sequence[str], target: str, test_fla
     spark: SparkSession = df.sparkSession
     df, feats = encode_features(df, features)
     d = prepare_xy(df.withColumn("__test", test_flag), feats, target, fill="median", keep=["__test"])
-    d = _assemble(d, feats).select("__features", target, "__test").persist()
+    d = _assemble(d, feats).select("__features", target, "__test")
     schema = "name string, model_order int, r2 double, rmse double, training_time double, interpretability string"
+    n_rows = d.count()
+    if n_rows < MIN_ROWS:
+        return spark.createDataFrame([], schema)
+    d = spread(d, n_rows).persist()
     try:
-        if d.count() < MIN_ROWS:
-            return spark.createDataFrame([], schema)
         train, test = d.where(~F.col("__test")), d.where(F.col("__test"))
         specs = [
             ("Linear Regression", LinearRegression(featuresCol="__features", labelCol=target, regParam=0.0, solver="normal"), "HIGH"),
-            ("Random Forest", RandomForestRegressor(featuresCol="__features", labelCol=target, **{**RF_PARAMS, **(rf_params or {})}), "MEDIUM"),
+            ("Random Forest", RandomForestRegressor(featuresCol="__features", labelCol=target, cacheNodeIds=True, **{**RF_PARAMS, **(rf_params or {})}), "MEDIUM"),
             ("Gradient Boosting", GBTRegressor(featuresCol="__features", labelCol=target, **{**GBT_PARAMS, **(gbt_params or {})}), "MEDIUM"),
         ]
         rows = []
