@@ -71,6 +71,55 @@ def perm_importance(b: np.ndarray, a: float, mean: np.ndarray, cov: np.ndarray)
     return (2 * b * cov_ex + 2 * b * b * np.diag(cov[:k, :k])) / var_y
 
 
+def holdout_many(n_tr, m_tr, c_tr, n_te, m_te, c_te):
+    """The holdout fits of many segments at once; arrays over the segments: rows, means (s, k + 1) and covariances
+    (s, k + 1, k + 1) of training and test rows, the last index being the target.  Every segment has training rows;
+    the moments of one without test rows are zero.
+
+    Per segment what ``ols``, ``r2_sse``, ``perm_importance``, ``merge``, ``corr_from_cov`` and ``vif_from_gram`` give:
+    (coef, intercept, r2, mse, perm, coef over all rows, their feature deviations, vif)."""
+    k = m_tr.shape[1] - 1
+    n_tr, n_te = n_tr.astype(float), n_te.astype(float)
+
+    def fit(mean, cov):
+        b = (np.linalg.pinv(cov[:, :k, :k], rcond=RCOND, hermitian=True) @ cov[:, :k, k:])[:, :, 0]
+        return b, mean[:, k] - (b * mean[:, :k]).sum(axis=1)
+
+    b, a = fit(m_tr, c_tr)
+    with np.errstate(all="ignore"):
+        var_y, cxy, cxx = c_te[:, k, k], c_te[:, :k, k], c_te[:, :k, :k]
+        cb = (cxx @ b[:, :, None])[:, :, 0]
+        mean_e = m_te[:, k] - a - (b * m_te[:, :k]).sum(axis=1)
+        var_e = var_y - 2 * (b * cxy).sum(axis=1) + (b * cb).sum(axis=1)
+        mse = np.where(var_e < 0, 0.0, var_e) + mean_e * mean_e
+        flat = var_y <= 0
+        r2 = np.where(flat, np.where(mse <= 0, 1.0, 0.0), 1.0 - mse / var_y)
+        diag = np.diagonal(cxx, axis1=1, axis2=2)
+        perm = np.where(flat[:, None], 0.0, (2 * b * (cxy - cb) + 2 * b * b * diag) / var_y[:, None])
+
+        n, w = n_tr + n_te, n_te[:, None]
+        d = m_te - m_tr
+        m_all = m_tr + d * (w / n[:, None])
+        c_all = (n_tr[:, None, None] * c_tr + w[:, :, None] * c_te) / n[:, None, None] \
+            + d[:, :, None] * d[:, None, :] * ((n_tr * n_te)[:, None, None] / (n * n)[:, None, None])
+        alone = n_te == 0
+        m_all, c_all = np.where(alone[:, None], m_tr, m_all), np.where(alone[:, None, None], c_tr, c_all)
+        b_all, _ = fit(m_all, c_all)
+        sd = np.sqrt(np.clip(np.diagonal(c_all, axis1=1, axis2=2)[:, :k], 0, None))
+        const = sd <= 1e-12 * np.maximum(1.0, np.abs(m_all[:, :k]))
+        inv = np.where(const, 0.0, 1.0 / np.where(const, 1.0, sd))
+        r = c_all[:, :k, :k] * (inv[:, :, None] * inv[:, None, :])
+        r[:, range(k), range(k)] = np.where(const, 0.0, 1.0)
+        vif = np.empty((len(n), k))
+        for i in range(k):
+            rest = [j for j in range(k) if j != i]
+            g = r[:, rest, i]
+            beta = (np.linalg.pinv(r[:, rest][:, :, rest], rcond=RCOND, hermitian=True) @ g[:, :, None])[:, :, 0] if rest else g
+            share = (beta * g).sum(axis=1) / r[:, i, i]
+            vif[:, i] = np.where(r[:, i, i] <= 0, np.nan, np.where(share >= 1.0, np.inf, 1.0 / (1.0 - share)))
+    return b, a, r2, mse, perm, b_all, sd, vif
+
+
 def corr_from_cov(cov: np.ndarray, tiny: float = 1e-12, mean: np.ndarray | None = None):
     """Correlation matrix; constant columns (std below tiny, relative to |mean|) get zero rows/cols."""
     sd = np.sqrt(np.clip(np.diag(cov), 0, None))

@@ -57,35 +57,38 @@ _HOLDOUT_SCHEMA = T.StructType([
 ])
 
 
+#: Numbers in the stacked matrices that a task solves at once.
+SOLVE_CELLS = 1 << 20
+
+
 def _holdout_udf(k: int, min_rows: int):
+    p = k + 1
+
+    def stacked(n: np.ndarray, mean: pd.Series, cov: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        m, c, some = np.zeros((len(n), p)), np.zeros((len(n), p, p)), np.flatnonzero(n > 0)
+        if len(some):
+            m[some] = np.stack([np.asarray(x, float) for x in mean.iloc[some]])
+            c[some] = np.stack([linalg.as_matrix(x, p) for x in cov.iloc[some]])
+        return m, c
+
     @F.pandas_udf(_HOLDOUT_SCHEMA)
     def solve(n_tr: pd.Series, m_tr: pd.Series, c_tr: pd.Series, n_te: pd.Series, m_te: pd.Series, c_te: pd.Series) -> pd.DataFrame:
-        out = []
-        for a in zip(n_tr, m_tr, c_tr, n_te, m_te, c_te):
-            ntr = 0 if pd.isna(a[0]) else int(a[0])
-            nte = 0 if pd.isna(a[3]) else int(a[3])
-            tr = (ntr, None if ntr == 0 else np.asarray(a[1], float), None if ntr == 0 else linalg.as_matrix(a[2], k + 1))
-            te = (nte, None if nte == 0 else np.asarray(a[4], float), None if nte == 0 else linalg.as_matrix(a[5], k + 1))
-            if ntr + nte < min_rows or k == 0 or ntr == 0:
-                out.append({"n_train": ntr, "n_test": nte, "fitted": False, "r2": 0.0, "rmse": None, "intercept": None,
-                            "coef": None, "std_importance": None, "perm_importance": None, "vif_std": None})
-                continue
-            b, icpt = linalg.ols(tr[1], tr[2])
-            r2 = rmse = None
-            perm = None
-            if nte > 0:
-                r2, mse = linalg.r2_sse(b, icpt, te[1], te[2])
-                rmse = float(np.sqrt(mse))
-                perm = linalg.perm_importance(b, icpt, te[1], te[2]).tolist()
-            n_all, m_all, c_all = linalg.merge([tr, te])
-            b_all, _ = linalg.ols(m_all, c_all)
-            sd = np.sqrt(np.clip(np.diag(c_all)[:k], 0, None))
-            std_imp = (np.abs(b_all) * sd).tolist()
-            r, _ = linalg.corr_from_cov(c_all[:k, :k], mean=m_all[:k])
-            vif = linalg.vif_from_gram(r, centered=True).tolist()
-            out.append({"n_train": ntr, "n_test": nte, "fitted": True, "r2": r2, "rmse": rmse, "intercept": icpt,
-                        "coef": b.tolist(), "std_importance": std_imp, "perm_importance": perm, "vif_std": vif})
-        return pd.DataFrame(out, columns=[f.name for f in _HOLDOUT_SCHEMA.fields])
+        ntr, nte = n_tr.fillna(0).to_numpy("int64"), n_te.fillna(0).to_numpy("int64")
+        fitted = (ntr + nte >= min_rows) & (ntr > 0) & (k > 0)
+        cols = {f.name: np.full(len(ntr), None, object) for f in _HOLDOUT_SCHEMA.fields}
+        cols |= {"n_train": ntr, "n_test": nte, "fitted": fitted}
+        cols["r2"][~fitted] = 0.0
+        at, step = np.flatnonzero(fitted), max(1, SOLVE_CELLS // (p * p))
+        for lo in range(0, len(at), step):  # the segments' systems at once, in blocks of bounded size
+            s = at[lo:lo + step]
+            b, a, r2, mse, perm, b_all, sd, vif = linalg.holdout_many(
+                ntr[s], *stacked(ntr[s], m_tr.iloc[s], c_tr.iloc[s]), nte[s], *stacked(nte[s], m_te.iloc[s], c_te.iloc[s]))
+            std_imp, rmse, tested = np.abs(b_all) * sd, np.sqrt(mse), nte[s] > 0
+            for j, i in enumerate(s):
+                cols["intercept"][i], cols["coef"][i], cols["std_importance"][i], cols["vif_std"][i] = a[j], b[j], std_imp[j], vif[j]
+                if tested[j]:
+                    cols["r2"][i], cols["rmse"][i], cols["perm_importance"][i] = r2[j], rmse[j], perm[j]
+        return pd.DataFrame(cols)
     return solve
 
 

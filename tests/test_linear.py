@@ -137,3 +137,44 @@ def test_blocked_correlation_by_segment_matches_pandas(spark):
                     assert r is None
                 else:
                     assert abs(r - e) < 1e-9, (g, i, j, r, e)
+
+
+def test_systems_of_many_segments_are_solved_at_once(spark):
+    """Segments of every kind (constant, collinear, without test or training rows) as the helpers solve each alone."""
+    rng = np.random.default_rng(8)
+    parts = []
+    for s in range(120):
+        rows = rng.normal(size=(int(rng.integers(4, 40)), 4)) * 10 + 5
+        if s % 5 == 0:
+            rows[:, 0] = 3
+        if s % 7 == 0:
+            rows[:, 1] = 2 * rows[:, 0]
+        if s % 9 == 0:
+            rows[:, 3] = 2
+        cut = len(rows) if s % 4 == 0 else 3
+        parts.append([(len(z), z.mean(axis=0) if len(z) else np.zeros(4), np.cov(z.T, bias=True) if len(z) else np.zeros((4, 4))) for z in (rows[:cut], rows[cut:])])
+    stack = lambda i, j: np.array([p[i][j] for p in parts])
+    b, a, r2, mse, perm, b_all, sd, vif = linalg.holdout_many(*[stack(i, j) for i in range(2) for j in range(3)])
+    for s, (tr, te) in enumerate(parts):
+        want, at = linalg.ols(tr[1], tr[2])
+        assert np.allclose(b[s], want) and np.isclose(a[s], at)
+        if te[0]:
+            assert np.allclose((r2[s], mse[s]), linalg.r2_sse(want, at, te[1], te[2]))
+            assert np.allclose(perm[s], linalg.perm_importance(want, at, te[1], te[2]))
+        _, mean, cov = linalg.merge([tr, te])
+        assert np.allclose(b_all[s], linalg.ols(mean, cov)[0])
+        alone = linalg.vif_from_gram(linalg.corr_from_cov(cov[:3, :3], mean=mean[:3])[0], True)
+        big = lambda v: np.where(v > 1e9, np.inf, v)
+        assert np.allclose(big(vif[s]), big(alone), equal_nan=True)
+
+
+def test_holdout_of_segments_too_small_or_untested(spark):
+    data = [("a", i, float(i % 7), float(3 * (i % 7) + 1), i % 5 == 0) for i in range(60)]
+    data += [("few", i, float(i), float(i), i % 5 == 0) for i in range(8)] + [("untested", i, float(i), 2.0 * i, False) for i in range(30)]
+    data += [(None, i, float(i), 5.0, True) for i in range(30)]
+    df = spark.createDataFrame(data, "g string, k int, x double, y double, t boolean")
+    got = {r["g"]: r for r in L.linear_analysis(df, ["x"], "y", F.col("t"), ["g"]).collect()}
+    assert got["a"]["fitted"] and np.isclose(got["a"]["r2"], 1) and np.allclose(got["a"]["coef"], [3])
+    assert not got["few"]["fitted"] and got["few"]["r2"] == 0 and got["few"]["coef"] is None and (got["few"]["n_train"], got["few"]["n_test"]) == (6, 2)
+    assert got["untested"]["fitted"] and got["untested"]["r2"] is None and got["untested"]["perm_importance"] is None
+    assert not got[None]["fitted"] and got[None]["n_test"] == 30
