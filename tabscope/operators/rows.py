@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscope.functions.columns import seg_cols
-from tabscope.operators.segments import seg_join
+from tabscope.operators.segments import BROADCAST_BYTES, seg_bytes, seg_join
 
 _ID, _PART, _AT = "__row_id", "__row_part", "__row_offset"
 LOCAL_BITS = 33  # monotonically_increasing_id: the partition above, the row in it below
@@ -40,8 +40,14 @@ def number_rows(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), nam
     out = rows.join(F.broadcast(offsets), _PART).withColumn(name, place).drop(_ID, _PART, _AT)
     if not by:
         return out
-    first = out.groupBy(*by).agg(F.min(name).alias("__row_first"))
-    return seg_join(out, first, by).withColumn(name, F.col(name) - F.col("__row_first")).drop("__row_first")
+    return _joined(out, out.groupBy(*by).agg(F.min(name).alias("__row_first")), by).withColumn(name, F.col(name) - F.col("__row_first")).drop("__row_first")
+
+
+def _joined(rows: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rows with their segment's row of ``small``, which is checkpointed and broadcast if it is small: a shuffle on the
+    segment would bring each of few large segments to one task."""
+    small = small.checkpoint(eager=True)
+    return seg_join(rows, small, by, broadcast_right=seg_bytes(small, by) <= BROADCAST_BYTES)
 
 
 def contiguous_fold(row_nr: Column, n: Column, k: int) -> Column:
@@ -58,7 +64,7 @@ def contiguous_folds(df: DataFrame, order: Sequence[str], k: int, by: Sequence[s
     by = seg_cols(by)
     numbered = number_rows(df, order, by, "__fold_nr")
     sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("__fold_n"))
-    out = seg_join(numbered, sizes, by)
+    out = _joined(numbered, sizes, by)
     return out.withColumn(name, contiguous_fold(F.col("__fold_nr"), F.col("__fold_n"), k)).drop("__fold_nr", "__fold_n")
 
 

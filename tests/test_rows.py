@@ -105,3 +105,17 @@ def test_bounded_sets_give_the_types_of_exact_counts(spark):
     assert want["few"][1] == want["at"][1] == want[None][1] == "classification" and want["more"][1] == want["above"][1] == want["key"][1] == "regression"
     assert target_type(df.where("false"), "x").first().target_type == "unknown"
     assert target_type(df, "g").first().target_type == "classification"
+
+
+def test_few_large_segments_are_not_brought_to_one_task_each(spark):
+    """The rows meet their segment's first row and size by broadcast: no shuffle of the rows on the segment."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(3000).select((F.col("id") % 3).alias("g"), "id").repartition(4)
+        out = R.contiguous_folds(df, ["id"], 5, ["g"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        got = {(r.g, r.fold): r.n for r in out.groupBy("g", "fold").agg(F.count("*").alias("n")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {(g, f): 200 for g in range(3) for f in range(5)}
