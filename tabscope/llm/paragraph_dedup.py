@@ -265,10 +265,11 @@ def _rows_of(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
     One way at every size: each key stands once for every salt and the rows carry any one salt, so that the copies of
     a content that very many documents hold meet their key in ``SALT`` tasks; the aggregation that follows collapses
-    them before it brings a key together."""
+    them before it brings a key together.  Always shuffled (``merge``): Spark reckons ``keys`` by its file, a small
+    part of the salted rows that a broadcast would bring to the driver."""
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int")
     spread = keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__salt"))
-    return rows.withColumn("__salt", salt).join(spread, [key, "__salt"]).drop("__salt")
+    return rows.withColumn("__salt", salt).join(spread.hint("merge"), [key, "__salt"]).drop("__salt")
 
 
 def similar_links(contents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, shingle: int = SHINGLE) -> DataFrame:
@@ -292,11 +293,11 @@ def similar_links(contents: DataFrame, threshold: float = THRESHOLD, recall: flo
 
     small = members.join(sizes.where(F.col("size") <= SMALL), "band").select("band", "key")
     pairs = small.join(small.withColumnRenamed("key", "other"), "band").where("key < other").select("key", "other").union(couples).distinct()
-    paired = pairs.join(texts, "key").join(texts.withColumnsRenamed({"key": "other", "text": "other_text"}), "other")
+    paired = pairs.join(texts.hint("merge"), "key").join(texts.withColumnsRenamed({"key": "other", "text": "other_text"}).hint("merge"), "other")
     near = paired.where(_jaccard_column(F.col("text"), F.col("other_text"), shingle) >= threshold).select(F.col("key").alias("src"), F.col("other").alias("dst"))
 
     large = members.join(sizes.where(F.col("size") > SMALL), "band").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    large = large.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(texts, "key")
+    large = large.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(texts.hint("merge"), "key")
     met = large.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "band", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b"), "key", "text")
 
@@ -322,13 +323,13 @@ def _repeated_units(units: DataFrame, threshold: float, recall: float, shingle:
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "row", "unit")
     contents = settled_table(units.groupBy("key").agg(F.count("*").alias("copies"), F.min(place).alias("first"),
                                                       F.min("row").alias("low"), F.max("row").alias("high")), "paragraph-contents")
-    named = contents.join(labels, "key", "left").where("copies > 1 or label is not null").select("key", "first", "low", "high", F.coalesce("label", "key").alias("cluster"))
+    named = contents.join(labels.hint("merge"), "key", "left").where("copies > 1 or label is not null").select("key", "first", "low", "high", F.coalesce("label", "key").alias("cluster"))
     named = settled_table(named, "paragraph-named")
     free_tables(links, contents)
     heads = named.groupBy("cluster").agg(F.min("first").alias("head"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
-    clusters = settled_table(named.select("key", "cluster").join(heads.select("cluster", "head"), "cluster"), "paragraph-clusters")
+    clusters = settled_table(named.select("key", "cluster").join(heads.select("cluster", "head").hint("merge"), "cluster"), "paragraph-clusters")
     free_tables(named)
-    found = units.select("row", "doc_id", "unit", "start", "n", "key").join(clusters, "key")
+    found = units.select("row", "doc_id", "unit", "start", "n", "key").join(clusters.hint("merge"), "key")
     kept = (F.col("row") == F.col("head.row")) & (F.col("unit") == F.col("head.unit"))
     return found.select("row", "doc_id", "unit", "start", "n", "cluster", F.col("head.doc_id").alias("first_doc_id"), (~kept).alias("removed"))
 

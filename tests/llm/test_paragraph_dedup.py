@@ -163,3 +163,10 @@ def test_cuts_do_not_depend_on_the_surroundings():
     far = 2 * P.REACH
     assert [c for c in alone if far <= c <= 500 - far] == [c for c in inside if far <= c <= 500 - far]
     assert max(np.diff(P.cuts([b"same"] * 1000))) <= P.LONGEST
+
+
+def test_salted_keys_are_never_broadcast(spark):
+    keys, rows = spark.range(100).withColumnRenamed("id", "key"), spark.range(1000).selectExpr("id % 150 AS key", "id AS value")
+    joined = P._rows_of(rows, keys, "key")
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(joined.collect()) == sorted(rows.where("key < 100").collect())
