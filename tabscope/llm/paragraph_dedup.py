@@ -52,7 +52,7 @@ from tabscope.llm.components import connected_components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99
 MIN_WORDS, MIN_DISTINCT, MIN_PASSAGE, GAP = 8, 5, 25, 12
-REACH, LONGEST, HELD = 4, 64, 200_000
+REACH, LONGEST, HELD, HELD_BYTES = 4, 64, 200_000, 1 << 18
 SMALL, BLOCK = 32, 1024
 MAX_BANDS = 5
 SALT = 16
@@ -101,37 +101,64 @@ def cut_text(text: bytes, min_words: int = MIN_WORDS):
                 short = short + words
 
 
-def cuts(words: list[bytes], reach: int = REACH) -> np.ndarray:
-    """The places between the words (and both ends) where pieces may begin and end."""
-    n, pairs = len(words), []
+def _words_of(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text with single blanks starts and ends."""
+    blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    return np.concatenate([[0], blanks + 1]), np.concatenate([blanks, [len(joined)]])
+
+
+def _cuts(joined: bytes, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of ``counts`` words (one or more each), all joined by blanks: (places, shift).  A place counts the words before
+    it and its text's shift; texts are shifted ``reach`` apart, so that none sees the words of another."""
+    n, first = len(starts), np.cumsum(counts) - counts
+    before_it, hashes = np.arange(n) - 1, []
+    before_it[first] = first
     for at in range(0, n, HELD):  # the hash of each word with the one before it
-        part = words[max(0, at - 1):at + HELD]
-        joined = b" ".join(part)
-        blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-        starts, ends = np.concatenate([[0], blanks + 1]), np.concatenate([blanks, [len(joined)]])
-        pairs.append(span_hashes(joined, starts[np.maximum(np.arange(len(part)) - 1, 0)], ends)[at > 0:])
-    h, edge = np.concatenate(pairs), np.full(reach, np.iinfo(np.uint64).max, np.uint64)
-    wide = np.concatenate([edge, h, edge])
-    before = np.minimum.reduce([wide[k:k + n] for k in range(reach)])
-    after = np.minimum.reduce([wide[reach + k:reach + k + n] for k in range(1, reach + 1)])
-    found = np.unique(np.concatenate([[0], np.flatnonzero((h < before) & (h <= after)) + 1, [n]]))
+        base, to = starts[max(0, at - 1)], min(n, at + HELD)
+        hashes.append(span_hashes(joined[base:ends[to - 1]], starts[before_it[at:to]] - base, ends[at:to] - base))
+    h, shift = np.concatenate(hashes), reach * (np.arange(len(counts)) + 1)
+    at = np.arange(n) + np.repeat(shift, counts)
+    wide = np.full(n + reach * (len(counts) + 1), np.iinfo(np.uint64).max, np.uint64)
+    wide[at] = h
+    least = np.minimum.reduce([wide[k:len(wide) - reach + 1 + k] for k in range(reach)])
+    marked = np.zeros(len(wide) + 1, bool)
+    marked[first + shift] = marked[first + shift + counts] = True
+    marked[at[(h < least[at - reach]) & (h <= least[at + 1])] + 1] = True
+    found = np.flatnonzero(marked)
     wanting = np.flatnonzero(np.diff(found) > LONGEST)
-    return np.unique(np.concatenate([found, *[np.arange(found[i], found[i + 1], LONGEST) for i in wanting]])).astype(np.int64)
+    for i in wanting:
+        marked[found[i]:found[i + 1]:LONGEST] = True
+    return np.flatnonzero(marked) if len(wanting) else found, shift
 
 
-def cut_pieces(text: bytes, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
-    """(start, n, key) of each piece of a UTF-8 text; start and n count words."""
-    words = text.translate(ALNUM_FOLD).split()
-    if len(words) < min_words:
-        return []
-    places = cuts(words)
-    ends = np.searchsorted(places, places + min_words)
-    out = []
-    for start, end in zip(places[ends < len(places)].tolist(), places[ends[ends < len(places)]].tolist()):
-        part = words[start:end]
-        if len(set(part)) >= MIN_DISTINCT:
-            out.append((start, end - start, xxhash.xxh64_intdigest(b" ".join(part))))
-    return out
+def cuts(words: list[bytes], reach: int = REACH) -> np.ndarray:
+    """The places between the words (and both ends) where pieces may begin and end."""
+    joined = b" ".join(words)
+    return _cuts(joined, *_words_of(joined), np.array([len(words)]), reach)[0] - reach
+
+
+def cut_pieces(texts: list[bytes], counts: list[int], min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, n, key) of each piece of texts whose ``counts`` words (one or more) are joined by blanks; text is a
+    place in the list, start and n count words."""
+    joined, counts = b" ".join(texts), np.array(counts, np.int64)
+    starts, ends = _words_of(joined)
+    places, shift = _cuts(joined, starts, ends, counts, REACH)
+    text = np.searchsorted(np.cumsum(counts) - counts + shift, places, "right") - 1
+    last = np.searchsorted(places, places + min_words)
+    held = np.flatnonzero(last < len(places))
+    held = held[text[held] == text[last[held]]]
+    text, start, end = text[held], places[held] - shift[text[held]], places[last[held]] - shift[text[held]]
+    begin, stop = starts[start], ends[end - 1]
+    # a word's first and last bytes and its length tell most words apart: where they tell enough, no set is built
+    raw = np.frombuffer(joined, np.uint8).astype(np.int64)
+    mark = raw[starts] | raw[ends - 1] << 8 | (ends - starts) << 16
+    marks = np.sort(mark[start[:, None] + np.arange(min_words)], axis=1)
+    plain = (marks[:, 1:] != marks[:, :-1]).sum(axis=1) + 1 >= MIN_DISTINCT
+    unsure = np.flatnonzero(~plain)
+    plain[unsure] = [len(set(joined[a:b].split())) >= MIN_DISTINCT for a, b in zip(begin[unsure].tolist(), stop[unsure].tolist())]
+    digest = xxhash.xxh64_intdigest
+    key = np.array([digest(joined[a:b]) for a, b in zip(begin[plain].tolist(), stop[plain].tolist())], np.uint64)
+    return text[plain], (start - (np.cumsum(counts) - counts)[text])[plain], (end - start)[plain], key
 
 
 def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, pieces: bool = False) -> DataFrame:
@@ -143,13 +170,14 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, pieces: bool = False
         names = ["row", "doc_id", "unit", "start", "n", "key", "text"]
         for batch in batches:
             source, columns = [], [[] for _ in range(5)]
-            held, owner, size = [], [], 0
+            held, counts, owner, size = [], [], [], 0
 
             def flush():
-                at, (start, n, key) = pa.array(np.concatenate(owner), pa.int32()), np.concatenate(held).T
+                text, start, n, key = cut_pieces(held, counts, min_words)
+                at = pa.array(np.array(owner, np.int32)[text])
                 return pa.RecordBatch.from_arrays(
                     [batch.column(0).take(at), batch.column(1).take(at), pa.nulls(len(at), pa.int32()), pa.array(start.astype(np.int64)), pa.array(n.astype(np.int32)),
-                     pa.array(np.ascontiguousarray(key).view(np.int64)), pa.nulls(len(at), pa.string())], names=names)
+                     pa.array(key.view(np.int64)), pa.nulls(len(at), pa.string())], names=names)
 
             for i, text in enumerate(batch.column(2).cast(pa.binary())):
                 text = spaced(text.as_py() or b"")
@@ -158,13 +186,14 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, pieces: bool = False
                     source.append(i)
                     for c, v in zip(columns, (unit, start, len(words), xxhash.xxh64_intdigest(joined), joined.decode())):
                         c.append(v)
-                if pieces and (cut := cut_pieces(text, min_words)):
-                    held.append(np.array(cut, np.uint64))
-                    owner.append(np.full(len(cut), i, np.int32))
-                    size += len(cut)
-                    if size >= HELD:
+                if pieces and len(words := text.translate(ALNUM_FOLD).split()) >= min_words:
+                    held.append(b" ".join(words))
+                    counts.append(len(words))
+                    owner.append(i)
+                    size += len(held[-1])
+                    if size >= HELD_BYTES:
                         yield flush()
-                        held, owner, size = [], [], 0
+                        held, counts, owner, size = [], [], [], 0
             if held:
                 yield flush()
             at = pa.array(source, pa.int32())
@@ -352,8 +381,8 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
     least doc_id that any of the passage's clusters begins in) of every repeated passage."""
     cut = paragraphs(docs, min_words, pieces=True)
     # pieces first: their rows are the most, and what is left of them is small
-    pieces = settled_table(repeated_pieces(cut.where("text is null").drop("unit", "text")), "piece-runs")
-    units = settled_table(_repeated_units(cut.where("text is not null"), threshold, recall, shingle), "paragraph-runs")
+    pieces = settled_table(repeated_pieces(cut.where("unit is null").drop("unit", "text")), "piece-runs")
+    units = settled_table(_repeated_units(cut.where("unit is not null"), threshold, recall, shingle), "paragraph-runs")
     free_tables(cut)
     found = units.unionByName(pieces)
     order = Window.partitionBy("row").orderBy("start", "n", F.col("unit").isNull())

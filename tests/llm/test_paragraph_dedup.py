@@ -170,3 +170,23 @@ def test_salted_keys_are_never_broadcast(spark):
     joined = P._rows_of(rows, keys, "key")
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
     assert sorted(joined.collect()) == sorted(rows.where("key < 100").collect())
+
+
+def slow_pieces(words):
+    places, out = P.cuts(words).tolist(), []
+    for start in places:
+        end = next((p for p in places if p >= start + P.MIN_WORDS), None)
+        if end is not None and len(set(words[start:end])) >= P.MIN_DISTINCT:
+            out.append((start, end - start, xxhash.xxh64_intdigest(b" ".join(words[start:end]))))
+    return out
+
+
+def test_texts_cut_together_have_the_pieces_of_each(monkeypatch):
+    rng = random.Random(4)
+    kinds = [VOCABULARY, VOCABULARY[:3], VOCABULARY[:6], ["ab", "aab", "ac"], [*HAN[:40], "a"]]
+    texts = [[w.encode() for w in rng.choices(rng.choice(kinds), k=rng.choice([1, 7, 8, 9, 30, 300]))] for _ in range(200)] + [[b"same"] * 500]
+    want = [(i, *p) for i, words in enumerate(texts) for p in slow_pieces(words)]
+    for held in (P.HELD, 50):
+        monkeypatch.setattr(P, "HELD", held)
+        got = P.cut_pieces([b" ".join(words) for words in texts], [len(words) for words in texts])
+        assert list(zip(*(c.tolist() for c in got))) == want
