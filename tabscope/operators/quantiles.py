@@ -146,20 +146,24 @@ def bracket_bins(joined: DataFrame, n_columns: int, n_probs: int, by: Sequence[s
     """(by..., ci, lo, hi, bucket, z, c, bmin, bmax) from values __v0... joined with ``bracket_ends``: the bins of the values
     strictly inside a bracket of column ci, and (z not null) the count of a value z that lies where a fence may be.
     Values equal to an end are only counted, so a frequent value makes no rows.  Checkpointed."""
-    items, where = [], []
-    for i in range(n_columns):
-        v = f"__v{i}"
-        for j in range(n_probs):
-            lo, hi = f"__lo{i}_{j}", f"__hi{i}_{j}"
-            where.append(f"coalesce({v} > {lo} AND {v} < __to{i}_{j}, false)")
-            items.append(f"CASE WHEN {where[-1]} THEN named_struct('ci', {i}, 'lo', {lo}, 'hi', {hi}, 'bucket', {_bucket_sql(v, lo, hi, buckets)}, "
-                         f"'z', CAST(NULL AS DOUBLE), 'v', {v}) END")
-        if fence_k is not None:
-            where.append(_unsure(i))
-            items.append(f"CASE WHEN {where[-1]} THEN named_struct('ci', {i}, 'lo', CAST(NULL AS DOUBLE), 'hi', CAST(NULL AS DOUBLE), 'bucket', CAST(NULL AS INT), "
-                         f"'z', {v}, 'v', {v}) END")
     held = [F.col(f"`{b}`") for b in by]
-    rows = joined.where(" OR ".join(where)).select(*held, F.expr(f"explode(array_compact(array({', '.join(items)})))").alias("__i"))
+    # one row for each value: the conditions of all columns at once make a method that Java only interprets
+    kept = [[("v", f"__v{i}"), *[(f"{e}{j}", f"__{e}{i}_{j}") for j in range(n_probs) for e in ("lo", "hi", "to")],
+             *[(f"f{k}", f"__f{i}_{k}") for k in range(4 if fence_k is not None else 0)]] for i in range(n_columns)]
+    each = joined.select(*held, *[F.struct(*[F.col(c).alias(name) for name, c in kept[i]]).alias(f"__x{i}") for i in range(n_columns)])
+    each = each.unpivot(held, [F.col(f"__x{i}") for i in range(n_columns)], "__of", "__x")
+    items, where = [], []
+    ci = "CAST(substring(__of, 4) AS INT)"
+    for j in range(n_probs):
+        lo, hi = f"__x.lo{j}", f"__x.hi{j}"
+        where.append(f"coalesce(__x.v > {lo} AND __x.v < __x.to{j}, false)")
+        items.append(f"CASE WHEN {where[-1]} THEN named_struct('ci', {ci}, 'lo', {lo}, 'hi', {hi}, 'bucket', {_bucket_sql('__x.v', lo, hi, buckets)}, "
+                     f"'z', CAST(NULL AS DOUBLE), 'v', __x.v) END")
+    if fence_k is not None:
+        where.append("coalesce(__x.v BETWEEN __x.f0 AND __x.f1 OR __x.v BETWEEN __x.f2 AND __x.f3, false)")
+        items.append(f"CASE WHEN {where[-1]} THEN named_struct('ci', {ci}, 'lo', CAST(NULL AS DOUBLE), 'hi', CAST(NULL AS DOUBLE), 'bucket', CAST(NULL AS INT), "
+                     f"'z', __x.v, 'v', __x.v) END")
+    rows = each.where(" OR ".join(where)).select(*held, F.expr(f"explode(array_compact(array({', '.join(items)})))").alias("__i"))
     return rows.groupBy(*held, "__i.ci", "__i.lo", "__i.hi", "__i.bucket", "__i.z").agg(
         F.count(F.lit(1)).alias("c"), F.min("__i.v").alias("bmin"), F.max("__i.v").alias("bmax")).checkpoint(eager=True)
 

@@ -19,6 +19,7 @@ from tabscope.operators.moments import moments, sub_moments
 from tabscope.operators.profile import missing_total, target_type
 from tabscope.operators.quality import quality_score
 from tabscope.operators.segments import seg_join
+from tabscope.session import ensure_checkpoint_dir
 
 # Evidence flags and model-record labels.
 WEAK_PCT_FLAG = 50
@@ -42,7 +43,9 @@ def signals(df: DataFrame, target: str | None, by: Sequence[str] = (), columns:
     numeric = [c for c in cols if is_stat_numeric(df.schema[c].dataType)]
     num_feats = [c for c in numeric if c != target]
     base = df.select(*[F.col(f"`{c}`") for c in by + cols])
-    corr = corr if corr is not None else C.corr_long(base, numeric, by)
+    ensure_checkpoint_dir(df.sparkSession)
+    # a row for each pair and segment, read four times below: written, so that its scans run once
+    corr = corr if corr is not None else C.corr_long(base, numeric, by).checkpoint(eager=True)
     q = quality if quality is not None else quality_score(base, by, cols)
     miss = missing_total(base, by, cols)
     if has_t:
@@ -197,7 +200,8 @@ def segment_evidence(df: DataFrame, target: str, features: Sequence[str], test_f
     work = df.withColumn("__test", test_flag)
     base = work.select(*[F.col(f"`{c}`") for c in by + cols])
     numeric = [c for c in cols if is_stat_numeric(df.schema[c].dataType)]
-    corr = C.corr_long(base, numeric, by)
+    ensure_checkpoint_dir(df.sparkSession)
+    corr = C.corr_long(base, numeric, by).checkpoint(eager=True)
     sig = signals(base, target, by, cols, corr=corr)
     fa = feature_analysis(base, target, by, cols, corr=corr, include_target=include_target_pairs)
     num_feats = [c for c in features if c in numeric]
