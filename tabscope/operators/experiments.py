@@ -10,7 +10,8 @@ Two scorers:
   ``linear``  exact OLS from moments: one grouped moments pass per variant gives
               the holdout fit and every fold fit (folds merged analytically);
   ``forest``  MLlib RandomForestRegressor fitted on the executors, with CV over a
-              deterministic fold column.
+              deterministic fold column; beyond 100,000 rows all fits of a variant
+              are grown by cells of equal bins, from one scan (``trees``).
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tabscope.functions import linalg
 from tabscope.operators import linear as L
+from tabscope.operators.models import counted
 from tabscope.operators.moments import moments
 from tabscope.operators.prepare import MAX_CATEGORIES, fold_of, n_folds, one_hot, square_interaction
 
@@ -77,26 +79,29 @@ def _score_linear(test, folds) -> dict:
             "error": None}
 
 
-def _score_forest(d: DataFrame, cols: list[str], target: str, k: int, rf_params: dict, n_rows: int) -> dict:
+def _score_forest(d: DataFrame, cols: list[str], target: str, k: int, rf_params: dict, n_rows: int, most: int) -> dict:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
-    from tabscope.operators.models import _metrics, spread
-    a = VectorAssembler(inputCols=cols, outputCol="__features").transform(d).select("__features", target, "__test", "__fold")
-    a = spread(a, n_rows).persist()
-    try:
-        train, test = a.where(~F.col("__test")), a.where(F.col("__test"))
-        rf = RandomForestRegressor(featuresCol="__features", labelCol=target, cacheNodeIds=True, **rf_params)
-        r2 = _metrics(rf.fit(train).transform(test), target)[0]
-        cv = []
-        for f in range(k):
-            fit = rf.fit(train.where(F.col("__fold") != f))
-            s = _metrics(fit.transform(train.where(F.col("__fold") == f)), target)[0]
-            if s is not None:
-                cv.append(s)
-        return {"r2": r2, "cv_r2_mean": float(np.mean(cv)) if cv else None, "cv_r2_std": float(np.std(cv)) if cv else None,
-                "error": None}
-    finally:
-        a.unpersist()
+    from tabscope.operators import models as M
+    from tabscope.operators.trees import fit_scores
+    rf = RandomForestRegressor(featuresCol="__features", labelCol=target, cacheNodeIds=True, **rf_params)
+    with M.dealt(d.select(*[F.col(f"`{c}`") for c in cols], target, "__test", "__fold"), n_rows, most) as d:
+        scores = fit_scores(rf, d, cols, target, k) if n_rows > M.TASK_ROWS else None
+        if scores is not None:
+            r2, *cv = (s[0] for s in scores)
+        else:
+            a = VectorAssembler(inputCols=cols, outputCol="__features").transform(d).select("__features", target, "__test", "__fold").persist()
+            try:
+                train, test = a.where(~F.col("__test")), a.where(F.col("__test"))
+                r2, cv = M._metrics(rf.fit(train).transform(test), target)[0], []
+                for f in range(k):
+                    fit = rf.fit(train.where(F.col("__fold") != f))
+                    cv.append(M._metrics(fit.transform(train.where(F.col("__fold") == f)), target)[0])
+            finally:
+                a.unpersist()
+    cv = [s for s in cv if s is not None]
+    return {"r2": r2, "cv_r2_mean": float(np.mean(cv)) if cv else None, "cv_r2_std": float(np.std(cv)) if cv else None,
+            "error": None}
 
 
 def run_experiments(df: DataFrame, features: Sequence[str], target: str, test_flag: Column, fold_key: Column,
@@ -112,10 +117,9 @@ def run_experiments(df: DataFrame, features: Sequence[str], target: str, test_fl
     spark: SparkSession = df.sparkSession
     base = df.withColumn("__test", test_flag).withColumn("__fkey", fold_key)
     d, feats = prepare_inputs(base, features, target, keep=["__test", "__fkey"])
-    sizes = d.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("__test")).alias("n_train")).first()
-    if sizes["n"] < MIN_ROWS:
-        raise ValueError(f"experiments need at least {MIN_ROWS} rows with a target; got {sizes['n']}")
-    n_train = sizes["n_train"]
+    n_rows, n_train, most = counted(d)
+    if n_rows < MIN_ROWS:
+        raise ValueError(f"experiments need at least {MIN_ROWS} rows with a target; got {n_rows}")
     k = n_folds(n_train)
     d = d.withColumn("__fold", fold_of(F.col("__fkey"), k, method=fold_method, stride=fold_stride))
     rf = {"numTrees": 100, "maxDepth": 30, "featureSubsetStrategy": "all", "seed": 42, **(rf_params or {})}
@@ -123,7 +127,7 @@ def run_experiments(df: DataFrame, features: Sequence[str], target: str, test_fl
     def score(frame: DataFrame, cols: list[str]) -> dict:
         if scorer == "linear":
             return _score_linear(*_moments_by_fold(frame, cols, target, k))
-        return _score_forest(frame, cols, target, k, rf, sizes["n"])
+        return _score_forest(frame, cols, target, k, rf, n_rows, most)
 
     rows = []
 

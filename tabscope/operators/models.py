@@ -10,7 +10,8 @@ metrics return to the driver.
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,26 @@ def spread(df: DataFrame, n_rows: int) -> DataFrame:
     return df.repartition(max(min(-(-n_rows // TASK_ROWS), cores), -(-n_rows // MOST_ROWS)))
 
 
+def counted(df: DataFrame) -> tuple[int, int, int]:
+    """Rows, training rows (``__test`` is false) and the most rows in one task."""
+    tasks = df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("__test")).alias("t"))
+    r = tasks.agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.max("n").alias("most")).first()
+    return r["n"] or 0, r["t"] or 0, r["most"] or 0
+
+
+@contextmanager
+def dealt(df: DataFrame, n_rows: int, most: int) -> Iterator[DataFrame]:
+    """The rows for a few scans, spread and kept if one task has over twice its share (``most``)."""
+    if n_rows <= TASK_ROWS or most <= 2 * -(-n_rows // df.sparkSession.sparkContext.defaultParallelism):
+        yield df
+        return
+    out = spread(df, n_rows).persist()
+    try:
+        yield out
+    finally:
+        out.unpersist()
+
+
 def _assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     return VectorAssembler(inputCols=list(features), outputCol="__features", handleInvalid="keep").transform(df)
