@@ -1,7 +1,8 @@
 """Model comparison with MLlib (MOD1) and ranking (MOD2).
 
 Linear Regression, Random Forest and Gradient-Boosted Trees are trained by
-MLlib on the executors (distributed tree induction over binned features); the
+MLlib on the executors (distributed tree induction over binned features), trees
+beyond 100,000 rows by its method over cells of equal bins (``trees``); the
 features are prepared as the comparison requires: +/-inf -> null, rows with a
 null target dropped, features median-imputed (exact medians).  Only scalar
 metrics return to the driver.
@@ -16,6 +17,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabscope.operators import trees
 from tabscope.operators.linear import prepare_xy
 from tabscope.operators.prepare import encode_features
 
@@ -87,26 +89,32 @@ def compare_models(df: DataFrame, features: Sequence[str], target: str, test_fla
     spark: SparkSession = df.sparkSession
     df, feats = encode_features(df, features)
     d = prepare_xy(df.withColumn("__test", test_flag), feats, target, fill="median", keep=["__test"])
-    d = _assemble(d, feats).select("__features", target, "__test")
     schema = "name string, model_order int, r2 double, rmse double, training_time double, interpretability string"
-    n_rows = d.count()
+    n_rows, _, most = counted(d)
     if n_rows < MIN_ROWS:
         return spark.createDataFrame([], schema)
-    d = spread(d, n_rows).persist()
-    try:
-        train, test = d.where(~F.col("__test")), d.where(F.col("__test"))
-        specs = [
-            ("Linear Regression", LinearRegression(featuresCol="__features", labelCol=target, regParam=0.0, solver="normal"), "HIGH"),
-            ("Random Forest", RandomForestRegressor(featuresCol="__features", labelCol=target, cacheNodeIds=True, **{**RF_PARAMS, **(rf_params or {})}), "MEDIUM"),
-            ("Gradient Boosting", GBTRegressor(featuresCol="__features", labelCol=target, **{**GBT_PARAMS, **(gbt_params or {})}), "MEDIUM"),
-        ]
-        rows = []
-        for order, (name, est, interp) in enumerate(specs):
-            t0 = time.perf_counter()
-            model = est.fit(train)
-            dt = time.perf_counter() - t0
-            r2, rmse = _metrics(model.transform(test), target)
-            rows.append((name, order, r2, rmse, dt, interp))
-        return spark.createDataFrame(rows, schema)
-    finally:
-        d.unpersist()
+    specs = [
+        ("Linear Regression", LinearRegression(featuresCol="__features", labelCol=target, regParam=0.0, solver="normal"), "HIGH"),
+        ("Random Forest", RandomForestRegressor(featuresCol="__features", labelCol=target, cacheNodeIds=True, **{**RF_PARAMS, **(rf_params or {})}), "MEDIUM"),
+        ("Gradient Boosting", GBTRegressor(featuresCol="__features", labelCol=target, **{**GBT_PARAMS, **(gbt_params or {})}), "MEDIUM"),
+    ]
+    rows = []
+    with dealt(d, n_rows, most) as d:
+        a = _assemble(d, feats).select("__features", target, "__test")
+        train, test = a.where(~F.col("__test")), a.where(F.col("__test"))
+        try:
+            for order, (name, est, interp) in enumerate(specs):
+                t0 = time.perf_counter()
+                by_cell = trees.fit_scores(est, d, feats, target) if order and n_rows > TASK_ROWS else None
+                if by_cell:
+                    (r2, rmse), dt = by_cell[0], time.perf_counter() - t0  # grown and tried in one go
+                else:
+                    if order or n_rows <= TASK_ROWS:  # trees read the rows for every level, the linear model once
+                        a.persist()
+                    model = est.fit(train)
+                    dt = time.perf_counter() - t0
+                    r2, rmse = _metrics(model.transform(test), target)
+                rows.append((name, order, r2, rmse, dt, interp))
+        finally:
+            a.unpersist()
+    return spark.createDataFrame(rows, schema)

@@ -86,6 +86,10 @@ def test_what_is_not_fitted_by_cell(rows, monkeypatch):
     assert T.fit_scores(est, rows.where("not __test"), FEATURES, "y") == [(None, None)]
     monkeypatch.setattr(T, "MOST_BINS", 32 * 60)
     assert T.fit_scores(est, rows, FEATURES, "y") is None
+    monkeypatch.setattr(M, "TASK_ROWS", 1000)
+    df = rows.where("__test is not null").drop("__fold")
+    out = M.compare_models(df, FEATURES, "y", F.col("__test"), rf_params={"numTrees": 5, "maxDepth": 5}, gbt_params={"maxIter": 3, "maxDepth": 3}).collect()
+    assert len(out) == 3 and out[1]["r2"] > 0.8  # too many cells: fitted over the rows
 
 
 def test_a_constant_target(rows):
@@ -107,3 +111,12 @@ def test_larger_experiments_are_not_read_for_every_level(rows, monkeypatch):
                               rf_params={"numTrees": 20, "maxDepth": 8}).collect()
     assert [(r["method"], r["error"]) for r in found] == [(m, None) for m in X.METHODS]
     assert found[0]["r2"] > 0.9 and found[0]["cv_r2_mean"] > 0.8 and found[0]["cv_r2_std"] > 0
+
+
+def test_larger_comparisons_are_not_read_for_every_level(rows, monkeypatch):
+    monkeypatch.setattr(M, "TASK_ROWS", 1000)
+    monkeypatch.setattr(RandomForestRegressor, "_fit", over_the_rows)
+    monkeypatch.setattr(GBTRegressor, "_fit", over_the_rows)
+    out = M.compare_models(rows.select("id", *FEATURES, "y"), FEATURES, "y", F.col("id") % 5 == 0, rf_params={"numTrees": 20, "maxDepth": 12}).collect()
+    assert [r["name"] for r in out] == ["Linear Regression", "Random Forest", "Gradient Boosting"]
+    assert min(out[1]["r2"], out[2]["r2"]) > 0.9 > out[0]["r2"]
