@@ -120,3 +120,16 @@ def test_larger_comparisons_are_not_read_for_every_level(rows, monkeypatch):
     out = M.compare_models(rows.select("id", *FEATURES, "y"), FEATURES, "y", F.col("id") % 5 == 0, rf_params={"numTrees": 20, "maxDepth": 12}).collect()
     assert [r["name"] for r in out] == ["Linear Regression", "Random Forest", "Gradient Boosting"]
     assert min(out[1]["r2"], out[2]["r2"]) > 0.9 > out[0]["r2"]
+
+
+def test_the_checks_hold_of_larger_tables(spark, tmp_path, monkeypatch):
+    import __spark_entry__
+
+    monkeypatch.setattr(M, "TASK_ROWS", 1000)
+    monkeypatch.setattr(RandomForestRegressor, "_fit", over_the_rows)
+    monkeypatch.setattr(GBTRegressor, "_fit", over_the_rows)
+    rng = random.Random(8)
+    made = [(i // 4, i % 90, float(rng.randint(1, 50)) if i % 40 else None, rng.uniform(900, 90000)) for i in range(3000)]
+    spark.createDataFrame(made, "l_orderkey long, l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = __spark_entry__.queries()["model_comparison_checks"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [(True, True, True, True, 3)]
